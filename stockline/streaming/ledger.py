@@ -1,0 +1,51 @@
+"""Stock movements of a stream, kept as one small table per micro-batch in a shared folder.
+
+A batch writes only its own folder and overwrites it on a replay, so a batch that runs again changes nothing.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stockline.operators.stock import apply_movements, movement_deltas
+
+
+class MovementLedger:
+    def __init__(self, spark: SparkSession, folder: str, fold_every: int = 50):
+        self.spark = spark
+        self.folder = folder
+        self.fold_every = fold_every
+
+    def _read(self, part: str, key: str) -> DataFrame:
+        schema = f"product_id long, quantity long, {key} long"
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{part}")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def write(self, batch_id: int, movements: DataFrame) -> None:
+        """Net movement per product of one batch; now and then also the net of all batches before it."""
+        net = movement_deltas(movements).select("product_id", F.col("delta").alias("quantity"))
+        net.write.mode("overwrite").parquet(f"{self.folder}/moves/batch={batch_id}")
+        if batch_id and batch_id % self.fold_every == 0:
+            folded = movement_deltas(self.before(batch_id)).select("product_id", F.col("delta").alias("quantity"))
+            folded.write.mode("overwrite").parquet(f"{self.folder}/folded/upto={batch_id}")
+
+    def before(self, batch_id: int | None = None) -> DataFrame:
+        """Movements of all batches before one (of all batches when None): the last fold and what follows it."""
+        folds, moves = self._read("folded", "upto"), self._read("moves", "batch")
+        if batch_id is not None:
+            folds, moves = folds.filter(F.col("upto") < batch_id), moves.filter(F.col("batch") < batch_id)
+        last = folds.agg(F.max("upto")).first()[0] or 0
+        return (
+            folds.filter(F.col("upto") == last).select("product_id", "quantity")
+            .unionByName(moves.filter(F.col("batch") >= last).select("product_id", "quantity"))
+        )
+
+    def stock(self, opening: DataFrame, batch_id: int | None = None) -> DataFrame:
+        """The product snapshot as it stood before a batch, or now."""
+        return apply_movements(opening, self.before(batch_id))
