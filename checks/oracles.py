@@ -131,7 +131,7 @@ def _verdicts(lines: str) -> str:
                 FROM {lines} GROUP BY cart_id) AS j ON j.cart_id = h.receipt_id
             LEFT JOIN (
                 SELECT cart_id, reason FROM (
-                    SELECT cart_id, reason, row_number() OVER (PARTITION BY cart_id ORDER BY line, quantity) AS rn
+                    SELECT cart_id, reason, row_number() OVER (PARTITION BY cart_id ORDER BY line, reason) AS rn
                     FROM {lines} WHERE reason IS NOT NULL) AS n WHERE rn = 1) AS f ON f.cart_id = h.receipt_id
         ) AS v"""
 

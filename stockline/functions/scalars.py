@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Text a number may have, and what counts as white space around it.
+# The text of a number; the common case of it; code points that count as white space around it.
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_SPACE = r"[\s\x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-EDGE_SPACE = f"^{_SPACE}|{_SPACE}$"
+DIGITS_PATTERN = r"^\d{1,15}$"
+SPACES = "".join(
+    chr(c)
+    for c in [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+)
 NO_BREAK_SPACE = chr(0xA0)
 
 # Defaults for blank text.
@@ -27,7 +30,7 @@ LOG_OTHER = "Aktivitas"
 
 
 def trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, EDGE_SPACE, "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def ensure_number(x: Column) -> Column:
@@ -38,9 +41,15 @@ def ensure_number(x: Column) -> Column:
 
 
 def whole_number(x: Column) -> Column:
-    """ensure_number as a long; NULL when it has a fraction or does not fit."""
-    value = ensure_number(x)
-    return F.when(value == F.floor(value), value.try_cast("long"))
+    """ensure_number as a long; NULL when it has a fraction or does not fit.
+
+    The patterns come first because a failing cast costs far more than a match.
+    """
+    text = trimmed(x.cast("string"))
+    value = text.try_cast("double")
+    whole = F.when(value == F.floor(value), value.try_cast("long"))
+    finite = text.rlike(NUMBER_PATTERN) & (F.abs(value) < float("inf"))
+    return F.when(text.rlike(DIGITS_PATTERN), text.try_cast("long")).when(finite, whole).otherwise(0)
 
 
 def coalesce_zero(x: Column) -> Column:

@@ -17,6 +17,7 @@ BAD_ITEM = "bad_item"
 UNKNOWN_PRODUCT = "unknown_product"
 NOT_ENOUGH_STOCK = "not_enough_stock"
 EMPTY_CART = "empty_cart"
+LINE_REASONS = [BAD_ITEM, NOT_ENOUGH_STOCK, UNKNOWN_PRODUCT]
 
 # A product with at most this many requests has them folded as one array; a busier one is settled by running sums.
 FOLD_ROWS = 2_000
@@ -58,15 +59,19 @@ def priced_lines(lines: DataFrame, products: DataFrame) -> DataFrame:
     counted = lines.withColumn("quantity", S.whole_number(F.col("quantity")))
     joined = lookup_join(counted, catalog, ["product_id"])
     usable = (S.coalesce_zero(F.col("product_id")) != 0) & (S.coalesce_zero(F.col("quantity")) > 0)
+    reason = F.when(~usable, BAD_ITEM).when(F.col("found").isNull(), UNKNOWN_PRODUCT)
+    return _with_amounts(joined.withColumn("reason", reason).drop("found"))
+
+
+def _with_amounts(lines: DataFrame) -> DataFrame:
+    """Amounts of a line from its price, cost and quantity."""
     profit = F.col("price") - F.col("purchase_price")
-    return joined.select(
-        *counted.columns,
-        "product_code", "product_name", "unit", "stock", "price", "purchase_price",
+    return lines.select(
+        "*",
         F.col("price").alias("sale_price"),
         profit.alias("profit_per_unit"),
         (F.col("price") * F.col("quantity")).alias("total_price"),
         (profit * F.col("quantity")).alias("profit"),
-        F.when(~usable, BAD_ITEM).when(F.col("found").isNull(), UNKNOWN_PRODUCT).alias("reason"),
     )
 
 
@@ -87,7 +92,7 @@ def cumulative_cart_check(
     priced = priced_lines(lines, products)
     taken = F.greatest(S.coalesce_zero(F.col("quantity")), F.lit(0))
     order = [F.col("line"), F.col("quantity")]
-    running = running_totals(priced, ["cart_id", "product_id"], order, {"taken": taken}, heavy_rows, slices)
+    running = running_totals(priced, ["cart_id", "product_id"], order, {"taken": taken}, heavy_rows, slices, lines)
     left = F.col("stock") - (F.col("taken") - taken)
     return running.select(
         *[c for c in priced.columns if c != "reason"], left.alias("stock_left"), _short(left)
@@ -138,14 +143,16 @@ def basket_discount_tax(totals: DataFrame, discount: Column, tax: Column) -> Dat
 
 def cart_verdicts(checked: DataFrame, carts: DataFrame) -> DataFrame:
     """One row per cart: accepted or not, the reason of its first refused line, and its totals."""
-    first_refusal = F.min(F.when(F.col("reason").isNotNull(), F.struct("line", "quantity", "reason")))
-    judged = checked.groupBy("cart_id").agg(first_refusal["reason"].alias("first_reason"), *_basket_sums())
+    first_lines = [F.min(F.when(F.col("reason") == r, F.col("line"))).alias(f"_{r}") for r in LINE_REASONS]
+    judged = checked.groupBy("cart_id").agg(*first_lines, *_basket_sums())
+    first_line = F.least(*[F.col(f"_{r}") for r in LINE_REASONS])
+    first_reason = F.coalesce(*[F.when(F.col(f"_{r}") == first_line, r) for r in LINE_REASONS])
     joined = carts.select(
         "cart_id",
         S.text_or(F.col("payment_method"), S.DEFAULT_PAYMENT).alias("payment_method"),
         S.text_or(F.col("cashier_name"), S.DEFAULT_CASHIER).alias("cashier_name"),
     ).join(judged, "cart_id", "left")
-    reason = F.when(F.col("line_count").isNull(), EMPTY_CART).otherwise(F.col("first_reason"))
+    reason = F.when(F.col("line_count").isNull(), EMPTY_CART).otherwise(first_reason)
     accepted = reason.isNull()
     return joined.select(
         "cart_id", "payment_method", "cashier_name", accepted.alias("accepted"), reason.alias("reason"),
@@ -225,7 +232,7 @@ def sell_decisions(
     refused = priced.filter("reason IS NOT NULL")
     open_requests = priced.filter("reason IS NULL")
     limit = FOLD_ROWS if fold_rows is None else fold_rows
-    counts = open_requests.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = requests.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
     busy = checkpointed(counts.filter(F.col("n") > limit).select("product_id"))
     if busy.isEmpty():
         return refused.unionByName(_fold_by_product(open_requests))
@@ -236,27 +243,30 @@ def sell_decisions(
 
 def _fold_by_product(open_requests: DataFrame) -> DataFrame:
     """Stock handed out request by request along a sorted array per product."""
-    columns = [c for c in open_requests.columns if c not in ("product_id", "stock", "reason")]
-    row = F.struct("seq", *[c for c in columns if c != "seq"])
-    grouped = open_requests.groupBy("product_id").agg(
-        F.sort_array(F.collect_list(row)).alias("rows"), F.max("stock").alias("stock")
+    of_request = ["seq", "quantity", "payment_method", "cashier_name"]
+    of_request = [c for c in of_request if c in open_requests.columns]
+    of_product = ["stock", "product_code", "product_name", "unit", "price", "purchase_price"]
+    # An array is as large as the rows it holds, so nothing is combined before the shuffle; no product is busy here.
+    grouped = open_requests.repartition("product_id").groupBy("product_id").agg(
+        F.sort_array(F.collect_list(F.struct(*of_request))).alias("rows"),
+        *[F.any_value(c).alias(c) for c in of_product],
     )
     start = F.struct(F.col("stock").alias("left"), F.array().cast("array<boolean>").alias("taken"))
 
-    def hand_out(state: Column, request: Column) -> Column:
-        enough = request["quantity"] <= state["left"]
+    def hand_out(state: Column, asked: Column) -> Column:
+        enough = asked <= state["left"]
         return F.struct(
-            F.when(enough, state["left"] - request["quantity"]).otherwise(state["left"]).alias("left"),
+            F.when(enough, state["left"] - asked).otherwise(state["left"]).alias("left"),
             F.concat(state["taken"], F.array(enough)).alias("taken"),
         )
 
-    taken = F.aggregate("rows", start, hand_out, lambda state: state["taken"])
-    pairs = grouped.select("product_id", "stock", F.explode(F.arrays_zip("rows", taken.alias("taken"))).alias("pair"))
-    flat = pairs.select(
-        "product_id", "stock", "pair.rows.*",
-        F.when(~F.col("pair.taken"), NOT_ENOUGH_STOCK).alias("reason"),
+    taken = F.aggregate(F.col("rows.quantity"), start, hand_out, lambda state: state["taken"])
+    pairs = grouped.select(
+        "product_id", *of_product, F.explode(F.arrays_zip("rows", taken.alias("taken"))).alias("pair")
     )
-    return flat.select(*open_requests.columns)
+    reason = F.when(~F.col("pair.taken"), NOT_ENOUGH_STOCK)
+    flat = pairs.select("product_id", *of_product, "pair.rows.*", reason.alias("reason"))
+    return _with_amounts(flat).select(*open_requests.columns)
 
 
 def _settle_in_rounds(open_requests: DataFrame, heavy_rows: int | None, slices: int | None) -> DataFrame:

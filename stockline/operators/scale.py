@@ -76,15 +76,17 @@ def running_totals(
     totals: dict[str, Column],
     heavy_rows: int | None = None,
     slices: int | None = None,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Add running sums, up to and with each row, inside each group of `keys` (the whole frame if empty).
 
     `order` must be a total order of a group. Groups that fit one task use a plain window. Heavy groups are
     range-partitioned by (keys, order), summed per slice, and every slice starts from the sum of those before it.
+    Group sizes are counted on `sized_by` where given: a frame with the same keys that costs less to read than df.
     """
     measured = df.select("*", *[value.alias(f"_add_{name}") for name, value in totals.items()])
     if keys:
-        heavy = heavy_keys(measured, keys, heavy_rows)
+        heavy = heavy_keys(df if sized_by is None else sized_by, keys, heavy_rows)
         if heavy is None:
             return _windowed(measured, keys, order, totals)
         hot, rest = split_heavy(measured, keys, heavy)
