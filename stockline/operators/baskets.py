@@ -92,7 +92,7 @@ def cumulative_cart_check(
     priced = priced_lines(lines, products)
     taken = F.greatest(S.coalesce_zero(F.col("quantity")), F.lit(0))
     order = [F.col("line"), F.col("quantity")]
-    running = running_totals(priced, ["cart_id", "product_id"], order, {"taken": taken}, heavy_rows, slices, lines)
+    running = running_totals(priced, ["cart_id", "product_id"], order, {"taken": taken}, heavy_rows, slices, lines.select("cart_id"))
     left = F.col("stock") - (F.col("taken") - taken)
     return running.select(
         *[c for c in priced.columns if c != "reason"], left.alias("stock_left"), _short(left)
@@ -232,7 +232,8 @@ def sell_decisions(
     refused = priced.filter("reason IS NOT NULL")
     open_requests = priced.filter("reason IS NULL")
     limit = FOLD_ROWS if fold_rows is None else fold_rows
-    counts = requests.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+    named = requests.filter(S.coalesce_zero(F.col("product_id")) != 0)
+    counts = named.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
     busy = checkpointed(counts.filter(F.col("n") > limit).select("product_id"))
     if busy.isEmpty():
         return refused.unionByName(_fold_by_product(open_requests))

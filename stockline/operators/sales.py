@@ -61,26 +61,28 @@ def daily_kpis(sales: DataFrame, as_of: Day) -> DataFrame:
 
 
 def item_sums_by_receipt(items: DataFrame) -> DataFrame:
-    """Cost and profit per receipt: items meet their header one to one, however many lines a receipt has."""
+    """Money and pieces per receipt: lines meet their header one to one, however many a receipt has."""
     return items.groupBy("receipt_id").agg(
-        F.sum(_times_quantity("purchase_price")).alias("capital"),
-        F.sum(_times_quantity("profit_per_unit")).alias("net"),
-        F.sum("total_price").alias("items_subtotal"),
-        F.sum("quantity").alias("items_quantity"),
-        F.count(F.lit(1)).alias("line_count"),
+        F.sum("total_price").alias("items_subtotal"), F.sum("quantity").alias("items_quantity")
     )
 
 
-def _receipt_sums(receipts: DataFrame, items: DataFrame) -> DataFrame:
-    """Day, gross (header), capital and net (lines) per receipt; a receipt without lines keeps NULL sums."""
-    headers = receipts.select(F.col("id").alias("receipt_id"), "date", "subtotal")
-    sums = item_sums_by_receipt(items).select("receipt_id", "capital", "net")
-    return headers.join(sums, "receipt_id", "left")
+def _dated_lines(receipts: DataFrame, items: DataFrame) -> DataFrame:
+    """Cost and profit of the lines of these receipts; a few receipts are broadcast, so other lines fall away early."""
+    headers = receipts.select(F.col("id").alias("receipt_id"), "date")
+    lines = items.select(
+        "receipt_id", _times_quantity("purchase_price").alias("capital"), _times_quantity("profit_per_unit").alias("net")
+    )
+    return lookup_join(lines, headers, ["receipt_id"], "inner")
 
 
 def daily_kpis_receipts(receipts: DataFrame, items: DataFrame, as_of: Day) -> DataFrame:
     """Figures of one day from receipts: gross from headers, cost and profit from their lines."""
-    return _receipt_sums(sales_on(receipts, as_of), items).agg(
+    today = sales_on(receipts, as_of)
+    nothing = F.lit(None).cast("long")
+    gross = today.select("subtotal", nothing.alias("capital"), nothing.alias("net"))
+    costs = _dated_lines(today, items).select(nothing.alias("subtotal"), "capital", "net")
+    return gross.unionByName(costs).agg(
         _sum0(F.col("subtotal")).alias("todaySales"),
         _sum0(F.col("subtotal")).alias("todayGrossRevenue"),
         _sum0(F.col("capital")).alias("todayCapitalCost"),
@@ -101,33 +103,41 @@ def period_finance(sales: DataFrame, start: Day | None = None, end: Day | None =
 # ---- trends ----
 
 
-def _latest_days(by_day: DataFrame, n: int) -> DataFrame:
-    return by_day.orderBy(F.desc("day")).limit(n)
+def latest_days(df: DataFrame, day: str, n: int) -> DataFrame:
+    """The rows of the latest n days that occur (rows without a day count as the oldest).
+
+    Finds the n days first, reading that column alone, so the filter on them reaches the scan: with a table laid
+    out by day only those days are read.
+    """
+    found = [r[0] for r in df.select(day).distinct().orderBy(F.desc(day)).limit(n).collect()]  # at most n values
+    wanted = F.col(day).isin([d for d in found if d is not None])
+    return df.filter(wanted | F.col(day).isNull() if None in found else wanted)
 
 
 def sales_trend(sales: DataFrame, n: int = 7) -> DataFrame:
     """The latest n days that have sales, from sale lines."""
-    by_day = sales.groupBy(F.col("date").alias("day")).agg(
+    return latest_days(sales, "date", n).groupBy(F.col("date").alias("day")).agg(
         F.sum("total_price").alias("total_gross"),
         F.sum(S.coalesce_zero(F.col("purchase_price")) * F.col("quantity")).alias("total_capital"),
         F.sum(S.coalesce_zero(F.col("profit_per_unit")) * F.col("quantity")).alias("total_net"),
     )
-    return _latest_days(by_day, n)
 
 
 def receipt_trend(receipts: DataFrame, items: DataFrame, n: int = 7) -> DataFrame:
     """The latest n days with receipts: gross from headers, capital and net from their lines."""
-    by_day = _receipt_sums(receipts, items).groupBy(F.col("date").alias("day")).agg(
-        F.sum("subtotal").alias("total_gross"),
-        F.sum("capital").alias("total_capital"),
-        F.sum("net").alias("total_net"),
+    recent = latest_days(receipts, "date", n)
+    gross = recent.groupBy("date").agg(F.sum("subtotal").alias("total_gross"))
+    costs = _dated_lines(recent, items).groupBy(F.col("date").alias("_day")).agg(
+        F.sum("capital").alias("total_capital"), F.sum("net").alias("total_net")
     )
-    return _latest_days(by_day, n)
+    joined = gross.join(F.broadcast(costs), F.col("date").eqNullSafe(F.col("_day")), "left")  # at most n rows each
+    return joined.select(F.col("date").alias("day"), "total_gross", "total_capital", "total_net")
 
 
 def incoming_trend(incoming: DataFrame, n: int = 7) -> DataFrame:
-    by_day = incoming.groupBy(F.col("date_in").alias("day")).agg(F.sum("quantity").alias("total"))
-    return _latest_days(by_day, n)
+    """Received pieces on the latest n days with deliveries."""
+    recent = latest_days(incoming, "date_in", n)
+    return recent.groupBy(F.col("date_in").alias("day")).agg(F.sum("quantity").alias("total"))
 
 
 def gap_fill(trend: DataFrame, as_of: Day, n: int = 7) -> DataFrame:
@@ -262,7 +272,7 @@ def receipt_items(items: DataFrame, receipt_id: int) -> DataFrame:
 
 def receipt_reconcile(receipts: DataFrame, items: DataFrame) -> DataFrame:
     """Header sums beside the sums of the lines; `balanced` is false where they differ."""
-    sums = item_sums_by_receipt(items).select(F.col("receipt_id").alias("id"), "items_subtotal", "items_quantity")
+    sums = item_sums_by_receipt(items).withColumnRenamed("receipt_id", "id")
     joined = receipts.select("id", "subtotal", "total_items").join(sums, "id", "left")
     joined = joined.na.fill(0, ["items_subtotal", "items_quantity"])
     same = F.col("subtotal").eqNullSafe(F.col("items_subtotal")) & F.col("total_items").eqNullSafe(F.col("items_quantity"))

@@ -82,11 +82,15 @@ def running_totals(
 
     `order` must be a total order of a group. Groups that fit one task use a plain window. Heavy groups are
     range-partitioned by (keys, order), summed per slice, and every slice starts from the sum of those before it.
-    Group sizes are counted on `sized_by` where given: a frame with the same keys that costs less to read than df.
+    `sized_by` is a frame with the rows of df that costs less to read, with some of the keys: groups by fewer keys are
+    larger, so when none of those is heavy, none is here.
     """
     measured = df.select("*", *[value.alias(f"_add_{name}") for name, value in totals.items()])
     if keys:
-        heavy = heavy_keys(df if sized_by is None else sized_by, keys, heavy_rows)
+        if sized_by is not None and heavy_keys(sized_by, sized_by.columns, heavy_rows) is None:
+            # Spread by the fewer keys: a later grouping by them then needs no shuffle of its own.
+            return _windowed(measured.repartition(*sized_by.columns), keys, order, totals)
+        heavy = heavy_keys(df, keys, heavy_rows)
         if heavy is None:
             return _windowed(measured, keys, order, totals)
         hot, rest = split_heavy(measured, keys, heavy)

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Checkpoint files go when the frame that wrote them is no longer in use.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

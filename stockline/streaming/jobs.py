@@ -98,7 +98,9 @@ def start_sell(requests: DataFrame, products: DataFrame, folder: str) -> Streami
     ledger = MovementLedger(requests.sparkSession, f"{folder}/ledger")
 
     def decide(batch: DataFrame, batch_id: int) -> None:
-        decided = checkpointed(sell_decisions(ledger.stock(products, batch_id), batch))
+        asked = batch.select(F.col("product_id").alias("id")).distinct()
+        wanted = products.join(asked, "id", "left_semi")
+        decided = checkpointed(sell_decisions(ledger.stock(wanted, batch_id), batch))
         out = decided.select("seq", "product_id", "quantity", "price", "total_price", "reason")
         out.write.mode("overwrite").parquet(f"{folder}/decisions/batch={batch_id}")
         sold = decided.filter("reason IS NULL")

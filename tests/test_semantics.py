@@ -118,6 +118,7 @@ def test_day_figures_are_zero_on_an_empty_day(lines):
 def test_trend_keeps_days_with_sales_and_gap_fill_calendar_days(lines):
     trend = sales.sales_trend(lines, 2)
     assert [r["day"] for r in trend.orderBy("day").collect()] == [date(2026, 5, 8), DAY]
+    assert [r["day"] for r in sales.sales_trend(lines, 9).orderBy("day").collect()] == [None, date(2026, 5, 8), DAY]
     filled = sales.gap_fill(sales.sales_trend(lines), DAY, 3).orderBy("day").collect()
     assert [(r["day"].day, r["total_gross"]) for r in filled] == [(8, 20), (9, 0), (10, 85)]
     later = sales.gap_fill(sales.sales_trend(lines), date(2026, 5, 12), 2)
