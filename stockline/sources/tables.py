@@ -15,6 +15,24 @@ def scan(spark: SparkSession, path: str, table: str, fmt: str = "parquet") -> Da
     return spark.read.format(fmt).schema(TABLES[table]).load(path)
 
 
+# The day column a table is laid out by on disk.
+DAY_COLUMN = {
+    "sales_transactions": "date", "sales_receipts": "date", "incoming_goods": "date_in", "outgoing_goods": "date_out",
+}
+
+
+def write_table(df: DataFrame, path: str, table: str, mode: str = "append") -> None:
+    """Write rows of a table in a folder per day, so a filter on the day reads only its folders.
+
+    Rows are rebalanced by day first: small days share files, a day with very many rows is split over several tasks.
+    """
+    day = DAY_COLUMN.get(table)
+    if day is None:
+        df.write.mode(mode).parquet(path)
+    else:
+        df.hint("rebalance", day).write.mode(mode).partitionBy(day).parquet(path)
+
+
 def align_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Add the columns an older table lacks as typed NULLs; keep every column it has."""
     present = set(df.columns)
@@ -43,11 +61,15 @@ def append_rows(
     target: DataFrame,
     batch: DataFrame,
     order: list[Column],
+    last_id: int | None = None,
     heavy_rows: int | None = None,
     slices: int | None = None,
 ) -> DataFrame:
-    """The batch with new ids after the largest one of the target, in the given total order."""
-    last = target.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    """The batch with new ids after the largest one of the target, in the given total order.
+
+    Pass last_id, the largest id ever given, where rows may have been deleted: ids are never used again.
+    """
+    last = target.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if last_id is None else last_id
     numbered = running_totals(
         batch.drop("id"), [], order, {"id": F.lit(1).cast("long")}, heavy_rows=heavy_rows, slices=slices
     )

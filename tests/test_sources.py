@@ -94,3 +94,22 @@ def test_date_filter_reaches_the_scan(spark, tmp_path, frame):
     plan = sales.sales_on(table, date(2026, 5, 3)).select("total_price")._jdf.queryExecution().toString()
     assert "EqualTo(date,2026-05-03)" in plan
     assert "ReadSchema: struct<date:date,total_price:bigint>" in plan
+
+
+def test_trend_of_a_table_laid_out_by_day_reads_only_its_days(spark, tmp_path, frame):
+    rows = [(i, date(2026, 5, 1 + i % 20), i, 1, 1, 1, 1) for i in range(100)] + [(100, None, 1, 1, 1, 1, 1)]
+    lines = frame("id long, date date, product_id long, quantity long, total_price long, purchase_price long, profit_per_unit long", *rows)
+    path = str(tmp_path / "s")
+    tables.write_table(lines, path, "sales_transactions", "overwrite")
+    table = tables.scan(spark, path, "sales_transactions")
+    assert table.count() == 101 and table.filter("date IS NULL").count() == 1
+    trend = sales.sales_trend(table, 2)
+    plan = trend._jdf.queryExecution().toString()
+    assert "PartitionFilters: [date" in plan and "2026-05-20" in plan
+    assert sorted((r["day"].day, r["total_gross"]) for r in trend.collect()) == [(19, 5), (20, 5)]
+
+
+def test_ids_of_deleted_rows_are_not_used_again(frame):
+    target, batch = frame("id long", (1,), (2,)), frame("seq long", (5,), (4,))
+    got = tables.append_rows(target, batch, [F.col("seq")], last_id=9).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(10, 4), (11, 5)]
