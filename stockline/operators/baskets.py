@@ -92,7 +92,9 @@ def cumulative_cart_check(
     priced = priced_lines(lines, products)
     taken = F.greatest(S.coalesce_zero(F.col("quantity")), F.lit(0))
     order = [F.col("line"), F.col("quantity")]
-    running = running_totals(priced, ["cart_id", "product_id"], order, {"taken": taken}, heavy_rows, slices, lines.select("cart_id"))
+    running = running_totals(
+        priced, ["cart_id", "product_id"], order, {"taken": taken}, heavy_rows, slices, sized_by=lines.select("cart_id")
+    )
     left = F.col("stock") - (F.col("taken") - taken)
     return running.select(
         *[c for c in priced.columns if c != "reason"], left.alias("stock_left"), _short(left)
@@ -244,9 +246,10 @@ def sell_decisions(
 
 def _fold_by_product(open_requests: DataFrame) -> DataFrame:
     """Stock handed out request by request along a sorted array per product."""
-    of_request = ["seq", "quantity", "payment_method", "cashier_name"]
-    of_request = [c for c in of_request if c in open_requests.columns]
     of_product = ["stock", "product_code", "product_name", "unit", "price", "purchase_price"]
+    worked_out = ["product_id", "reason", "sale_price", "profit_per_unit", "total_price", "profit"]
+    others = [c for c in open_requests.columns if c not in ("seq", "quantity", *of_product, *worked_out)]
+    of_request = ["seq", "quantity", *others]
     # An array is as large as the rows it holds, so nothing is combined before the shuffle; no product is busy here.
     grouped = open_requests.repartition("product_id").groupBy("product_id").agg(
         F.sort_array(F.collect_list(F.struct(*of_request))).alias("rows"),
@@ -284,7 +287,7 @@ def _settle_in_rounds(open_requests: DataFrame, heavy_rows: int | None, slices:
         too_big = pending.filter(F.col("quantity") > F.col("left")).withColumn("reason", F.lit(NOT_ENOUGH_STOCK))
         running = checkpointed(
             running_totals(
-                pending.filter(F.col("quantity") <= F.col("left")), ["product_id"], [F.col("seq")],
+                pending.filter(F.col("quantity") <= F.col("left")), ["product_id"], [F.col("seq"), F.col("quantity")],
                 {"taken": F.col("quantity")}, heavy_rows, slices,
             )
         )

@@ -5,8 +5,6 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
-
 from stockline.operators import baskets
 from stockline.streaming import jobs
 from stockline.streaming.ledger import MovementLedger
@@ -34,7 +32,8 @@ def test_sales_trend_drops_late_rows(spark, tmp_path):
     files = [day(0, 5, 6), day(1, 7) + day(0, 1), day(9, 2), day(9, 3), day(0, 1000) + day(9, 4)]
     stream = write_files(spark, tmp_path / "in", SALE, *files)
     jobs.start_sales_trend(stream, str(tmp_path / "out"), "2 days").awaitTermination()
-    rows = {r["day"].day: (r["total_gross"], r["total_capital"], r["total_net"]) for r in jobs.live_sales_trend(spark, str(tmp_path / "out")).collect()}
+    live = jobs.live_sales_trend(spark, str(tmp_path / "out")).collect()
+    rows = {r["day"].day: (r["total_gross"], r["total_capital"], r["total_net"]) for r in live}
     assert rows == {1: (12, 3, 9), 2: (7, 1, 6), 10: (9, 3, 6)}
 
 
