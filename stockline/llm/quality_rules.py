@@ -1,16 +1,22 @@
 """Quality rules whose thresholds are set by risk: a bounded share of good documents is lost, per stratum.
 
-Each rule is a score (higher is worse) with a fixed ladder of cutoffs, from lenient to strict. On the labelled documents
-of a stratum, a cutoff is certified if, were its true false-rejection rate above `alpha` / number of rules, so few good
-documents above it would be seen with probability at most delta / (strata * rules): the exact binomial bound, corrected
-by Bonferroni over strata and rules. Within a rule the cutoffs are tested in their fixed order up to the first failure,
-which needs no further correction. So with probability 1 - delta, no stratum loses more than `alpha` of its good
-documents to all rules together. Of the certified cutoffs, the rule takes the most lenient one that rejects the most
-bad documents; if none rejects any, the rule is off in that stratum.
-
-Null text: no words, base_failed. A null stratum is a stratum of its own; strata without labels keep what the base rules
-keep. Null labels are not used; a document labelled twice counts twice. Null doc_id: never labelled. Repeated rows are
-treated alike. Columns of the documents other than doc_id, text and the stratum are ignored.
+Each rule is a score (higher is worse) with a fixed ladder of cutoffs. Labelled documents are split by a hash of their id
+into a tuning half and a holdout.
+
+* On the tuning half each stratum chooses, per rule, the cutoff that catches most bad documents less good ones lost (the
+  most lenient of equals; none if no cutoff gains), and orders its rules by that gain. The candidates are the first rule,
+  the first two together, and so on.
+* On the holdout a candidate is certified if, were its true rate of good documents lost above `alpha`, so few losses
+  would be seen with probability at most delta / number of strata: the exact binomial bound, corrected for the strata by
+  Bonferroni. A stratum's candidates are tested in their fixed order up to the first failure, which needs no further
+  correction. The last certified candidate is in force.
+
+So with probability 1 - delta, no stratum loses more than `alpha` of its good documents to the rules; a stratum with too
+few labels to show this keeps what the base rules keep.
+
+Null text: no words, base_failed. A null stratum is a stratum of its own. Null labels are not used; a document labelled
+twice counts twice. Null doc_id: never labelled. Repeated rows are treated alike. Columns of the documents other than
+doc_id, text and the stratum are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +32,10 @@ from stockline.llm.common import arrow_map
 from stockline.llm.stats import binomial_cdf
 from stockline.operators.scale import checkpointed
 
-ALPHA = 0.02  # of a stratum's good documents may be lost
+ALPHA = 0.05  # of a stratum's good documents may be lost
 DELTA = 0.05
 MIN_WORDS = 50
-#: Per mille, from lenient to strict.
+#: Cutoffs per mille, from lenient to strict.
 LADDER = (900, 800, 700, 600, 500, 450, 400, 350, 300, 250, 200, 150, 120, 100, 80, 60, 50, 40, 30, 20, 10)
 RULES = ("symbols", "upper", "dup_lines", "repeats", "long_words")
 
@@ -89,44 +95,75 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def certified_cutoffs(
-    scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA
-) -> DataFrame:
-    """stratum, rule, cutoff (null: the rule is off), n_good, n_lost (good above the cutoff), n_caught (bad above it).
+def _labelled(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").alias("_quality"))
+    return scored.join(known.filter("_quality in (0, 1)"), F.col("doc_id") == F.col("_id")).withColumn(
+        "tuning", F.pmod(F.xxhash64("_id"), F.lit(2)) == 0
+    )
+
+
+def proposals(tuning: DataFrame) -> DataFrame:
+    """stratum, rules (array of rule, cutoff; best first), from labelled and scored documents.
 
-    scored: doc_id, stratum and a column per rule, the documents that pass the base rules; labels: doc_id, quality.
-    Counts per stratum, rule and rung are summed where the rows are; what is left per stratum is RULES * LADDER rows.
+    Documents are counted per stratum, rule, label and rung before they are brought together.
     """
-    marked = scored.join(
-        labels.select(F.col("doc_id").cast("long").alias("_id"), "quality").filter("quality in (0, 1)"),
-        F.col("doc_id") == F.col("_id"),
-    )
-    above = [
-        F.sum(((F.col(rule) > cut) & (F.col("quality") == q)).cast("long")).alias(f"{rule}_{i}_{q}")
-        for rule in RULES for i, cut in enumerate(LADDER) for q in (1, 0)
-    ]
-    sums = marked.groupBy("stratum").agg(F.sum((F.col("quality") == 1).cast("long")).alias("n_good"), *above)
-    strata = sums.agg(F.count(F.lit(1)).alias("n_strata"))
+    ladder = F.array(*[F.lit(cut) for cut in LADDER])
+    rung = lambda rule: F.size(F.filter(ladder, lambda cut: F.col(rule) > cut))  # noqa: E731  rungs below the score
+    each = F.array(*[F.struct(F.lit(rule).alias("rule"), rung(rule).alias("rung")) for rule in RULES])
+    spread = tuning.select("stratum", "_quality", F.inline(each))
+    sums = spread.groupBy("stratum", "_quality", "rule", "rung").agg(F.count(F.lit(1)).alias("n"))
+    packed = sums.groupBy("stratum").agg(F.collect_list(F.struct("rule", "_quality", "rung", "n")).alias("counts"))
 
     def choose(part: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {name: [] for name in ("stratum", "rule", "cutoff", "n_good", "n_lost", "n_caught")}
+        out: dict[str, list] = {"stratum": [], "place": [], "rule": [], "cutoff": []}
         for row in part.to_pylist():
-            level = delta / (row["n_strata"] * len(RULES))
-            for rule in RULES:
-                best = (None, 0, 0)
-                for i, cut in enumerate(LADDER):
-                    lost, caught = row[f"{rule}_{i}_1"], row[f"{rule}_{i}_0"]
-                    if binomial_cdf(lost, row["n_good"], alpha / len(RULES)) > level:
-                        break
-                    if caught > best[2]:
-                        best = (cut, lost, caught)
-                values = (row["stratum"], rule, best[0], row["n_good"], best[1], best[2])
-                for name, value in zip(out, values):
+            gains: dict[str, list[int]] = {rule: [0] * len(LADDER) for rule in RULES}
+            for count in row["counts"]:  # a score above `rung` cutoffs is above the last ones of the ladder
+                for i in range(len(LADDER) - count["rung"], len(LADDER)):
+                    gains[count["rule"]][i] += count["n"] if count["_quality"] == 0 else -count["n"]
+            best = sorted((-max(g), rule, LADDER[g.index(max(g))]) for rule, g in gains.items() if max(g) > 0)
+            for place, (_, rule, cut) in enumerate(best):
+                for name, value in zip(out, (row["stratum"], place, rule, cut)):
                     out[name].append(value)
         return out
 
-    schema = "stratum string, rule string, cutoff int, n_good long, n_lost long, n_caught long"
-    return arrow_map(sums.join(F.broadcast(strata)), choose, schema)  # one row is broadcast
+    return arrow_map(packed, choose, "stratum string, place int, rule string, cutoff int")
+
+
+def certified(proposed: DataFrame, holdout: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The proposed rules that are in force (columns of `proposals`): per stratum those of the last certified candidate."""
+    wide = _wide(proposed)
+    good = holdout.filter("_quality = 1").join(wide, F.col("stratum").eqNullSafe(F.col("_stratum")))
+    # A good document is lost from the candidate on that adds the first rule it fails.
+    first = F.least(*[F.when(F.col(r) > F.col(f"_{r}"), F.col(f"_{r}_place")) for r in RULES], F.lit(len(RULES)))
+    sums = good.groupBy("_stratum", first.alias("lost_from")).agg(F.count(F.lit(1)).alias("n"))
+    packed = sums.groupBy("_stratum").agg(F.collect_list(F.struct("lost_from", "n")).alias("counts"))
+    strata = proposed.select("stratum").distinct().agg(F.count(F.lit(1)).alias("n_strata"))  # one row
+
+    def test(part: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"stratum": [], "last": []}
+        for row in part.to_pylist():
+            n_good, last = sum(c["n"] for c in row["counts"]), -1
+            for place in range(len(RULES)):
+                lost = sum(c["n"] for c in row["counts"] if c["lost_from"] <= place)
+                if binomial_cdf(lost, n_good, alpha) > delta / row["n_strata"]:
+                    break
+                last = place
+            out["stratum"].append(row["_stratum"])
+            out["last"].append(last)
+        return out
+
+    ends = arrow_map(packed.join(F.broadcast(strata)), test, "stratum string, last int").toDF("_stratum", "last")
+    joined = proposed.join(ends, F.col("stratum").eqNullSafe(F.col("_stratum")))
+    return joined.filter("place <= last").select("stratum", "place", "rule", "cutoff")
+
+
+def _wide(rules: DataFrame) -> DataFrame:
+    """One row per stratum: _stratum, and _<rule> (its cutoff) and _<rule>_place for each rule, null if it is off."""
+    of = lambda rule, name: F.max(F.when(F.col("rule") == rule, F.col(name)))
+    columns = [of(rule, "cutoff").alias(f"_{rule}") for rule in RULES]
+    columns += [of(rule, "place").alias(f"_{rule}_place") for rule in RULES]
+    return rules.groupBy(F.col("stratum").alias("_stratum")).agg(*columns)
 
 
 def judged(
@@ -135,10 +172,10 @@ def judged(
     """doc_id, the counts, base_failed, kept and failed_rules, for each row of docs."""
     counted = counts(docs, stratum).withColumn("base_failed", base_failed())
     scored = checkpointed(counted.select("*", *[value.alias(rule) for rule, value in scores().items()]))
-    cutoffs = certified_cutoffs(scored.filter(~F.col("base_failed")), labels, alpha, delta)
-    wide = cutoffs.groupBy(F.col("stratum").alias("_stratum")).pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    wide = wide.select("_stratum", *[F.col(rule).alias(f"_{rule}") for rule in RULES])
-    joined = scored.join(wide, scored.stratum.eqNullSafe(wide["_stratum"]), "left")
+    labelled = checkpointed(_labelled(scored.filter(~F.col("base_failed")), labels))
+    proposed = checkpointed(proposals(labelled.filter("tuning")))
+    in_force = _wide(certified(proposed, labelled.filter("not tuning"), alpha, delta))
+    joined = scored.join(in_force, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
     failed = F.array_compact(F.array(*[F.when(F.col(r) > F.col(f"_{r}"), F.lit(r)) for r in RULES]))
     kept = ~F.col("base_failed") & (F.size("failed_rules") == 0)
     return joined.withColumn("failed_rules", failed).select(
