@@ -1,4 +1,4 @@
-"""From nodes in shared buckets to links, without writing out all pairs of a bucket."""
+"""From nodes in shared buckets to components of links, without writing out all pairs of a bucket."""
 
 from __future__ import annotations
 
@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockline.llm.components import components
+from stockline.llm.components import joined_components
 from stockline.operators.scale import checkpointed
 
-#: Hubs tried per bucket while a bucket's open pairs outnumber its members by OPEN_FACTOR; then all open pairs are tried.
-HUB_ROUNDS = 4
+#: A node's bits are turned by each of these; the smallest results give a bucket's hubs, of which there are so many.
+TURNS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x369DEA0F31A53F85)
+#: Rounds of hubs while a bucket's open pairs outnumber its members by OPEN_FACTOR; then all open pairs are tried.
+HUB_ROUNDS = 6
 OPEN_FACTOR = 4
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
     """members (bucket, node) of the buckets with two nodes or more; written to the checkpoint folder."""
-    by_bucket = members.repartition("bucket")
+    # Dealt by number, so that one shuffle serves both the sum and the join; the filter is what the join would ask for.
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_bucket = members.filter("bucket is not null").repartition(parts, "bucket")
     ends = by_bucket.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     crowded = ends.filter("low < high").select("bucket").hint("shuffle_hash")
     return checkpointed(by_bucket.join(crowded, "bucket", "left_semi").distinct())
@@ -31,48 +35,45 @@ def component_per_node(
 ) -> DataFrame:
     """(node, component) under the links that `verify` confirms among nodes of one bucket (bucket, node).
 
-    verify takes distinct pairs (a < b) and returns those that are linked. In each round the smallest node of a bucket
-    is its hub and is tried against the bucket's nodes of other components; a bucket of copies thus costs one pair per
-    member. Pairs inside a component need no trial. When few pairs are open, all of them are tried; hence every pair of
-    a bucket is either tried or inside one component at the end, and the components are those of all pairs.
+    verify takes distinct pairs (a < b) and returns those that are linked. In each round a few nodes of a bucket are its
+    hubs and are tried against all its nodes; a bucket of copies thus costs a few pairs per member. What a hub has to do
+    with its bucket is then settled, and it leaves. Pairs inside a component need no trial. When few pairs are open
+    across components, all of them are tried; hence every pair of a bucket is either tried or inside one component at
+    the end, and the components are those of all pairs.
     """
-    found, labels, active = None, None, members
+    labels, active = None, members
     for round_ in range(hub_rounds + 1):
-        if labels is None:
-            placed = active.withColumn("component", F.col("node"))
-        else:
-            own = labels.withColumnRenamed("component", "_label")
-            placed = active.join(own, "node", "left").select(
-                "bucket", "node", F.coalesce("_label", "node").alias("component")
+        if labels is not None:
+            placed = active.join(labels, "node", "left").select(
+                "bucket", "node", F.coalesce("component", "node").alias("component")
             )
-            split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-            placed = checkpointed(placed.join(split.filter("lo < hi").select("bucket"), "bucket", "left_semi"))
-        last = round_ == hub_rounds or (labels is not None and _few_open(placed, open_factor))
-        if last:
-            left = placed.toDF("bucket", "a", "component_a")
-            right = placed.toDF("bucket", "b", "component_b")
-            tried = left.join(right, "bucket").filter("component_a < component_b")
-            tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        else:
-            # Before the first round a node is its own component; without min_by the sum needs no sort.
-            of_hub = F.min("node") if labels is None else F.min_by("component", "node")
-            hubs = placed.groupBy("bucket").agg(F.min("node").alias("hub"), of_hub.alias("hub_component"))
-            with_hub = placed.join(hubs, "bucket")
-            tried = with_hub.filter("node <> hub and component <> hub_component").select(
-                F.col("hub").alias("a"), F.col("node").alias("b")
-            )
-            active = with_hub.filter("node <> hub").select("bucket", "node")
-        linked = checkpointed(verify(tried.distinct()))
-        found = linked if found is None else found.union(linked)
-        labels = components(found)
-        if last:
-            break
+            ends = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+            active = checkpointed(placed.join(ends.filter("low < high").select("bucket"), "bucket", "left_semi"))
+            open_pairs, rows = _open_pairs(active)
+            if not open_pairs:
+                break
+            if round_ == hub_rounds or open_pairs <= open_factor * rows:
+                left, right = active.toDF("bucket", "a", "_in_a"), active.toDF("bucket", "b", "_in_b")
+                tried = left.join(right, "bucket").filter("_in_a < _in_b")
+                tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                labels = joined_components(labels, verify(tried))
+                break
+        lows = [F.min(F.col("node").bitwiseXOR(F.lit(turn))).bitwiseXOR(F.lit(turn)) for turn in TURNS]
+        hubs = active.groupBy("bucket").agg(F.array_distinct(F.array(*lows)).alias("hubs"))
+        with_hubs = active.join(hubs, "bucket")
+        ends = with_hubs.select("*", F.explode("hubs").alias("hub")).filter("node <> hub")
+        if labels is not None:
+            of_hub = labels.toDF("hub", "_in_hub")
+            ends = ends.join(of_hub, "hub", "left").filter(F.col("component") != F.coalesce("_in_hub", "hub"))
+        tried = ends.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        labels = checkpointed(joined_components(labels, verify(tried)))
+        active = with_hubs.filter(~F.array_contains("hubs", F.col("node"))).select("bucket", "node")
     return labels
 
 
-def _few_open(placed: DataFrame, open_factor: float) -> bool:
-    """Whether the pairs across components, counted per bucket, are at most open_factor times the members."""
+def _open_pairs(placed: DataFrame) -> tuple[float, int]:
+    """(pairs across components, counted per bucket; members)."""
     sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
     squares = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
-    open_pairs, rows = squares.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.sum("n")).first()
-    return (open_pairs or 0) <= open_factor * (rows or 0)
+    found = squares.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.sum("n")).first()
+    return found[0] or 0, found[1] or 0

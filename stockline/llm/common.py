@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that are worked on at a time, so that a task holds few texts as Python objects.
@@ -14,6 +17,8 @@ SLICE_ROWS = 256
 #: A list of ids is broadcast only if it counts at most this many rows (8 bytes each); else it is joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
+_SHIPPED: set[str] = set()
+
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -21,6 +26,19 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, in case it is not installed there."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        root = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp(prefix="stockline-")) / "stockline.zip"  # the driver's copy, which it serves
+        with zipfile.ZipFile(archive, "w") as packed:
+            for path in sorted((root / "stockline").rglob("*.py")):
+                packed.write(path, path.relative_to(root))
+        sc.addPyFile(str(archive))
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """df through `work`, a function from a slice of rows to columns by name (or None for no rows)."""
     names = [field.split()[0] for field in schema.split(", ")]
@@ -37,6 +55,7 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], dict | None], sche
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from stockline.operators.scale import checkpointed
 
+#: Links per checkpoint file: short lists are kept in few files.
+FILE_ROWS = 100_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each end of an edge (a, b); component is the smallest node of its component.
@@ -22,12 +25,15 @@ def components(edges: DataFrame) -> DataFrame:
     )
     seen = _fingerprint(links)
     while seen[0]:
+        files = 1 + seen[0] // FILE_ROWS
+        links = links.coalesce(files)
         both = links.union(links.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        large = links.select(F.col("v").alias("u"), F.col("u").alias("v")).join(low, "u")
+        large = large.select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(least, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        links = checkpointed(small.union(least.select("u", "low")).distinct())
+        links = checkpointed(small.union(least.select("u", "low")).distinct().coalesce(files))
         now = _fingerprint(links)
         if now == seen:
             break
@@ -36,5 +42,18 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def joined_components(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node, component) under earlier edges, given by their labels, and further edges (a, b)."""
+    if labels is None:
+        return components(edges)
+    of_a = labels.toDF("a", "_component_a")
+    of_b = labels.toDF("b", "_component_b")
+    between = edges.join(of_a, "a", "left").join(of_b, "b", "left")
+    tops = components(between.select(F.coalesce("_component_a", "a").alias("a"), F.coalesce("_component_b", "b").alias("b")))
+    moved = labels.join(tops.toDF("component", "_top"), "component", "left")
+    moved = moved.select("node", F.coalesce("_top", "component").alias("component"))
+    return moved.union(tops).groupBy("node").agg(F.min("component").alias("component"))
+
+
 def _fingerprint(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())

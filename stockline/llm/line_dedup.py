@@ -1,11 +1,11 @@
 """Fuzzy line deduplication: MinHash of character shingles, banding, exact Jaccard, one line kept per component.
 
-Lines are the \\n-split parts of a text; compared are their lower-cased words joined by single spaces. Lines of fewer
+Lines are the \\n-split parts of a text, lower-cased; their white space counts as single spaces between words. Lines of fewer
 than `min_chars` characters are left alone: short headings recur by chance. Lines of equal form are one node; two
 nodes are linked if their sets of 10-character shingles have Jaccard similarity >= 0.75; of each component the line of
 the smallest (doc_id, line number) stays and the others go.
 
-Nodes are 64-bit hashes of the form. Null text: no lines, returned as it is. Null doc_id: its lines are neither
+Nodes are 64-bit hashes of the form; shingles are compared by 64-bit hashes. Null text: no lines, returned as it is. Null doc_id: its lines are neither
 compared nor removed. Repeated rows of a doc_id count as one document, whose rows are treated alike.
 """
 
@@ -18,20 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockline.llm.buckets import component_per_node, shared_buckets
-from stockline.llm.common import arrow_map, band_keys, long_lists, only_ids, permutations
+from stockline.llm.common import arrow_map, band_keys, long_lists, mixed, only_ids, permutations
+from stockline.operators.scale import checkpointed
 
 MIN_CHARS = 50
 SHINGLE = 10  # characters
 THRESHOLD = 75  # per cent
 BANDS, ROWS = 10, 3  # a pair of similarity 0.75 shares a bucket with probability 0.996, of 0.8 with 0.999
 SEEN = 200_000  # forms a task remembers so as not to send them again
+HELD_SHINGLES = 4_000_000  # shingles a task holds while it compares
 
 _SEED = 7_919
-
-
-def form(line: str) -> str:
-    """What is compared of a line."""
-    return " ".join(line.lower().split())
+_UNEVEN = ("  ", "\t", "\r", "\v", "\f", "\xa0")  # white space that makes a text's lines uneven
 
 
 def line_key(text: str) -> int:
@@ -41,7 +39,10 @@ def line_key(text: str) -> int:
 
 def forms(text: str | None, min_chars: int) -> list[tuple[int, str]]:
     """(line number, form) of the lines that are compared."""
-    found = ((i, form(line)) for i, line in enumerate((text or "").split("\n")) if len(line) >= min_chars)
+    text = (text or "").lower()
+    plain = not any(space in text for space in _UNEVEN)
+    found = [(i, line) for i, line in enumerate(text.split("\n")) if len(line) >= min_chars]
+    found = [(i, line.strip(" ") if plain else " ".join(line.split())) for i, line in found]
     return [(i, line) for i, line in found if len(line) >= min_chars]
 
 
@@ -117,40 +118,61 @@ def placed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return arrow_map(_texts(docs), work, "node long, doc_id long, line int")
 
 
-def exactly_linked(pairs: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets reach the threshold."""
+def crowded_forms(docs: DataFrame, nodes: DataFrame, min_chars: int) -> DataFrame:
+    """node, form of the given nodes (a column `node`)."""
 
-    def texts(part: pa.RecordBatch) -> dict:
+    def work(part: pa.RecordBatch) -> dict:
         found = {line_key(line): line for text in part.column(0) for _, line in forms(text.as_py(), min_chars)}
         return {"node": list(found), "form": list(found.values())}
 
+    lines = arrow_map(_texts(docs).select("text"), work, "node long, form string")
+    return only_ids(lines, nodes, "node").dropDuplicates(["node"])
+
+
+def exactly_linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets reach the threshold; lines: node, form."""
+    known: dict[str, np.ndarray] = {}
+    held = [0]
+
+    def shingles(line: str) -> np.ndarray:
+        """The distinct shingles, as sorted 64-bit hashes."""
+        if line not in known:
+            if held[0] > HELD_SHINGLES:
+                known.clear()
+                held[0] = 0
+            points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+            n = len(points) - SHINGLE + 1
+            hashes = np.zeros(n, dtype=np.uint64)
+            for i in range(SHINGLE):
+                hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + points[i : n + i]
+            known[line] = np.unique(mixed(hashes))
+            held[0] += n
+        return known[line]
+
+    def similar(a: str, b: str) -> bool:
+        left, right = shingles(a), shingles(b)
+        few, many = sorted((len(left), len(right)))
+        if 100 * few < THRESHOLD * many:
+            return False
+        both = np.concatenate((left, right))
+        both.sort()
+        common = int((both[1:] == both[:-1]).sum())
+        return 100 * common >= THRESHOLD * (len(both) - common)
+
     def compare(part: pa.RecordBatch) -> dict:
-        known: dict[str, set] = {}
-
-        def shingles(line: str) -> set:
-            if line not in known:
-                known[line] = {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
-            return known[line]
-
-        linked = []
-        for a, b in zip(part.column("form_a").to_pylist(), part.column("form_b").to_pylist()):
-            left, right = shingles(a), shingles(b)
-            common = len(left & right)
-            linked.append(100 * common >= THRESHOLD * (len(left) + len(right) - common))
-        chosen = part.filter(pa.array(linked))
+        forms_a, forms_b = part.column("form_a").to_pylist(), part.column("form_b").to_pylist()
+        chosen = part.filter(pa.array(list(map(similar, forms_a, forms_b)), type=pa.bool_()))
         return {"a": chosen.column("a"), "b": chosen.column("b")}
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    lines = arrow_map(_texts(docs).select("text"), texts, "node long, form string")
-    lines = only_ids(lines, needed, "node").dropDuplicates(["node"])
     both = pairs.join(lines.toDF("a", "form_a"), "a").join(lines.toDF("b", "form_b"), "b")
     return arrow_map(both.select("a", "b", "form_a", "form_b"), compare, "a long, b long")
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, removed (sorted numbers of the lines that go), for documents that lose lines."""
-    members = banded_lines(docs, min_chars).select(F.explode("bands").alias("bucket"), "node")
-    reached = component_per_node(shared_buckets(members), lambda pairs: exactly_linked(pairs, docs, min_chars))
+    members = shared_buckets(banded_lines(docs, min_chars).select(F.explode("bands").alias("bucket"), "node"))
+    crowded = checkpointed(crowded_forms(docs, members.select("node").distinct(), min_chars))
+    reached = component_per_node(members, lambda pairs: exactly_linked(pairs, crowded))
     lines = placed_lines(docs, min_chars).join(reached, "node", "left")
     lines = lines.select(F.coalesce("component", "node").alias("component"), "doc_id", "line")
     # First within each document, then between documents: a line that recurs everywhere is summed where it is read.

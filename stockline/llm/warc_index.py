@@ -31,7 +31,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockline.llm.common import sliced
+from stockline.llm.common import ship_package, sliced
 from stockline.operators.scale import checkpointed
 from stockline.session import shared_folder
 
@@ -146,6 +146,7 @@ def _place(line: bytes) -> tuple[bytes, int]:
 def written(pages: DataFrame, min_bytes: int = 0, block_lines: int = BLOCK_LINES) -> tuple[str, DataFrame]:
     """Writes archives and index; (folder, one row for each archive: archive, first_key, first_id, records)."""
     folder = _folder(pages.sparkSession)
+    ship_package(pages.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for part in sliced(batches) for row in zip(*(c.to_pylist() for c in part.columns)))
@@ -266,4 +267,5 @@ def looked_up(wanted: DataFrame, folder: str, archives: DataFrame) -> DataFrame:
         url_key(plain_url(F.col("url"))).cast("binary").alias("key"), F.col("page_id").cast("long").alias("page_id")
     ).distinct()
     laid = rows.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    ship_package(wanted.sparkSession)
     return laid.mapInArrow(read, _RECORDS)
