@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockline.llm.components import joined_components
+from stockline.llm.components import few, joined_components
 from stockline.operators.scale import checkpointed
 
 #: A node's bits are turned by each of these; the smallest results give a bucket's hubs, of which there are so many.
@@ -18,13 +18,13 @@ OPEN_FACTOR = 4
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """members (bucket, node) of the buckets with two nodes or more; written to the checkpoint folder."""
-    # Dealt by number, so that one shuffle serves both the sum and the join; the filter is what the join would ask for.
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_bucket = members.filter("bucket is not null").repartition(parts, "bucket")
-    ends = by_bucket.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    crowded = ends.filter("low < high").select("bucket").hint("shuffle_hash")
-    return checkpointed(by_bucket.join(crowded, "bucket", "left_semi").distinct())
+    """members (bucket, node) of the buckets with two nodes or more; written to the checkpoint folder.
+
+    One shuffle by bucket; a task sorts its rows by bucket and looks at one bucket at a time, which spills if it is long.
+    """
+    in_bucket = Window.partitionBy("bucket")
+    ends = members.select("*", F.min("node").over(in_bucket).alias("low"), F.max("node").over(in_bucket).alias("high"))
+    return checkpointed(few(ends.filter("low < high").select("bucket", "node").distinct(), 4))
 
 
 def component_per_node(
@@ -48,7 +48,8 @@ def component_per_node(
                 "bucket", "node", F.coalesce("component", "node").alias("component")
             )
             ends = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            active = checkpointed(placed.join(ends.filter("low < high").select("bucket"), "bucket", "left_semi"))
+            active = placed.join(ends.filter("low < high").select("bucket"), "bucket", "left_semi")
+            active = checkpointed(few(active, 4))
             open_pairs, rows = _open_pairs(active)
             if not open_pairs:
                 break
@@ -66,7 +67,7 @@ def component_per_node(
             of_hub = labels.toDF("hub", "_in_hub")
             ends = ends.join(of_hub, "hub", "left").filter(F.col("component") != F.coalesce("_in_hub", "hub"))
         tried = ends.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        labels = checkpointed(joined_components(labels, verify(tried)))
+        labels = checkpointed(few(joined_components(labels, verify(tried))))
         active = with_hubs.filter(~F.array_contains("hubs", F.col("node"))).select("bucket", "node")
     return labels
 

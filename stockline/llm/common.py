@@ -59,6 +59,12 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], dict | None], sche
     return df.mapInArrow(run, schema)
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns named by place, which cannot clash with others, and the place's name of each column."""
+    names = {name: f"_{i}" for i, name in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def only_ids(df: DataFrame, ids: DataFrame, on: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """The rows of df whose `on` is among ids (one column of that name); a short list is broadcast, after a count."""
     if ids.count() <= broadcast_ids:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from stockline.operators.scale import checkpointed
 
-#: Links per checkpoint file: short lists are kept in few files.
-FILE_ROWS = 100_000
+
+def few(df: DataFrame, ratio: int = 16) -> DataFrame:
+    """df in a fixed part of the session's shuffle partitions: for lists much shorter than the input, which grow with it."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(1 + parts // ratio)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,21 +22,17 @@ def components(edges: DataFrame) -> DataFrame:
     sums per round aggregate before their shuffle, so a hub with many edges is no hot group.
     Edges with a null end or of a node to itself link nothing.
     """
-    links = checkpointed(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .filter(F.col("a") != F.col("b")).distinct()
-    )
+    ordered = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    links = checkpointed(few(ordered.filter("u <> v").distinct()))
     seen = _fingerprint(links)
     while seen[0]:
-        files = 1 + seen[0] // FILE_ROWS
-        links = links.coalesce(files)
         both = links.union(links.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
         large = links.select(F.col("v").alias("u"), F.col("u").alias("v")).join(low, "u")
         large = large.select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(least, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        links = checkpointed(small.union(least.select("u", "low")).distinct().coalesce(files))
+        links = checkpointed(few(small.union(least.select("u", "low")).distinct()))
         now = _fingerprint(links)
         if now == seen:
             break

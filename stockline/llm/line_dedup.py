@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockline.llm.buckets import component_per_node, shared_buckets
-from stockline.llm.common import arrow_map, band_keys, long_lists, mixed, only_ids, permutations
+from stockline.llm.common import arrow_map, band_keys, long_lists, mixed, only_ids, permutations, positional
 from stockline.operators.scale import checkpointed
 
 MIN_CHARS = 50
@@ -186,15 +186,19 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with the remaining lines as text, plus n_lines and n_removed (both long); all other columns as they are."""
-    names = docs.columns
-    removed = repeated_lines(docs, min_chars).toDF("_gone_id", "_gone").hint("shuffle_hash")
-    joined = docs.join(removed, F.col("doc_id").cast("long") == F.col("_gone_id"), "left")
-    lines = F.split("text", "\n", -1)
-    rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)
+    """docs with the remaining lines as text, plus n_lines and n_removed (both long, in place of columns
+    of these names); all other columns as they are."""
+    placed, names = positional(docs)
+    removed = repeated_lines(docs, min_chars).toDF("gone_id", "gone").hint("shuffle_hash")
+    joined = placed.join(removed, F.col(names["doc_id"]).cast("long") == F.col("gone_id"), "left")
+    lines = F.split(names["text"], "\n", -1)
+    rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    kept = F.when(F.col("gone").isNull(), F.col(names["text"])).otherwise(rest)
     return joined.select(
-        *[kept.alias(n) if n == "text" else F.col(n) for n in names if n not in ("n_lines", "n_removed")],
+        *[
+            (kept if n == "text" else F.col(place)).alias(n)
+            for n, place in names.items() if n not in ("n_lines", "n_removed")
+        ],
         F.coalesce(F.array_size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+        F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+    )
