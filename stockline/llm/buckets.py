@@ -30,22 +30,26 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 def component_per_node(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
+    sizes: DataFrame,
+    least_share: float,
     hub_rounds: int = HUB_ROUNDS,
     open_factor: float = OPEN_FACTOR,
 ) -> DataFrame:
     """(node, component) under the links that `verify` confirms among nodes of one bucket (bucket, node).
 
-    verify takes distinct pairs (a < b) and returns those that are linked. In each round a few nodes of a bucket are its
+    verify takes distinct pairs (a < b) and returns those that are linked; sizes (node, size) are those of the nodes' sets,
+    and no pair is linked whose smaller set has less than `least_share` of the larger one's size. In each round a few nodes of a bucket are its
     hubs and are tried against all its nodes; a bucket of copies thus costs a few pairs per member. What a hub has to do
     with its bucket is then settled, and it leaves. Pairs inside a component need no trial. When few pairs are open
     across components, all of them are tried; hence every pair of a bucket is either tried or inside one component at
     the end, and the components are those of all pairs.
     """
-    labels, active = None, members
+    near = lambda one, other: F.least(one, other) >= least_share * F.greatest(one, other)
+    labels, active = None, members.join(sizes, "node").select("bucket", "node", "size")
     for round_ in range(hub_rounds + 1):
         if labels is not None:
             placed = active.join(labels, "node", "left").select(
-                "bucket", "node", F.coalesce("component", "node").alias("component")
+                "bucket", "node", "size", F.coalesce("component", "node").alias("component")
             )
             ends = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
             active = placed.join(ends.filter("low < high").select("bucket"), "bucket", "left_semi")
@@ -54,8 +58,8 @@ def component_per_node(
             if not open_pairs:
                 break
             if round_ == hub_rounds or open_pairs <= open_factor * rows:
-                left, right = active.toDF("bucket", "a", "_in_a"), active.toDF("bucket", "b", "_in_b")
-                tried = left.join(right, "bucket").filter("_in_a < _in_b")
+                left, right = active.toDF("bucket", "a", "_a", "_in_a"), active.toDF("bucket", "b", "_b", "_in_b")
+                tried = left.join(right, "bucket").filter((F.col("_in_a") < F.col("_in_b")) & near("_a", "_b"))
                 tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
                 labels = joined_components(labels, verify(tried))
                 break
@@ -63,12 +67,13 @@ def component_per_node(
         hubs = active.groupBy("bucket").agg(F.array_distinct(F.array(*lows)).alias("hubs"))
         with_hubs = active.join(hubs, "bucket")
         ends = with_hubs.select("*", F.explode("hubs").alias("hub")).filter("node <> hub")
+        ends = ends.join(sizes.toDF("hub", "_size"), "hub").filter(near("size", "_size"))
         if labels is not None:
             of_hub = labels.toDF("hub", "_in_hub")
             ends = ends.join(of_hub, "hub", "left").filter(F.col("component") != F.coalesce("_in_hub", "hub"))
         tried = ends.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         labels = checkpointed(few(joined_components(labels, verify(tried))))
-        active = with_hubs.filter(~F.array_contains("hubs", F.col("node"))).select("bucket", "node")
+        active = with_hubs.filter(~F.array_contains("hubs", F.col("node"))).select("bucket", "node", "size")
     return labels
 
 

@@ -129,31 +129,42 @@ def crowded_forms(docs: DataFrame, nodes: DataFrame, min_chars: int) -> DataFram
     return only_ids(lines, nodes, "node").dropDuplicates(["node"])
 
 
+def shingle_set(line: str) -> np.ndarray:
+    """The distinct shingles of a form, as sorted 64-bit hashes."""
+    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    n = len(points) - SHINGLE + 1
+    hashes = np.zeros(n, dtype=np.uint64)
+    for i in range(SHINGLE):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + points[i : n + i]
+    return np.unique(mixed(hashes))
+
+
+def sized(lines: DataFrame) -> DataFrame:
+    """node, form, size (distinct shingles) of node, form."""
+
+    def work(part: pa.RecordBatch) -> dict:
+        sizes = [len(shingle_set(line)) for line in part.column(1).to_pylist()]
+        return {"node": part.column(0), "form": part.column(1), "size": sizes}
+
+    return arrow_map(lines, work, "node long, form string, size long")
+
+
 def exactly_linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets reach the threshold; lines: node, form."""
     known: dict[str, np.ndarray] = {}
     held = [0]
 
     def shingles(line: str) -> np.ndarray:
-        """The distinct shingles, as sorted 64-bit hashes."""
         if line not in known:
             if held[0] > HELD_SHINGLES:
                 known.clear()
                 held[0] = 0
-            points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-            n = len(points) - SHINGLE + 1
-            hashes = np.zeros(n, dtype=np.uint64)
-            for i in range(SHINGLE):
-                hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + points[i : n + i]
-            known[line] = np.unique(mixed(hashes))
-            held[0] += n
+            known[line] = shingle_set(line)
+            held[0] += len(known[line])
         return known[line]
 
     def similar(a: str, b: str) -> bool:
         left, right = shingles(a), shingles(b)
-        few, many = sorted((len(left), len(right)))
-        if 100 * few < THRESHOLD * many:
-            return False
         both = np.concatenate((left, right))
         both.sort()
         common = int((both[1:] == both[:-1]).sum())
@@ -171,8 +182,11 @@ def exactly_linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, removed (sorted numbers of the lines that go), for documents that lose lines."""
     members = shared_buckets(banded_lines(docs, min_chars).select(F.explode("bands").alias("bucket"), "node"))
-    crowded = checkpointed(crowded_forms(docs, members.select("node").distinct(), min_chars))
-    reached = component_per_node(members, lambda pairs: exactly_linked(pairs, crowded))
+    crowded = checkpointed(sized(crowded_forms(docs, members.select("node").distinct(), min_chars)))
+    reached = component_per_node(
+        members, lambda pairs: exactly_linked(pairs, crowded.select("node", "form")), crowded.select("node", "size"),
+        THRESHOLD / 100,
+    )
     lines = placed_lines(docs, min_chars).join(reached, "node", "left")
     lines = lines.select(F.coalesce("component", "node").alias("component"), "doc_id", "line")
     # First within each document, then between documents: a line that recurs everywhere is summed where it is read.

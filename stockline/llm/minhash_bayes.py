@@ -143,12 +143,14 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
     first = found.filter("n_shingles > 0").join(chosen, "doc_id", "left_semi")
     members = shared_buckets(first.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node")))
     crowded = members.select(F.col("node").alias("doc_id")).distinct()
-    signatures = checkpointed(first.select("doc_id", "signature").join(crowded, "doc_id", "left_semi"))
+    chosen = checkpointed(first.select("doc_id", "signature", "n_shingles").join(crowded, "doc_id", "left_semi"))
+    signatures, sizes = chosen.select("doc_id", "signature"), chosen.select(F.col("doc_id").alias("node"), "n_shingles")
 
     def verify(pairs: DataFrame) -> DataFrame:
         return exactly_linked(checkpointed(pruned(pairs, signatures, miss).distinct()), docs)
 
-    reached = component_per_node(members, verify)
+    sizes = sizes.groupBy("node").agg(F.max("n_shingles").alias("size"))
+    reached = component_per_node(members, verify, sizes, THRESHOLD / 100)
     placed = classes.join(reached, "node", "left").select(
         *of_set, F.coalesce("component", "node").alias("component_id")
     )

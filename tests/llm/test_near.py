@@ -53,8 +53,9 @@ def test_every_pair_of_a_bucket_is_settled(spark, rounds, factor):
     frame = spark.createDataFrame(sorted(members), "bucket long, node long")
     rounds = max(rounds, 1)
     found = buckets.component_per_node(
-        buckets.shared_buckets(frame), lambda tried: tried.join(known, ["a", "b"]), rounds, factor
-    )
+        buckets.shared_buckets(frame), lambda tried: tried.join(known, ["a", "b"]),
+        frame.select("node").distinct().withColumn("size", F.lit(1)), 0.75, rounds, factor,
+    )
     expected = union_find({n for p in pairs & linked for n in p}, pairs & linked)
     assert {r.node: r.component for r in found.collect()} == expected
 
