@@ -5,7 +5,7 @@ from __future__ import annotations
 # The retail views of stockline/sources/star.py in SQL.
 _VIEWS = {
     "products": """
-        SELECT p_partkey AS id, 'BRG-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, p_name AS name,
+        SELECT p_partkey AS id, 'BRG-' || lpad(CAST(p_partkey AS VARCHAR), greatest(6, length(CAST(p_partkey AS VARCHAR)))::INT, '0') AS code, p_name AS name,
             CAST(CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'SMALL' THEN 3
                  WHEN 'STANDARD' THEN 4 WHEN 'LARGE' THEN 5 END AS BIGINT) AS category_id,
             p_brand AS unit,
@@ -20,11 +20,11 @@ _VIEWS = {
         SELECT CAST(r_regionkey + 1 AS BIGINT) AS id, r_name AS name, 'Kategori ' || r_name AS description FROM region""",
     "suppliers": """
         SELECT s_suppkey AS id, s_name AS name, 'Jl. ' || CAST(s_nationkey AS VARCHAR) AS address,
-            '08' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS phone,
+            '08' || lpad(CAST(s_suppkey AS VARCHAR), greatest(8, length(CAST(s_suppkey AS VARCHAR)))::INT, '0') AS phone,
             CASE WHEN s_acctbal >= 0 THEN 's' || CAST(s_suppkey AS VARCHAR) || '@example.com' END AS email
         FROM supplier""",
     "customers": """
-        SELECT c_custkey AS id, c_name AS name, '08' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS phone,
+        SELECT c_custkey AS id, c_name AS name, '08' || lpad(CAST(c_custkey AS VARCHAR), greatest(8, length(CAST(c_custkey AS VARCHAR)))::INT, '0') AS phone,
             'c' || CAST(c_custkey AS VARCHAR) || '@example.com' AS email, c_mktsegment AS address,
             CAST(floor(c_acctbal) AS BIGINT) AS points
         FROM customer""",
@@ -215,19 +215,19 @@ _VIEWS["incoming_judged"] = """
         FROM incoming_requests AS i LEFT JOIN products AS p ON p.id = i.product_id"""
 _VIEWS["offers"] = """
         SELECT p_partkey * 2 + copy AS seq,
-            CASE WHEN p_size < 10 THEN 'BRG-' ELSE 'NEW-' END || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code,
+            CASE WHEN p_size < 10 THEN 'BRG-' ELSE 'NEW-' END || lpad(CAST(p_partkey AS VARCHAR), greatest(6, length(CAST(p_partkey AS VARCHAR)))::INT, '0') AS code,
             CASE WHEN p_brand = 'Brand#1' THEN '' ELSE p_name END AS name,
             CAST(CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'SMALL' THEN 3
                  WHEN 'STANDARD' THEN 4 WHEN 'LARGE' THEN 5 END AS BIGINT) AS category_id,
             p_brand AS unit, CAST(floor(p_retailprice) AS BIGINT) AS purchase_price,
             CAST(floor(p_retailprice) AS BIGINT) * 100 AS sale_price,
-            CAST(CASE WHEN copy = 0 THEN p_size ELSE 0 END AS BIGINT) AS stock
+            CAST(CASE WHEN copy = 0 THEN p_size ELSE 0 END AS BIGINT) AS stock, p_size <> 7 AS whole
         FROM part, (VALUES (0), (1)) AS c(copy)"""
 _VIEWS["offers_judged"] = """
         SELECT *, CASE WHEN NOT complete THEN 'invalid_data'
                        WHEN known OR row_number() OVER (PARTITION BY complete, known, code ORDER BY seq) > 1
                        THEN 'duplicate_code' END AS reject_reason
-        FROM (SELECT o.*, o.code <> '' AND o.name <> '' AND o.unit <> '' AND coalesce(o.category_id, 0) <> 0 AS complete,
+        FROM (SELECT o.*, o.whole AND o.code <> '' AND o.name <> '' AND o.unit <> '' AND coalesce(o.category_id, 0) <> 0 AS complete,
                   p.id IS NOT NULL AS known
               FROM offers AS o LEFT JOIN products AS p ON p.code = o.code) AS j"""
 _VIEWS["created"] = """
@@ -237,7 +237,12 @@ _VIEWS["last_changes"] = """
         SELECT * FROM (
             SELECT product_id AS id, line_number, price, quantity, supplier_key,
                 row_number() OVER (PARTITION BY product_id ORDER BY id DESC) AS rn
-            FROM lines) AS n WHERE rn = 1"""
+            FROM lines WHERE line_number <> 6) AS n WHERE rn = 1"""
+_VIEWS["scans"] = """
+        SELECT line AS scan, CASE WHEN quantity_text = '13' THEN '  '
+            ELSE ' brg-' || lpad(CAST(product_id AS VARCHAR), greatest(6, length(CAST(product_id AS VARCHAR)))::INT, '0')
+            END AS code
+        FROM cart_lines"""
 _VIEWS["requests"] = """
         SELECT line AS seq, product_id, quantity, price, total_price, stock_now, early_reason,
             CASE WHEN early_reason IS NULL
@@ -285,12 +290,10 @@ _KEPT = {
     "search_products": """SELECT id, code, name FROM products
         WHERE contains(lower(name), 'anvil') OR contains(lower(coalesce(code, '')), 'anvil')""",
     "filter_catalog": "SELECT id, code, name, category_id, supplier_id FROM products WHERE category_id = 3 AND supplier_id = 4",
-    "lookup_code": """SELECT l.id AS scan, ' brg-' || lpad(CAST(l.product_id AS VARCHAR), 6, '0') AS code,
-            p.id AS product_id, p.name AS product_name
-        FROM lines AS l LEFT JOIN products AS p ON lower(p.code) = 'brg-' || lpad(CAST(l.product_id AS VARCHAR), 6, '0')""",
-    "missed_codes": """SELECT l.id AS scan, ' brg-' || lpad(CAST(l.product_id AS VARCHAR), 6, '0') AS code
-        FROM lines AS l WHERE NOT EXISTS (
-            SELECT 1 FROM products AS p WHERE lower(p.code) = 'brg-' || lpad(CAST(l.product_id AS VARCHAR), 6, '0'))""",
+    "lookup_code": """SELECT s.scan, s.code, p.id AS product_id, p.name AS product_name
+        FROM scans AS s LEFT JOIN products AS p ON lower(p.code) = trim(s.code)""",
+    "missed_codes": """SELECT s.scan, s.code FROM scans AS s
+        WHERE coalesce(trim(s.code), '') NOT IN (SELECT lower(code) FROM products)""",
     "low_stock": """SELECT *, name || ' — ' || CAST(coalesce(stock, 0) AS VARCHAR) || ' tersisa' AS shown
         FROM catalog WHERE coalesce(stock, 0) <= 5""",
     "stock_tier": """SELECT id, stock,
@@ -383,7 +386,7 @@ _KEPT = {
         FROM sums_by_product AS x LEFT JOIN products AS p ON p.id = x.product_id
         UNION ALL
         SELECT NULL, 'TOTAL', true, CAST(SUM(total_qty) AS BIGINT), CAST(SUM(total_revenue) AS BIGINT),
-            CAST(SUM(total_capital) AS BIGINT), CAST(SUM(total_profit) AS BIGINT) FROM sums_by_product""",
+            CAST(SUM(total_capital) AS BIGINT), CAST(coalesce(SUM(total_profit), 0) AS BIGINT) FROM sums_by_product""",
     "product_label": """SELECT l.id, coalesce(p.name, 'ID:' || coalesce(CAST(l.product_id AS VARCHAR), 'null')) AS label
         FROM lines AS l LEFT JOIN products AS p ON p.id = l.product_id""",
     # ---- lists ----
@@ -552,6 +555,29 @@ _KEPT = {
                   CAST(SUM(profit_per_unit * quantity) AS BIGINT) AS total_profit
               FROM sales WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY product_id) AS x
         LEFT JOIN products AS p ON p.id = x.product_id""",
+    "period_report_totals": """SELECT CAST(SUM(total_price) AS BIGINT) AS gross, CAST(COUNT(*) AS BIGINT) AS lines,
+            CAST(SUM(profit_per_unit * quantity) AS BIGINT) AS net, CAST(SUM(quantity) AS BIGINT) AS total_qty,
+            CAST(COUNT(DISTINCT coalesce(product_id, -1)) + 1 AS BIGINT) AS report_rows,
+            (SELECT CAST(COUNT(*) AS BIGINT) FROM products) AS products,
+            (SELECT CAST(SUM(stock) AS BIGINT) FROM products) AS stock
+        FROM sales WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'""",
+    "daily_tables": """SELECT id, product_id, quantity, total_price, date FROM sales
+        WHERE date BETWEEN DATE '1998-03-01' AND DATE '1998-03-07'""",
+    "receipt_export_files": """SELECT r.id AS receipt_id, '#' || CAST(r.id AS VARCHAR) AS number,
+            'Rp ' || replace(format('{:,}', r.subtotal), ',', '.') AS total_text, CAST(COUNT(*) AS BIGINT) AS n_items
+        FROM receipts AS r JOIN lines AS l ON l.receipt_id = r.id GROUP BY r.id, r.subtotal""",
+    "apply_defaults": """SELECT id, name, CAST(0 AS BIGINT) AS points FROM customers""",
+    "seed_if_empty": """SELECT id, name, description FROM categories UNION ALL SELECT * FROM (VALUES
+        (CAST(1 AS BIGINT), 'Elektronik', 'Perangkat elektronik dan aksesoris'),
+        (2, 'Fashion', 'Pakaian dan aksesori mode'), (3, 'Makanan', 'Bahan makanan dan snack'),
+        (4, 'Minuman', 'Minuman kemasan dan segar'),
+        (5, 'Rumah Tangga', 'Peralatan rumah tangga dan kebutuhan sehari-hari'),
+        (6, 'Perawatan', 'Produk kebersihan dan perawatan diri')) AS v(id, name, description)""",
+    "validate_categories": """SELECT id, name, CASE WHEN id % 2 = 0 THEN 'invalid_data' END AS reject_reason FROM categories""",
+    "validate_customers": """SELECT id, email, CASE WHEN points < 0 THEN 'invalid_data' END AS reject_reason FROM customers""",
+    "upsert_suppliers": """SELECT id, CASE WHEN email IS NULL THEN name ELSE 'Baru' END AS name,
+        CASE WHEN email IS NULL THEN address ELSE name END AS address, phone, email FROM suppliers""",
+    "refused_changes": """SELECT id AS seq, product_id AS id FROM lines WHERE line_number = 6""",
     # ---- streams: the batch result on the same rows ----
     "sales_trend_stream": """SELECT CAST(created_at AS DATE) AS day, CAST(SUM(quantity * 100) AS BIGINT) AS total_gross,
             CAST(SUM(CASE WHEN product_id IS NULL THEN 0 ELSE quantity * 80 END) AS BIGINT) AS total_capital,

@@ -13,9 +13,12 @@ from stockline.functions import scalars as S
 from stockline.operators import baskets, catalog, maintenance, sales, stock
 from stockline.plans import dashboard, period_report
 from stockline.session import shared_folder
-from stockline.sources.sinks import period_report_export
+from stockline.sources import samples
+from stockline.sources.sinks import period_report_export, receipt_export
 from stockline.sources.star import StarTables
-from stockline.sources.tables import append_rows
+from stockline.sources.tables import append_rows, scan, write_table
+from stockline.sources.tables import apply_defaults as apply_defaults_of
+from stockline.sources.tables import seed_if_empty as seed
 from stockline.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +61,8 @@ def filter_catalog(t):
 
 def _scans(t):
     lines = t.cart_lines()
-    code = F.concat(F.lit(" brg-"), F.lpad(F.col("product_id").cast("string"), 6, "0"))
+    code = F.concat(F.lit(" brg-"), S.padded(F.col("product_id"), 6))
+    code = F.when(F.col("quantity") == "13", F.lit("  ")).otherwise(code)  # some scans are blank
     return lines.select(F.col("line").alias("scan"), code.alias("code"))
 
 
@@ -523,6 +527,44 @@ def stock_count_stock(t):
     return stock.apply_movements(t.products(), _counted(t).movements).select("id", "stock")
 
 
+@_query
+def refused_changes(t):
+    return maintenance.refused_changes(t.product_changes()).select("seq", "id")
+
+
+@_query
+def validate_categories(t):
+    named = t.categories().withColumn("name", F.when(F.col("id") % 2 == 0, F.lit("  ")).otherwise(F.col("name")))
+    judged = maintenance.with_reject_reason(named, "categories").select("id", "reject_reason")
+    return t.categories().select("id", "name").join(judged, "id")
+
+
+@_query
+def validate_customers(t):
+    email = F.when(F.col("points") < 0, F.lit("")).otherwise(F.col("email"))
+    judged = maintenance.with_reject_reason(t.customers().withColumn("given", F.col("email")).withColumn("email", email), "customers")
+    return judged.select("id", F.col("given").alias("email"), "reject_reason")
+
+
+@_query
+def upsert_suppliers(t):
+    """Every supplier sends a change; those without email are refused."""
+    changes = t.suppliers().select("id", F.lit(1).alias("seq"), F.lit(" Baru").alias("name"), F.col("name").alias("address"), "phone", "email")
+    return maintenance.upsert(t.suppliers(), changes, "suppliers")
+
+
+@_query
+def apply_defaults(t):
+    return apply_defaults_of(t.customers().select("id", "name"), "customers")
+
+
+@_query
+def seed_if_empty(t):
+    """The categories stay as they are; an empty table gets the sample rows."""
+    full = seed(t.categories(), samples.CATEGORIES, "categories")
+    return full.union(seed(t.categories().filter("id < 0"), samples.CATEGORIES, "categories"))
+
+
 # ---- scalars over whole tables ----
 
 
@@ -637,3 +679,36 @@ def period_report_files(t):
     report = period_report.period_report(t, *YEAR)
     target = period_report_export(report, _run_folder(t), *YEAR, as_of=CHECKOUT_DAY)
     return t.spark.read.parquet(f"{target}/products")
+
+
+@_query
+def period_report_totals(t):
+    """One row from all sections of the period report, written and read back."""
+    target = period_report_export(period_report.period_report(t, *YEAR), _run_folder(t), *YEAR, as_of=CHECKOUT_DAY)
+    read = lambda name: t.spark.read.parquet(f"{target}/{name}")
+    finance = read("finance").select(
+        F.col("periodGross").alias("gross"), F.col("totalTransactions").alias("lines"), F.col("periodNet").alias("net")
+    )
+    total = read("products_total").agg(
+        F.max(F.when(F.col("is_total"), F.col("total_qty"))).alias("total_qty"), F.count(F.lit(1)).alias("report_rows")
+    )
+    counts = read("counts").select(F.col("totalProducts").alias("products"))
+    shelf = read("stock").agg(F.sum("stock").alias("stock"))
+    return finance.crossJoin(total).crossJoin(counts).crossJoin(shelf)  # one row each
+
+
+@_query
+def daily_tables(t):
+    """The sales laid out by day, read with their schema; a filter on days reads the folders of those days."""
+    path = f"{_run_folder(t)}/sales"
+    write_table(t.sales_transactions(), path, "sales_transactions")
+    week = sales.sales_between(scan(t.spark, path, "sales_transactions"), "1998-03-01", "1998-03-07")
+    return week.select("id", "product_id", "quantity", "total_price", "date")
+
+
+@_query
+def receipt_export_files(t):
+    path = f"{_run_folder(t)}/receipts"
+    receipt_export(sales.receipt_document(t.sales_receipts(), t.sales_receipt_items()), path)
+    back = t.spark.read.json(path).select("receipt_id", "number", "total_text", "page_lines")
+    return back.groupBy("receipt_id", "number", "total_text").agg(F.sum("page_lines").alias("n_items"))

@@ -52,6 +52,12 @@ def whole_number(x: Column) -> Column:
     return F.when(text.rlike(DIGITS_PATTERN), text.try_cast("long")).when(finite, whole).otherwise(0)
 
 
+def padded(key: Column, width: int) -> Column:
+    """A whole number as text with leading zeros up to the width; longer numbers stay whole."""
+    text = key.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
+
+
 def coalesce_zero(x: Column) -> Column:
     return F.coalesce(x, F.lit(0))
 

@@ -57,8 +57,8 @@ def lookup_code(products: DataFrame, scans: DataFrame) -> DataFrame:
 
 
 def missed_codes(products: DataFrame, scans: DataFrame) -> DataFrame:
-    """Scans that no product answers."""
-    known = products.filter("code IS NOT NULL").select(F.lower("code").alias("_code")).distinct()
+    """Scans that no product answers; a blank scan is one, also where a product has no code."""
+    known = products.filter(F.coalesce("code", F.lit("")) != "").select(F.lower("code").alias("_code")).distinct()
     keyed = scans.withColumn("_code", F.lower(S.trimmed(F.col("code"))))
     return lookup_join(keyed, known, ["_code"], "left_anti").drop("_code")
 

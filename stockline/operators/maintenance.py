@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -79,11 +80,18 @@ def with_reject_reason(batch: DataFrame, kind: str) -> DataFrame:
         valid = valid & S.text_or(F.col(name), None).isNotNull()
     for name in REQUIRED_ID.get(kind, []):
         valid = valid & (S.coalesce_zero(F.col(name)) != 0)
+    valid = valid & ~fractional(batch, kind)
     if kind == "movements":
         valid = valid & (S.coalesce_zero(S.whole_number(F.col("quantity"))) > 0)
     return batch.withColumn("reject_reason", F.when(~valid, INVALID))
 
 
+def fractional(batch: DataFrame, kind: str) -> Column:
+    """Whether a row sends a number with a fraction, or too large, where the table keeps whole numbers."""
+    numbers = [c for c, how in EDITABLE.get(kind, {}).items() if how == _NUMBER and c in batch.columns]
+    return reduce(lambda a, b: a | b, [S.whole_number(F.col(c)).isNull() for c in numbers], F.lit(False))
+
+
 def _split(judged: DataFrame) -> Split:
     return Split(
         judged.filter("reject_reason IS NULL").drop("reject_reason"), judged.filter("reject_reason IS NOT NULL")
@@ -121,15 +129,18 @@ def _written(rows: DataFrame, table: str) -> list[Column]:
 def upsert(target: DataFrame, changes: DataFrame, table: str) -> DataFrame:
     """Full-row replace by id: of several changes (column seq) to one id the last valid one counts.
 
-    Not a patch: a field the change lacks is emptied. An unknown id changes nothing. Product changes are not checked.
+    Not a patch: a field the change lacks is emptied. An unknown id changes nothing. Of product changes only
+    the numbers are checked: see refused_changes. Of changes with equal seq the largest row counts.
     """
-    if table != "products":
+    if table == "products":
+        changes = changes.filter(~fractional(changes, table))
+    else:
         changes = validate_batch(changes, table).valid
     written = _written(changes, table)
     fields = list(EDITABLE[table])
     last = changes.select("id", "seq", F.struct(*written).alias("row")).groupBy("id").agg(
-        F.max_by("row", "seq").alias("_new")
-    )
+        F.max(F.struct("seq", "row")).alias("_last")
+    ).select("id", F.col("_last.row").alias("_new"))
     joined = target.join(last, "id", "left")
     changed = F.col("_new").isNotNull()
     return joined.select(
@@ -140,6 +151,11 @@ def upsert(target: DataFrame, changes: DataFrame, table: str) -> DataFrame:
     )
 
 
+def refused_changes(changes: DataFrame) -> DataFrame:
+    """Product changes that upsert refuses, with the reason."""
+    return changes.filter(fractional(changes, "products")).withColumn("reject_reason", F.lit(INVALID))
+
+
 def remove_ids(target: DataFrame, ids: DataFrame) -> DataFrame:
     """The target without a set of ids (column id)."""
     return target.join(ids.select("id").distinct(), "id", "left_anti")

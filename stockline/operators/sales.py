@@ -13,6 +13,9 @@ from stockline.operators.scale import lookup_join, running_totals
 
 Day = str | date | Column
 
+# Lines collected at most while the newest ones with a receipt are looked for.
+NEWEST_SLICE = 30_000
+
 
 def _sum0(x: Column) -> Column:
     return F.coalesce(F.sum(x), F.lit(0))
@@ -164,12 +167,14 @@ def trend_bounds(filled: DataFrame, series: tuple[str, ...] = ("total_gross", "t
 # ---- per product ----
 
 
-def _product_sums(sales: DataFrame) -> DataFrame:
+def product_sums(sales: DataFrame) -> DataFrame:
+    """One row per product (NULL is one): the only pass over the sales that the product reports need."""
     return sales.groupBy("product_id").agg(
         F.sum("quantity").alias("total_qty"),
         F.sum("total_price").alias("total_revenue"),
         F.sum(S.coalesce_zero(F.col("purchase_price")) * F.col("quantity")).alias("total_capital"),
         F.sum(_times_quantity("profit_per_unit")).alias("total_profit"),
+        F.count(F.lit(1)).alias("lines"),
     )
 
 
@@ -186,7 +191,10 @@ def sales_by_product(
     sales: DataFrame, products: DataFrame, start: Day | None = None, end: Day | None = None
 ) -> DataFrame:
     """Sums per product with its current code, name and unit: summed first, so the join is one row per product."""
-    sums = _product_sums(sales_between(sales, start, end))
+    return named_sums(product_sums(sales_between(sales, start, end)), products)
+
+
+def named_sums(sums: DataFrame, products: DataFrame) -> DataFrame:
     joined = lookup_join(sums, _current_names(products), ["product_id"])
     return joined.select(
         "product_id", "current_code", "current_name", "current_unit",
@@ -210,14 +218,29 @@ def product_report_with_total(
     sales: DataFrame, products: DataFrame, start: Day | None = None, end: Day | None = None
 ) -> DataFrame:
     """One row per product and a TOTAL row; a sale without product is a product row, not the total."""
-    sums = _product_sums(sales_between(sales, start, end))
+    return report_of_sums(product_sums(sales_between(sales, start, end)), products)
+
+
+def report_of_sums(sums: DataFrame, products: DataFrame) -> DataFrame:
     measures = ["total_qty", "total_revenue", "total_capital", "total_profit"]
     both = sums.rollup("product_id").agg(
         F.grouping_id().alias("level"), *[F.sum(m).alias(m) for m in measures]
     )
     named = lookup_join(both, _current_names(products), ["product_id"])
     label = F.when(F.col("level") == 1, "TOTAL").otherwise(S.product_label(F.col("current_name"), F.col("product_id")))
-    return named.select("product_id", label.alias("label"), (F.col("level") == 1).alias("is_total"), *measures)
+    is_total = F.col("level") == 1
+    profit = F.when(is_total, S.coalesce_zero(F.col("total_profit"))).otherwise(F.col("total_profit"))
+    return named.select(
+        "product_id", label.alias("label"), is_total.alias("is_total"), *measures[:-1], profit.alias("total_profit")
+    )
+
+
+def finance_of_sums(sums: DataFrame) -> DataFrame:
+    """period_finance from the sums per product."""
+    return sums.agg(
+        _sum0(F.col("total_revenue")).alias("periodGross"), _sum0(F.col("total_profit")).alias("periodNet"),
+        _sum0(F.col("total_capital")).alias("periodCapital"), _sum0(F.col("lines")).alias("totalTransactions"),
+    )
 
 
 # ---- lists ----
@@ -245,9 +268,24 @@ def recent_sales(sales: DataFrame, products: DataFrame, n: int = 7) -> DataFrame
 
 def recent_sales_receipts(receipts: DataFrame, items: DataFrame, n: int = 7) -> DataFrame:
     """The newest n receipt lines whose receipt exists, with the name kept at sale time."""
-    headers = receipts.select(F.col("id").alias("receipt_id"))
     lines = items.select("id", "receipt_id", "product_id", "quantity", "total_price", F.col("product_name").alias("productName"))
-    return recent_sale_projection(_newest_lines(lookup_join(lines, headers, ["receipt_id"], "left_semi"), n))
+    size = 8 * n
+    while True:
+        # The newest lines meet the receipts of those lines alone; lines without a receipt make the slice grow.
+        newest = _newest_lines(lines, size).collect()  # at most size rows
+        wanted = {row.receipt_id for row in newest}
+        found = receipts.select("id").filter(F.col("id").isin([i for i in wanted if i is not None])).distinct()
+        known = {row.id for row in found.collect()}
+        if len(newest) < size or size >= NEWEST_SLICE or sum(row.receipt_id in known for row in newest) >= n:
+            break
+        size *= 8
+    if len(newest) == size and sum(row.receipt_id in known for row in newest) < n:
+        headers = receipts.select(F.col("id").alias("receipt_id"))
+        lines = lookup_join(lines, headers, ["receipt_id"], "left_semi")  # most lines have lost their receipt
+    else:
+        kept = [row for row in newest if row.receipt_id in known]
+        lines = receipts.sparkSession.createDataFrame(kept, lines.schema)
+    return recent_sale_projection(_newest_lines(lines, n))
 
 
 def recent_sale_projection(lines: DataFrame) -> DataFrame:
@@ -309,8 +347,8 @@ def receipt_document(
     )
 
 
-def receipt_text(documents: DataFrame) -> DataFrame:
-    """The printed lines of each receipt page: name, quantity, price, total."""
+def receipt_text(documents: DataFrame, *more: str) -> DataFrame:
+    """The printed lines of each receipt page: name, quantity, price, total; `more` columns are kept as they are."""
     def as_text(x: Column) -> Column:
         return F.concat_ws(
             " | ",
@@ -321,7 +359,7 @@ def receipt_text(documents: DataFrame) -> DataFrame:
         )
 
     return documents.select(
-        "receipt_id", "page",
+        *([c for c in more if c not in ("cashier_name", "payment_method")] or ["receipt_id", "page"]),
         F.concat(F.lit("#"), F.col("receipt_id").cast("string")).alias("number"),
         S.or_dash(S.prefix(F.col("date"))).alias("day_text"),
         "cashier_name", "payment_method",

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from stockline.session import shared_folder
 
-# A lookup side of at most this many (narrow) rows is broadcast; a larger one never is.
+# A lookup side of at most this many rows and bytes is broadcast; a larger one never is.
 BROADCAST_ROWS = 200_000
-# A key is heavy when it has more rows than this and more than 1 in HEAVY_SHARE of all rows,
-# so there are never more than HEAVY_SHARE heavy keys.
+BROADCAST_BYTES = 64 << 20
+# A key with more rows than this is heavy: no task takes more rows of one key at once.
 HEAVY_ROWS = 100_000
-HEAVY_SHARE = 10_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -23,15 +22,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def broadcastable(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether df, which is read once for this, is small enough to broadcast, in rows and in bytes."""
+    limit = BROADCAST_ROWS if rows is None else rows
+    if limit <= 0:
+        return False
+    width = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(8)) for c in df.columns])
+    count, size = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return count <= limit and (size or 0) <= BROADCAST_BYTES
+
+
 def heavy_keys(df: DataFrame, on: list[str], heavy_rows: int | None = None) -> DataFrame | None:
-    """The heavy key values, at most HEAVY_SHARE of them; None when there are none."""
+    """The key values with more than heavy_rows rows, counted once; None when there are none."""
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    most, total = counts.agg(F.max("_rows"), F.sum("_rows")).first()
-    limit = max(HEAVY_ROWS if heavy_rows is None else heavy_rows, (total or 0) // HEAVY_SHARE)
-    if most is None or most <= limit:
-        return None
-    keys = counts.filter(F.col("_rows") > limit).select(*on).collect()  # at most HEAVY_SHARE rows
-    return df.sparkSession.createDataFrame(keys, df.select(*on).schema)
+    limit = HEAVY_ROWS if heavy_rows is None else heavy_rows
+    keys = checkpointed(counts.filter(F.col("_rows") > limit).select(*on))
+    return None if keys.isEmpty() else keys
 
 
 def _null_safe(left: DataFrame, right: DataFrame, on: list[str], right_names: list[str]) -> Column:
@@ -41,7 +47,9 @@ def _null_safe(left: DataFrame, right: DataFrame, on: list[str], right_names: li
 def split_heavy(df: DataFrame, on: list[str], heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with a heavy key, all other rows); NULL is a key value like any other."""
     names = [f"_heavy_{i}" for i in range(len(on))]
-    marks = F.broadcast(heavy.toDF(*names))  # at most HEAVY_SHARE rows
+    marks = heavy.toDF(*names)
+    if broadcastable(marks):
+        marks = F.broadcast(marks)
     match = _null_safe(df, marks, on, names)
     return df.join(marks, match, "left_semi"), df.join(marks, match, "left_anti")
 
@@ -56,17 +64,20 @@ def lookup_join(
 ) -> DataFrame:
     """facts joined to dim, whose key `on` is unique; how: left, inner, left_semi or left_anti.
 
-    A small dim (by count) is broadcast. Beyond that the rows of heavy fact keys are joined to
-    their few dim rows by broadcast, and only the rest is shuffled on the key.
+    A small dim is broadcast. A larger one is joined by shuffle, where adaptive execution splits the partitions of
+    frequent keys; the plan is one join and starts no job. With heavy_rows, for sessions without adaptive execution,
+    keys with more rows than that are looked up first, and their rows are joined to their few dim rows by broadcast.
     """
-    if dim.count() <= (BROADCAST_ROWS if broadcast_rows is None else broadcast_rows):
+    if broadcastable(dim, broadcast_rows):
         return facts.join(F.broadcast(dim), on, how)
-    heavy = heavy_keys(facts, on, heavy_rows)
+    heavy = None if heavy_rows is None else heavy_keys(facts, on, heavy_rows)
     if heavy is None:
         return facts.join(dim, on, how)
     hot, rest = split_heavy(facts, on, heavy)
-    hot_dim = dim.join(F.broadcast(heavy), on, "left_semi")  # unique keys, so at most HEAVY_SHARE rows
-    return hot.join(F.broadcast(hot_dim), on, how).unionByName(rest.join(dim, on, how))
+    hot_dim = dim.join(heavy, on, "left_semi")
+    if broadcastable(hot_dim):
+        hot_dim = F.broadcast(hot_dim)
+    return hot.join(hot_dim, on, how).unionByName(rest.join(dim, on, how))
 
 
 def running_totals(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stockline.functions import scalars as S
 from stockline.operators import catalog, sales
+from stockline.operators.scale import checkpointed
 
 
 def printed_products(numbered: DataFrame) -> DataFrame:
@@ -19,11 +20,13 @@ def printed_products(numbered: DataFrame) -> DataFrame:
 
 
 def period_report(tables, start=None, end=None) -> dict[str, DataFrame]:
-    lines, products = tables.sales_transactions(), tables.products()
+    """The sections. The sales are read once: finance, products and total come from the written sums per product."""
+    products = tables.products()
+    sums = checkpointed(sales.product_sums(sales.sales_between(tables.sales_transactions(), start, end)))
     return {
-        "finance": sales.period_finance(lines, start, end),
-        "products": printed_products(sales.report_row_number(sales.sales_by_product(lines, products, start, end))),
-        "products_total": sales.product_report_with_total(lines, products, start, end),
+        "finance": sales.finance_of_sums(sums),
+        "products": printed_products(sales.report_row_number(sales.named_sums(sums, products))),
+        "products_total": sales.report_of_sums(sums, products),
         "counts": sales.entity_counts(products, tables.users(), tables.customers()),
         "stock": catalog.price_list(products),
     }

@@ -12,9 +12,8 @@ from stockline.operators.sales import receipt_text
 
 def receipt_export(documents: DataFrame, path: str) -> None:
     """One JSON document per receipt page with header, item lines and printed text, in a folder per day."""
-    printed = receipt_text(documents).select("receipt_id", "page", "number", "lines_text", "total_text")
-    joined = documents.join(printed, ["receipt_id", "page"])
-    joined.withColumn("day", F.col("date")).write.mode("overwrite").partitionBy("day").json(path)
+    printed = receipt_text(documents, *documents.columns).select(*documents.columns, "number", "lines_text", "total_text")
+    printed.withColumn("day", F.col("date")).write.mode("overwrite").partitionBy("day").json(path)
 
 
 def period_label(start: str | date | None, end: str | date | None) -> str:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockline.functions.scalars import padded
 from stockline.operators.scale import lookup_join
 from stockline.schemas import TABLES
 from stockline.sources.tables import align_schema
@@ -49,7 +50,7 @@ class StarTables:
         size, price = F.col("p_size"), F.col("p_retailprice")
         return self.raw("part").select(
             F.col("p_partkey").alias("id"),
-            F.concat(F.lit("BRG-"), F.lpad(_text(F.col("p_partkey")), 6, "0")).alias("code"),
+            F.concat(F.lit("BRG-"), padded(F.col("p_partkey"), 6)).alias("code"),
             F.col("p_name").alias("name"),
             _mapped(F.col("p_type"), CATEGORY_OF_TYPE, None).cast("long").alias("category_id"),
             F.col("p_brand").alias("unit"),
@@ -72,7 +73,7 @@ class StarTables:
         return self.raw("supplier").select(
             F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"),
             F.concat(F.lit("Jl. "), _text(F.col("s_nationkey"))).alias("address"),
-            F.concat(F.lit("08"), F.lpad(key, 8, "0")).alias("phone"),
+            F.concat(F.lit("08"), padded(F.col("s_suppkey"), 8)).alias("phone"),
             F.when(F.col("s_acctbal") >= 0, F.concat(F.lit("s"), key, F.lit("@example.com"))).alias("email"),
         )
 
@@ -80,7 +81,7 @@ class StarTables:
         key = _text(F.col("c_custkey"))
         return self.raw("customer").select(
             F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
-            F.concat(F.lit("08"), F.lpad(key, 8, "0")).alias("phone"),
+            F.concat(F.lit("08"), padded(F.col("c_custkey"), 8)).alias("phone"),
             F.concat(F.lit("c"), key, F.lit("@example.com")).alias("email"),
             F.col("c_mktsegment").alias("address"),
             F.floor("c_acctbal").cast("long").alias("points"),
@@ -234,18 +235,20 @@ class StarTables:
         return self.count_sessions().withColumnRenamed("session_id", "id")
 
     def product_changes(self) -> DataFrame:
-        """Every sale line as an edit of its product: price and name change, the fields not sent are emptied."""
+        """Every sale line as an edit of its product: price and name change, the fields not sent are emptied.
+
+        Line 6 sends a price with a fraction."""
         columns = self._line_columns()
         return self.raw("lineitem").select(
             columns[2].alias("id"), columns[0].alias("seq"),
             F.concat(F.lit(" Baru "), _text(F.col("l_linenumber"))).alias("name"),
-            _text(columns[4]).alias("sale_price"),
+            F.concat(_text(columns[4]), F.when(F.col("l_linenumber") == 6, ".25").otherwise("")).alias("sale_price"),
             _text(F.col("l_quantity")).alias("stock"),
             F.col("l_suppkey").alias("supplier_id"),
         )
 
     def new_products(self) -> DataFrame:
-        """Every part offered twice as a new product: some without category, some with a code that exists."""
+        """Every part offered twice as a new product: some without category, with a fractional price or a code that exists."""
         part = self.raw("part")
         fields = part.select(
             F.col("p_partkey").alias("seq"), "p_name", "p_brand", "p_size", "p_type", "p_retailprice",
@@ -255,11 +258,13 @@ class StarTables:
         key = F.when(F.col("p_brand") == "Brand#1", F.lit(" ")).otherwise(F.lit(""))
         return fields.select(
             (F.col("seq") * 2 + F.col("copy")).alias("seq"),
-            F.concat(F.lit(" "), code, F.lpad(_text(F.col("seq")), 6, "0")).alias("code"),
+            F.concat(F.lit(" "), code, padded(F.col("seq"), 6)).alias("code"),
             F.when(key == " ", key).otherwise(F.col("p_name")).alias("name"),
             _mapped(F.col("p_type"), CATEGORY_OF_TYPE, None).cast("long").alias("category_id"),
             F.col("p_brand").alias("unit"),
-            _text(F.floor("p_retailprice").cast("long")).alias("purchase_price"),
+            F.concat(_text(F.floor("p_retailprice").cast("long")), F.when(F.col("p_size") == 7, ".5").otherwise("")).alias(
+                "purchase_price"
+            ),
             F.concat(_text(F.floor("p_retailprice").cast("long")), F.lit("00")).alias("sale_price"),
             F.when(F.col("copy") == 0, _text(F.col("p_size"))).alias("stock"),
             F.lit(None).cast("date").alias("entry_date"),
