@@ -73,23 +73,27 @@ def _folder(spark: SparkSession) -> str:
 
 
 def captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, key, payload (null for revisits), payload_bytes, payload_sha1 (hex), refers_to."""
+    """page_id, url, key, payload, payload_bytes, payload_sha1 (hex), is_page, refers_to.
+
+    Each page is a row with is_page. Where a page is a revisit, a row without payload for the same key, page_id and
+    payload names its response. Payloads thus need not meet by digest: only narrow rows do, and a common payload is no
+    hot key of wide rows.
+    """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), plain_url(F.col("url")).alias("url"), payload.alias("payload")
-    ).select("*", F.sha1("payload").alias("payload_sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    ).select(
+        "page_id", "url", url_key(F.col("url")).cast("binary").alias("key"), "payload",
+        F.sha1("payload").alias("payload_sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+    )
     of_payload = ["payload_sha1", "payload_bytes"]
     known = rows.filter(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= min_bytes))
-    one = known.select("page_id", *of_payload).distinct()
-    # Narrow rows meet their group's response; payloads are then dealt by page_id, so a common payload is no hot key.
-    last = known.groupBy(*of_payload).agg(F.max("page_id").alias("_response"))
-    refers = one.join(last, of_payload).filter("_response <> page_id").toDF("_sha1", "_bytes", "_id", "_response")
-    joined = rows.join(refers, (F.col("page_id") == F.col("_id")) & (F.col("payload_sha1") == F.col("_sha1")), "left")
-    return joined.select(
-        "page_id", "url", url_key(F.col("url")).cast("binary").alias("key"),
-        F.when(F.col("_response").isNull(), F.col("payload")).alias("payload"), *of_payload,
-        F.col("_response").alias("refers_to"),
-    )
+    last = known.groupBy(*of_payload).agg(F.max("page_id").alias("refers_to"))
+    marks = known.select("page_id", "key", *of_payload).distinct().join(last, of_payload)
+    marks = marks.filter("refers_to <> page_id").withColumn("is_page", F.lit(False))
+    names = ["page_id", "url", "key", "payload", *of_payload, "is_page", "refers_to"]
+    whole = rows.withColumns({"is_page": F.lit(True), "refers_to": F.lit(None).cast("long")}).select(*names)
+    return whole.unionByName(marks, allowMissingColumns=True)
 
 
 def record_bytes(page_id: int | None, url: str, payload: bytes | None, size: int, sha1: str, refers: int | None) -> bytes:
@@ -170,9 +174,17 @@ def written(pages: DataFrame, min_bytes: int = 0, block_lines: int = BLOCK_LINES
                 index_offset += len(block)
                 lines.clear()
 
+            marks: dict[tuple, int] = {}  # of the pages at one place
             while row is not None:
-                page_id, url, key, payload, sha1, size, refers = row
-                data = _packed(record_bytes(page_id, url, payload, size, sha1, refers))
+                page_id, url, key, payload, sha1, size, is_page, refers = row
+                if not is_page:
+                    if marks and next(iter(marks))[:2] != (key, page_id):
+                        marks.clear()
+                    marks[key, page_id, sha1] = refers
+                    row = next(rows, None)
+                    continue
+                refers = marks.get((key, page_id, sha1))
+                data = _packed(record_bytes(page_id, url, payload if refers is None else None, size, sha1, refers))
                 archive.write(data)
                 place = _NO_ID if page_id is None else page_id
                 first = first or (key, place)
@@ -189,7 +201,8 @@ def written(pages: DataFrame, min_bytes: int = 0, block_lines: int = BLOCK_LINES
         names = [x.split()[0] for x in _ARCHIVES.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
 
-    laid = captures(pages, min_bytes).repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    dealt = captures(pages, min_bytes).repartitionByRange("key", "page_id")
+    laid = dealt.sortWithinPartitions("key", "page_id", "is_page")  # a page's mark comes before it
     # Written once: what is read below is this list of the finished tasks' archives.
     return folder, checkpointed(laid.mapInArrow(write, _ARCHIVES))
 
@@ -266,6 +279,7 @@ def looked_up(wanted: DataFrame, folder: str, archives: DataFrame) -> DataFrame:
     rows = wanted.select(
         url_key(plain_url(F.col("url"))).cast("binary").alias("key"), F.col("page_id").cast("long").alias("page_id")
     ).distinct()
-    laid = rows.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    # As many tasks as archives: the rows are narrow, what they stand for is not.
+    laid = rows.repartitionByRange(max(1, len(tops)), "key", "page_id").sortWithinPartitions("key", "page_id")
     ship_package(wanted.sparkSession)
     return laid.mapInArrow(read, _RECORDS)
