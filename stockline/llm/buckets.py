@@ -58,8 +58,14 @@ def component_per_node(
             if not open_pairs:
                 break
             if round_ == hub_rounds or open_pairs <= open_factor * rows:
-                left, right = active.toDF("bucket", "a", "_a", "_in_a"), active.toDF("bucket", "b", "_b", "_in_b")
-                tried = left.join(right, "bucket").filter((F.col("_in_a") < F.col("_in_b")) & near("_a", "_b"))
+                # A pair is made in the first bucket it shares, not in each; a node has as many buckets as there are bands.
+                lists = active.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
+                listed = active.join(lists, "node").select("bucket", "node", "size", "component", "buckets")
+                left = listed.toDF("bucket", "a", "_a", "_in_a", "_all_a")
+                right = listed.toDF("bucket", "b", "_b", "_in_b", "_all_b")
+                first = F.get(F.array_intersect("_all_a", "_all_b"), F.lit(0)) == left["bucket"]
+                open_here = (left["bucket"] == right["bucket"]) & (F.col("_in_a") < F.col("_in_b")) & near("_a", "_b")
+                tried = left.join(right, open_here & first)
                 tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
                 labels = joined_components(labels, verify(tried))
                 break
@@ -67,6 +73,8 @@ def component_per_node(
         hubs = active.groupBy("bucket").agg(F.array_distinct(F.array(*lows)).alias("hubs"))
         with_hubs = active.join(hubs, "bucket")
         ends = with_hubs.select("*", F.explode("hubs").alias("hub")).filter("node <> hub")
+        # Most bands of a group of copies name the same few pairs.
+        ends = ends.drop("bucket", "hubs").distinct()
         ends = ends.join(sizes.toDF("hub", "_size"), "hub").filter(near("size", "_size"))
         if labels is not None:
             of_hub = labels.toDF("hub", "_in_hub")
