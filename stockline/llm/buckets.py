@@ -11,6 +11,7 @@ from stockline.llm.components import few, joined_components
 from stockline.operators.scale import checkpointed
 
 #: A node's bits are turned by each of these; the smallest results give a bucket's hubs, of which there are so many.
+#: The first round takes the first one only: it settles the buckets of copies at a quarter of the trials.
 TURNS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x369DEA0F31A53F85)
 #: Rounds of hubs while a bucket's open pairs outnumber its members by OPEN_FACTOR; then all open pairs are tried.
 HUB_ROUNDS = 6
@@ -45,7 +46,8 @@ def component_per_node(
     the end, and the components are those of all pairs.
     """
     near = lambda one, other: F.least(one, other) >= least_share * F.greatest(one, other)
-    labels, active = None, members.join(sizes, "node").select("bucket", "node", "size")
+    short = lambda df: few(df, 4)
+    labels, active = None, short(members.join(sizes, "node").select("bucket", "node", "size"))
     for round_ in range(hub_rounds + 1):
         if labels is not None:
             placed = active.join(labels, "node", "left").select(
@@ -66,22 +68,24 @@ def component_per_node(
                 first = F.get(F.array_intersect("_all_a", "_all_b"), F.lit(0)) == left["bucket"]
                 open_here = (left["bucket"] == right["bucket"]) & (F.col("_in_a") < F.col("_in_b")) & near("_a", "_b")
                 tried = left.join(right, open_here & first)
-                tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                tried = short(short(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
                 labels = joined_components(labels, verify(tried))
                 break
-        lows = [F.min(F.col("node").bitwiseXOR(F.lit(turn))).bitwiseXOR(F.lit(turn)) for turn in TURNS]
+        turns = TURNS[:1] if labels is None else TURNS
+        lows = [F.min(F.col("node").bitwiseXOR(F.lit(turn))).bitwiseXOR(F.lit(turn)) for turn in turns]
         hubs = active.groupBy("bucket").agg(F.array_distinct(F.array(*lows)).alias("hubs"))
         with_hubs = active.join(hubs, "bucket")
         ends = with_hubs.select("*", F.explode("hubs").alias("hub")).filter("node <> hub")
         # Most bands of a group of copies name the same few pairs.
-        ends = ends.drop("bucket", "hubs").distinct()
+        ends = short(short(ends.drop("bucket", "hubs")).distinct())
         ends = ends.join(sizes.toDF("hub", "_size"), "hub").filter(near("size", "_size"))
         if labels is not None:
             of_hub = labels.toDF("hub", "_in_hub")
             ends = ends.join(of_hub, "hub", "left").filter(F.col("component") != F.coalesce("_in_hub", "hub"))
-        tried = ends.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        tried = short(ends.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct()
+        tried = short(tried)
         labels = checkpointed(few(joined_components(labels, verify(tried))))
-        active = with_hubs.filter(~F.array_contains("hubs", F.col("node"))).select("bucket", "node", "size")
+        active = short(with_hubs.filter(~F.array_contains("hubs", F.col("node"))).select("bucket", "node", "size"))
     return labels
 
 

@@ -19,7 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links every larger neighbour of a node to the node's smallest neighbour, then every smaller neighbour
     likewise, and is written to the checkpoint folder; rounds grow with the logarithm of the longest path. The two
-    sums per round aggregate before their shuffle, so a hub with many edges is no hot group.
+    sums per round aggregate before their shuffle, so a hub with many edges is no hot group. Every step of a round comes
+    back to few partitions, since each shuffle leaves a file per partition that it reads.
     Edges with a null end or of a node to itself link nothing.
     """
     ordered = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -27,11 +28,11 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _fingerprint(links)
     while seen[0]:
         both = links.union(links.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+        low = few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")))
         large = links.select(F.col("v").alias("u"), F.col("u").alias("v")).join(low, "u")
-        large = large.select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(least, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        large = few(few(large.select(F.col("v").alias("u"), F.col("low").alias("v"))).distinct())
+        least = few(large.groupBy("u").agg(F.min("v").alias("low")))
+        small = few(large.join(least, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")))
         links = checkpointed(few(small.union(least.select("u", "low")).distinct()))
         now = _fingerprint(links)
         if now == seen:
@@ -47,9 +48,10 @@ def joined_components(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
         return components(edges)
     of_a = labels.toDF("a", "_component_a")
     of_b = labels.toDF("b", "_component_b")
-    between = edges.join(of_a, "a", "left").join(of_b, "b", "left")
+    between = few(few(few(edges).join(of_a, "a", "left")).join(of_b, "b", "left"))
     tops = components(between.select(F.coalesce("_component_a", "a").alias("a"), F.coalesce("_component_b", "b").alias("b")))
-    moved = labels.join(tops.toDF("component", "_top"), "component", "left")
+    tops = few(tops)
+    moved = few(labels.join(tops.toDF("component", "_top"), "component", "left"))
     moved = moved.select("node", F.coalesce("_top", "component").alias("component"))
     return moved.union(tops).groupBy("node").agg(F.min("component").alias("component"))
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from stockline.llm.buckets import component_per_node, shared_buckets
 from stockline.llm.common import arrow_map, band_keys, long_lists, mixed, only_ids, permutations
+from stockline.llm.components import few
 from stockline.llm.stats import beta_cdf
 from stockline.operators.scale import checkpointed
 
@@ -109,9 +110,9 @@ def pruned(pairs: DataFrame, signatures: DataFrame, miss: float = MISS) -> DataF
         chosen = part.take(pa.array(alive))
         return {"a": chosen.column("a"), "b": chosen.column("b")} if len(alive) else None
 
-    with_a = pairs.join(signatures.toDF("a", "signature_a"), "a")
+    with_a = few(pairs.join(signatures.toDF("a", "signature_a"), "a"), 4)
     both = with_a.join(signatures.toDF("b", "signature_b"), "b")
-    return arrow_map(both.select("a", "b", "signature_a", "signature_b"), work, "a long, b long")
+    return few(arrow_map(both.select("a", "b", "signature_a", "signature_b"), work, "a long, b long"), 4)
 
 
 def exactly_linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -143,13 +144,14 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
     first = found.filter("n_shingles > 0").join(chosen, "doc_id", "left_semi")
     members = shared_buckets(first.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node")))
     crowded = members.select(F.col("node").alias("doc_id")).distinct()
-    chosen = checkpointed(first.select("doc_id", "signature", "n_shingles").join(crowded, "doc_id", "left_semi"))
+    chosen = first.select("doc_id", "signature", "n_shingles").join(crowded, "doc_id", "left_semi")
+    chosen = checkpointed(few(chosen, 4))
     signatures, sizes = chosen.select("doc_id", "signature"), chosen.select(F.col("doc_id").alias("node"), "n_shingles")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return exactly_linked(checkpointed(pruned(pairs, signatures, miss).distinct()), docs)
+        return exactly_linked(checkpointed(few(pruned(pairs, signatures, miss).distinct())), docs)
 
-    sizes = sizes.groupBy("node").agg(F.max("n_shingles").alias("size"))
+    sizes = checkpointed(few(sizes.groupBy("node").agg(F.max("n_shingles").alias("size"))))
     reached = component_per_node(members, verify, sizes, THRESHOLD / 100)
     placed = classes.join(reached, "node", "left").select(
         *of_set, F.coalesce("component", "node").alias("component_id")
