@@ -47,15 +47,17 @@ def component_per_node(
     """
     near = lambda one, other: F.least(one, other) >= least_share * F.greatest(one, other)
     short = lambda df: few(df, 4)
-    labels, active = None, short(members.join(sizes, "node").select("bucket", "node", "size"))
+    labels, hubs, active = None, None, checkpointed(short(members.join(sizes, "node").select("bucket", "node", "size")))
     for round_ in range(hub_rounds + 1):
         if labels is not None:
-            placed = active.join(labels, "node", "left").select(
+            placed = active.select("bucket", "node", "size").join(labels, "node", "left").select(
                 "bucket", "node", "size", F.coalesce("component", "node").alias("component")
             )
             ends = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
             active = placed.join(ends.filter("low < high").select("bucket"), "bucket", "left_semi")
-            active = checkpointed(few(active, 4))
+            # Hubs leave only now, when few buckets are left to look through.
+            active = short(active).join(hubs, "bucket").filter(~F.array_contains("hubs", F.col("node")))
+            active = checkpointed(short(active.drop("hubs")))
             open_pairs, rows = _open_pairs(active)
             if not open_pairs:
                 break
@@ -73,7 +75,7 @@ def component_per_node(
                 break
         turns = TURNS[:1] if labels is None else TURNS
         lows = [F.min(F.col("node").bitwiseXOR(F.lit(turn))).bitwiseXOR(F.lit(turn)) for turn in turns]
-        hubs = active.groupBy("bucket").agg(F.array_distinct(F.array(*lows)).alias("hubs"))
+        hubs = checkpointed(few(active.groupBy("bucket").agg(F.array_distinct(F.array(*lows)).alias("hubs"))))
         with_hubs = active.join(hubs, "bucket")
         ends = with_hubs.select("*", F.explode("hubs").alias("hub")).filter("node <> hub")
         # Most bands of a group of copies name the same few pairs.
@@ -85,7 +87,6 @@ def component_per_node(
         tried = short(ends.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct()
         tried = short(tried)
         labels = checkpointed(few(joined_components(labels, verify(tried))))
-        active = short(with_hubs.filter(~F.array_contains("hubs", F.col("node"))).select("bucket", "node", "size"))
     return labels
 
 
