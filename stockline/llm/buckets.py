@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockline.llm.common import arrow_map
 from stockline.llm.components import few, joined_components
 from stockline.operators.scale import checkpointed
 
 #: A node's bits are turned by each of these; the smallest results give a bucket's hubs, of which there are so many.
 #: The first round takes the first one only: it settles the buckets of copies at a quarter of the trials.
 TURNS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x369DEA0F31A53F85)
-#: Rounds of hubs while a bucket's open pairs outnumber its members by OPEN_FACTOR; then all open pairs are tried.
+#: Rounds of hubs go on while each leaves at most OPEN_LEFT of the pairs that were open; then rare elements find the rest.
 HUB_ROUNDS = 6
-OPEN_FACTOR = 4
+OPEN_LEFT = 0.9
+#: Counters of how many nodes have an element; a power of two.
+COUNTERS = 1 << 18
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
@@ -32,47 +38,41 @@ def component_per_node(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     sizes: DataFrame,
+    sets_of: Callable[[DataFrame], DataFrame],
     least_share: float,
     hub_rounds: int = HUB_ROUNDS,
-    open_factor: float = OPEN_FACTOR,
+    open_left: float = OPEN_LEFT,
 ) -> DataFrame:
     """(node, component) under the links that `verify` confirms among nodes of one bucket (bucket, node).
 
     verify takes distinct pairs (a < b) and returns those that are linked; sizes (node, size) are those of the nodes' sets,
-    and no pair is linked whose smaller set has less than `least_share` of the larger one's size. In each round a few nodes of a bucket are its
-    hubs and are tried against all its nodes; a bucket of copies thus costs a few pairs per member. What a hub has to do
-    with its bucket is then settled, and it leaves. Pairs inside a component need no trial. When few pairs are open
-    across components, all of them are tried; hence every pair of a bucket is either tried or inside one component at
-    the end, and the components are those of all pairs.
+    sets_of adds `elements`, distinct longs, to given (node, component); a link has a Jaccard similarity of `least_share`.
+    In each round a few nodes of a bucket are its hubs and are tried against all its nodes; a bucket of copies thus costs
+    a few pairs per member. What a hub has to do with its bucket is then settled, and it leaves. Pairs inside a component
+    need no trial. When hubs settle little more, what is left in open buckets are mostly nodes with a part in common, say a
+    passage, that is too short for a link. Of these, `rare_pairs` gives all that can be linked, and they are tried. So
+    every pair of a bucket is tried, inside one component, or cannot be linked.
     """
     near = lambda one, other: F.least(one, other) >= least_share * F.greatest(one, other)
     short = lambda df: few(df, 4)
-    labels, hubs, active = None, None, checkpointed(short(members.join(sizes, "node").select("bucket", "node", "size")))
+    labels, hubs, before = None, None, float("inf")
+    active = checkpointed(short(members.join(sizes, "node").select("bucket", "node", "size")))
     for round_ in range(hub_rounds + 1):
         if labels is not None:
             placed = active.select("bucket", "node", "size").join(labels, "node", "left").select(
                 "bucket", "node", "size", F.coalesce("component", "node").alias("component")
             )
-            ends = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            active = placed.join(ends.filter("low < high").select("bucket"), "bucket", "left_semi")
-            # Hubs leave only now, when few buckets are left to look through.
-            active = short(active).join(hubs, "bucket").filter(~F.array_contains("hubs", F.col("node")))
+            active = short(_open_buckets(placed)).join(hubs, "bucket").filter(~F.array_contains("hubs", F.col("node")))
             active = checkpointed(short(active.drop("hubs")))
-            open_pairs, rows = _open_pairs(active)
+            open_pairs = _open_pairs(active)
             if not open_pairs:
                 break
-            if round_ == hub_rounds or open_pairs <= open_factor * rows:
-                # A pair is made in the first bucket it shares, not in each; a node has as many buckets as there are bands.
-                lists = active.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
-                listed = active.join(lists, "node").select("bucket", "node", "size", "component", "buckets")
-                left = listed.toDF("bucket", "a", "_a", "_in_a", "_all_a")
-                right = listed.toDF("bucket", "b", "_b", "_in_b", "_all_b")
-                first = F.get(F.array_intersect("_all_a", "_all_b"), F.lit(0)) == left["bucket"]
-                open_here = (left["bucket"] == right["bucket"]) & (F.col("_in_a") < F.col("_in_b")) & near("_a", "_b")
-                tried = left.join(right, open_here & first)
-                tried = short(short(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+            if round_ == hub_rounds or open_pairs > open_left * before:
+                left = checkpointed(few(_open_buckets(active).select("node", "component").distinct()))
+                tried = rare_pairs(sets_of(left), least_share)
                 labels = joined_components(labels, verify(tried))
                 break
+            before = open_pairs
         turns = TURNS[:1] if labels is None else TURNS
         lows = [F.min(F.col("node").bitwiseXOR(F.lit(turn))).bitwiseXOR(F.lit(turn)) for turn in turns]
         hubs = checkpointed(few(active.groupBy("bucket").agg(F.array_distinct(F.array(*lows)).alias("hubs"))))
@@ -90,9 +90,59 @@ def component_per_node(
     return labels
 
 
-def _open_pairs(placed: DataFrame) -> tuple[float, int]:
-    """(pairs across components, counted per bucket; members)."""
+def rare_pairs(sets: DataFrame, least_share: float) -> DataFrame:
+    """Distinct pairs (a < b) across components of sets (node, component, elements), among them all of that similarity.
+
+    Elements are put in one order, the rarest first, as COUNTERS counters show it: an element's counter is that of its low
+    bits, so the counters have one size whatever the input, and a poor estimate costs trials but no pair. Two sets of Jaccard
+    similarity t share an element within the first size - ceil(t * size) + 1 of each, and what follows their first common
+    element is long enough for the overlap they need.
+    """
+
+    def counted(part: pa.RecordBatch) -> dict:
+        slots, n = np.unique(part.column(0).flatten().to_numpy() & (COUNTERS - 1), return_counts=True)
+        return {"slot": slots, "n": n}
+
+    counts = few(arrow_map(sets.select("elements"), counted, "slot long, n long")).groupBy("slot").agg(F.sum("n").alias("n"))
+    found = counts.toPandas()  # at most COUNTERS rows
+    counters = np.zeros(COUNTERS, dtype=np.int64)
+    counters[found["slot"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
+    shared = sets.sparkSession.sparkContext.broadcast(counters)
+
+    def first(part: pa.RecordBatch) -> dict:
+        rows, chosen, sizes, places = [], [], [], []
+        for i, elements in enumerate(part.column(2)):
+            values = elements.values.to_numpy()
+            n = shared.value[values & (COUNTERS - 1)]
+            order = np.lexsort((values, n))[: len(values) - math.ceil(least_share * len(values)) + 1]
+            at = np.flatnonzero(n[order] > 1)  # others have a counter, hence an element, of their own
+            rows.append(np.full(len(at), i))
+            chosen.append(values[order[at]])
+            sizes.append(np.full(len(at), len(values)))
+            places.append(at + 1)
+        of = pa.array(np.concatenate(rows))
+        return {
+            "element": np.concatenate(chosen), "node": part.column(0).take(of), "component": part.column(1).take(of),
+            "size": np.concatenate(sizes), "place": np.concatenate(places),
+        }
+
+    schema = "element long, node long, component long, size long, place long"
+    rare = checkpointed(few(arrow_map(sets.select("node", "component", "elements"), first, schema), 4))
+    one, other = rare.toDF("element", "a", "_in_a", "_a", "_at_a"), rare.toDF("element", "b", "_in_b", "_b", "_at_b")
+    common = 1 + F.least(F.col("_a") - F.col("_at_a"), F.col("_b") - F.col("_at_b"))
+    enough = (1 + least_share) * common >= least_share * (F.col("_a") + F.col("_b"))
+    met = (one["element"] == other["element"]) & (F.col("a") < F.col("b")) & (F.col("_in_a") != F.col("_in_b")) & enough
+    return few(few(one.join(other, met).select("a", "b"), 4).distinct(), 4)
+
+
+def _open_buckets(placed: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold more than one component."""
+    ends = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return placed.join(ends.filter("low < high").select("bucket"), "bucket", "left_semi")
+
+
+def _open_pairs(placed: DataFrame) -> float:
+    """Pairs across components, counted per bucket."""
     sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
     squares = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
-    found = squares.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.sum("n")).first()
-    return found[0] or 0, found[1] or 0
+    return squares.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).first()[0] or 0

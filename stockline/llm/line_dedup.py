@@ -149,6 +149,18 @@ def sized(lines: DataFrame) -> DataFrame:
     return arrow_map(lines, work, "node long, form string, size long")
 
 
+def with_shingles(lines: DataFrame) -> DataFrame:
+    """node, component, elements (the shingle set) of node, component, form."""
+
+    def work(part: pa.RecordBatch) -> dict:
+        sets = [shingle_set(line).view(np.int64) for line in part.column(2).to_pylist()]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+        return {"node": part.column(0), "component": part.column(1), "elements": lists}
+
+    return arrow_map(lines, work, "node long, component long, elements array<long>")
+
+
 def exactly_linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets reach the threshold; lines: node, form."""
     known: dict[str, np.ndarray] = {}
@@ -183,10 +195,14 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, removed (sorted numbers of the lines that go), for documents that lose lines."""
     members = shared_buckets(banded_lines(docs, min_chars).select(F.explode("bands").alias("bucket"), "node"))
     crowded = checkpointed(sized(crowded_forms(docs, members.select("node").distinct(), min_chars)))
+    of_form = crowded.select("node", "form")
     reached = component_per_node(
-        members, lambda pairs: exactly_linked(pairs, crowded.select("node", "form")), crowded.select("node", "size"),
+        members,
+        lambda pairs: exactly_linked(pairs, of_form),
+        crowded.select("node", "size"),
+        lambda nodes: with_shingles(of_form.join(nodes, "node").select("node", "component", "form")),
         THRESHOLD / 100,
-    )
+    )
     lines = placed_lines(docs, min_chars).join(reached, "node", "left")
     lines = lines.select(F.coalesce("component", "node").alias("component"), "doc_id", "line")
     # First within each document, then between documents: a line that recurs everywhere is summed where it is read.

@@ -115,8 +115,8 @@ def pruned(pairs: DataFrame, signatures: DataFrame, miss: float = MISS) -> DataF
     return few(arrow_map(both.select("a", "b", "signature_a", "signature_b"), work, "a long, b long"), 4)
 
 
-def exactly_linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, shingles (the full set, as 64-bit hashes) of the documents among ids (doc_id)."""
 
     def work(part: pa.RecordBatch) -> dict:
         sets = [shingle_hashes(text.as_py()).view(np.int64) for text in part.column(1)]
@@ -124,9 +124,13 @@ def exactly_linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
         return {"doc_id": part.column(0), "shingles": lists}
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sets = arrow_map(only_ids(texts, needed, "doc_id"), work, "doc_id long, shingles array<long>")
+    return arrow_map(only_ids(texts, ids, "doc_id"), work, "doc_id long, shingles array<long>")
+
+
+def exactly_linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold."""
+    sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     sized = both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
@@ -151,8 +155,14 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
     def verify(pairs: DataFrame) -> DataFrame:
         return exactly_linked(checkpointed(few(pruned(pairs, signatures, miss).distinct())), docs)
 
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        # Of rows that repeat an id, one: the same text.
+        sets = shingle_sets(docs, nodes.select(F.col("node").alias("doc_id"))).groupBy("doc_id")
+        sets = sets.agg(F.max("shingles").alias("elements")).withColumnRenamed("doc_id", "node")
+        return checkpointed(few(sets.join(nodes, "node"), 4))
+
     sizes = checkpointed(few(sizes.groupBy("node").agg(F.max("n_shingles").alias("size"))))
-    reached = component_per_node(members, verify, sizes, THRESHOLD / 100)
+    reached = component_per_node(members, verify, sizes, sets_of, THRESHOLD / 100)
     placed = classes.join(reached, "node", "left").select(
         *of_set, F.coalesce("component", "node").alias("component_id")
     )

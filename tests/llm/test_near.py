@@ -43,23 +43,52 @@ def test_components(spark, seed):
     assert components(frame.filter("false")).count() == 0
 
 
-@pytest.mark.parametrize("rounds, factor", [(6, 4), (0, 4), (2, 0), (1, 1e9)])
-def test_every_pair_of_a_bucket_is_settled(spark, rounds, factor):
-    rng = random.Random(9)
-    members = {(b, rng.randrange(40)) for b in range(6) for _ in range(14)}
-    linked = {(a, b) for a in range(40) for b in range(a + 1, 40) if (a * 7 + b * 3) % 11 == 0}
-    pairs = {(a, b) for k, a in members for j, b in members if k == j and a < b}
+def jaccard(a, b) -> float:
+    return len(a & b) / len(a | b)
+
+
+def sets_with_a_common_part(seed: int) -> dict[int, set[int]]:
+    """Some near copies of a few sets, and sets that are alike in a part too small for a link."""
+    rng = random.Random(seed)
+    fresh = lambda n: {rng.randrange(-(2**62), 2**62) for _ in range(n)}
+    common, sets = fresh(30), {}
+    bases = [fresh(rng.randrange(1, 40)) for _ in range(8)] + [common | fresh(k) for k in (2, 8, 14)]
+    for node in range(120):
+        base = rng.choice(bases) if node % 3 else common | fresh(rng.randrange(4, 40))
+        sets[node] = {x for x in base if rng.random() < 0.93} | fresh(rng.randrange(3)) or fresh(1)
+    return sets
+
+
+@pytest.mark.parametrize("seed, rounds, left", [(1, 6, 0.9), (2, 1, 0.9), (3, 6, 0.0), (4, 2, 1e9), (5, 6, 0.9)])
+def test_every_pair_of_a_bucket_is_settled(spark, seed, rounds, left):
+    rng, sets = random.Random(seed), sets_with_a_common_part(seed)
+    members = {(b, node) for b in range(8) for node in sets if rng.random() < 0.8}
+    linked = {(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.75}
+    pairs = {(a, b) for a, b in linked if any((k, a) in members and (k, b) in members for k in range(8))}
     known = spark.createDataFrame(sorted(linked), "a long, b long")
     frame = spark.createDataFrame(sorted(members), "bucket long, node long")
-    rounds = max(rounds, 1)
+    held = spark.createDataFrame([(n, sorted(s)) for n, s in sets.items()], "node long, elements array<long>")
     found = buckets.component_per_node(
         buckets.shared_buckets(frame), lambda tried: tried.join(known, ["a", "b"]),
-        frame.select("node").distinct().withColumn("size", F.lit(1)), 0.75, rounds, factor,
+        held.select("node", F.size("elements").alias("size")), lambda nodes: nodes.join(held, "node"), 0.75, rounds, left,
     )
-    expected = union_find({n for p in pairs & linked for n in p}, pairs & linked)
+    expected = union_find({n for p in pairs for n in p}, pairs)
+    assert expected == union_find({n for p in linked for n in p}, linked)  # as here nearly all pairs meet
     assert {r.node: r.component for r in found.collect()} == expected
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rare_pairs_hold_all_links_and_few_others(spark, seed):
+    sets = sets_with_a_common_part(seed)
+    linked = {(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.75}
+    held = spark.createDataFrame([(n, n, sorted(s)) for n, s in sets.items()], "node long, component long, elements array<long>")
+    found = {tuple(r) for r in buckets.rare_pairs(held, 0.75).collect()}
+    assert linked <= found
+    assert all(jaccard(sets[a], sets[b]) > 0.3 for a, b in found)
+    assert buckets.rare_pairs(held.withColumn("component", F.lit(0).cast("long")), 0.75).count() == 0
+    assert buckets.rare_pairs(held.filter("false"), 0.75).count() == 0
+
+
 def sentences(rng, n) -> list[str]:
     return [f"w{rng.randrange(5000)}" for _ in range(n)]
 
