@@ -104,9 +104,9 @@ def rare_pairs(sets: DataFrame, least_share: float) -> DataFrame:
         return {"slot": slots, "n": n}
 
     counts = few(arrow_map(sets.select("elements"), counted, "slot long, n long")).groupBy("slot").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()  # at most COUNTERS rows
+    found = counts.toArrow()  # at most COUNTERS rows
     counters = np.zeros(COUNTERS, dtype=np.int64)
-    counters[found["slot"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
+    counters[found["slot"].to_numpy()] = found["n"].to_numpy()
     shared = sets.sparkSession.sparkContext.broadcast(counters)
 
     def first(part: pa.RecordBatch) -> dict:
