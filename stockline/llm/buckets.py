@@ -19,7 +19,7 @@ from stockline.operators.scale import checkpointed
 TURNS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x369DEA0F31A53F85)
 #: Rounds of hubs go on while each leaves at most OPEN_LEFT of the pairs that were open; then rare elements find the rest.
 HUB_ROUNDS = 6
-OPEN_LEFT = 0.9
+OPEN_LEFT = 0.5
 #: Counters of how many nodes have an element; a power of two.
 COUNTERS = 1 << 18
 
