@@ -59,7 +59,9 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    found = line_dedup.without_repeated_lines(_table(spark, folder, "documents"))
+    found = line_dedup.without_repeated_lines(
+        _table(spark, folder, "documents"), exact_chars=line_dedup.EXACT_CHARS
+    )
     return found.select("doc_id", "n_lines", "n_removed", "text")
 
 

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stockline.llm import buckets, line_dedup, minhash_bayes
+import corpus_pipeline
+from stockline.llm import buckets, line_dedup, minhash_bayes, queries
 from stockline.llm.components import components, joined_components
 
 
@@ -205,3 +206,13 @@ def test_lines_of_odd_rows(documents, clashing):
     result = line_dedup.without_repeated_lines(clashing)
     assert result.count() == 6 and dict(result.dtypes)["n_removed"] == "bigint"
     assert result.select(F.sum("n_removed")).first()[0] == 0
+
+
+def test_short_lines_go_by_equal_form(spark, documents, tmp_path):
+    notice, near = "All rights reserved.", "All rights reserved!"
+    texts = [f"{notice}\nand\nfirst", f"all  rights RESERVED.\nand\n{near}", f"{notice}\n\n{notice}\n\nsecond", None]
+    documents(*texts).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.text for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert found == {0: texts[0], 1: f"and\n{near}", 2: "\n\nsecond", 3: None}  # words, blank lines and variants stay
+    stage = corpus_pipeline.distinct_lines(spark, documents(*texts), "").collect()
+    assert {r.doc_id: r.text for r in stage} == found
