@@ -3,7 +3,7 @@
 Lines are the \\n-split parts of a text, lower-cased; their white space counts as single spaces between words. Lines of fewer
 than `min_chars` characters are compared by equal form only, down to `exact_chars`; shorter ones, and all of them if
 `exact_chars` is None, are left alone: single words recur by chance. Lines of equal form are one node; two nodes of
-`min_chars` characters or more are linked if their sets of 10-character shingles have Jaccard similarity >= 0.75; of each component the line of
+`min_chars` characters or more are linked if their sets of 5-character shingles have Jaccard similarity >= 0.75; of each component the line of
 the smallest (doc_id, line number) stays and the others go.
 
 Nodes are 64-bit hashes of the form; shingles are compared by 64-bit hashes. Null text: no lines, returned as it is. Null doc_id: its lines are neither
@@ -24,7 +24,7 @@ from stockline.operators.scale import checkpointed
 
 MIN_CHARS = 50
 EXACT_CHARS = 8  # of distinct lines under 8 characters 29 % recur by chance, of those of 8 to 49 only 8 to 17 % recur (sf0.1)
-SHINGLE = 10  # characters
+SHINGLE = 5  # characters; longer ones lose the link of lines of 50 to 78 characters at one changed character
 THRESHOLD = 75  # per cent
 BANDS, ROWS = 10, 3  # a pair of similarity 0.75 shares a bucket with probability 0.996, of 0.8 with 0.999
 SEEN = 200_000  # forms a task remembers so as not to send them again

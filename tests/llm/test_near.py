@@ -216,3 +216,21 @@ def test_short_lines_go_by_equal_form(spark, documents, tmp_path):
     assert found == {0: texts[0], 1: f"and\n{near}", 2: "\n\nsecond", 3: None}  # words, blank lines and variants stay
     stage = corpus_pipeline.distinct_lines(spark, documents(*texts), "").collect()
     assert {r.doc_id: r.text for r in stage} == found
+
+
+def edited(rng, line: str, edits: int) -> str:
+    for _ in range(edits):
+        at = rng.randrange(5, len(line) - 5)
+        line = line[:at] + rng.choice("xyz") + line[at + rng.randrange(2) :]
+    return line
+
+
+def test_lines_with_one_or_two_edits(documents):
+    rng = random.Random(21)
+    fresh = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvw ") for _ in range(n)).strip().ljust(n, "q")
+    lines = [(line, edited(rng, line, 1 + (n >= 80))) for n in range(50, 151, 4) for line in [fresh(n)]]
+    shingles = lambda line: {form[i : i + 5] for form in [" ".join(line.split())] for i in range(len(form) - 4)}
+    linked = [jaccard(shingles(a), shingles(b)) >= 0.75 for a, b in lines]
+    assert all(linked)
+    found = line_dedup.repeated_lines(documents("\n".join(a for a, _ in lines), "\n".join(b for _, b in lines))).collect()
+    assert [(r.doc_id, list(r.removed)) for r in found] == [(1, list(range(len(lines))))]
