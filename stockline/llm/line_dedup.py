@@ -26,7 +26,7 @@ MIN_CHARS = 50
 EXACT_CHARS = 8  # of distinct lines under 8 characters 29 % recur by chance, of those of 8 to 49 only 8 to 17 % recur (sf0.1)
 SHINGLE = 5  # characters; longer ones lose the link of lines of 50 to 78 characters at one changed character
 THRESHOLD = 75  # per cent
-BANDS, ROWS = 10, 3  # a pair of similarity 0.75 shares a bucket with probability 0.996, of 0.8 with 0.999
+BANDS, ROWS = 16, 3  # a pair of similarity 0.75 shares a bucket with probability 0.9998, of 0.8 with 0.99999
 SEEN = 200_000  # forms a task remembers so as not to send them again
 HELD_SHINGLES = 4_000_000  # shingles a task holds while it compares
 
