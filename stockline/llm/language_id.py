@@ -2,7 +2,10 @@
 
 Features are the square roots of the shares of hashed two- and three-byte sequences of the whole lower-cased text, white space, digits and
 ASCII punctuation being one character. Families are told apart by one-versus-rest linear support vector machines, the
-languages of a family by one machine per pair, whose votes (then margins) decide.
+languages of a family by one machine per pair, whose votes (then margins) decide. The machines only compare languages. So
+the score, a product of their certainties, is lowered for a text whose sequences are rare in every learned language: by
+how far their mean logarithmic frequency is below a cutoff from labelled texts that the frequencies were not taken from.
+A language of too few texts for a cutoff lowers no score of its texts.
 
 Training takes at most TRAIN_ROWS distinct labelled texts, in equal shares for each language, those with the smallest
 text hashes; their features, not their texts, go to the driver. Everything else runs over all rows. The id and the label
@@ -28,6 +31,12 @@ WIDTH = 2048
 TRAIN_ROWS = 4000
 EPOCHS = 40
 COST = 10.0
+#: A text's mean deviates as if it were of this many sequences at most: texts differ in their words however long they are.
+STEADY = 300.0
+#: Texts of a language that set its cutoff, at least; with fewer no text of it is taken for unusual.
+LEAST_HELD = 20
+#: The cutoff is so many times as far below the median as the lowest hundredth of the held-out texts, which are clean mostly.
+LENIENCE = 3.0
 #: Language families of the languages most often met; another language is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is"),
@@ -78,10 +87,35 @@ def svm(rows: np.ndarray, signs: np.ndarray, cost: float = COST, epochs: int = E
     return weights
 
 
+def gram_counts(sizes: np.ndarray) -> np.ndarray:
+    """Byte pairs and triples of texts of these bytes."""
+    return np.maximum(2.0 * np.asarray(sizes) - 3, 1)
+
+
+class Usual:
+    """How frequent the sequences of a text are in one language, from rows of shares and sizes in bytes of its texts."""
+
+    def __init__(self, rows: np.ndarray, held_rows: np.ndarray, held_sizes: np.ndarray) -> None:
+        frequency = (rows.astype(np.float64) ** 2).mean(axis=0) + 1e-4
+        frequency /= frequency.sum()
+        self.weights = np.log(frequency * WIDTH).astype(np.float32)
+        self.middle, self.cutoff = 0.0, 0.0
+        spread = np.sqrt(frequency @ (self.weights - frequency @ self.weights) ** 2)
+        self.middle = float(np.median(held_rows**2 @ self.weights))
+        lowest = np.quantile(self.over(held_rows, held_sizes), 0.01)
+        self.cutoff = LENIENCE * min(float(lowest), -2.33 * float(spread))  # as for independent sequences, at least
+
+    def over(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Deviations above the cutoff, on a scale on which short and long texts vary alike; negative: unusual."""
+        return (rows**2 @ self.weights - self.middle) / np.sqrt(1 / gram_counts(sizes) + 1 / STEADY) - self.cutoff
+
+
 class Hierarchy:
-    """The trained machines; `predict` gives a language and a score in 0 to 1 for rows of shares."""
+    """The trained machines; `predict` gives a language and a score in 0 to 1 for rows of shares and sizes of texts."""
 
-    def __init__(self, rows: np.ndarray, langs: list[str], families: dict[str, tuple[str, ...]]) -> None:
+    def __init__(
+        self, rows: np.ndarray, sizes: np.ndarray, langs: list[str], families: dict[str, tuple[str, ...]]
+    ) -> None:
         family_of = {lang: name for name, members in families.items() for lang in members}
         langs_, rows = np.array(langs), rows.astype(np.float32)
         self.langs = sorted(set(langs))
@@ -95,8 +129,15 @@ class Hierarchy:
             chosen = (langs_ == a) | (langs_ == b)
             heads.append(svm(rows[chosen], np.where(langs_[chosen] == a, 1, -1)))
         self.weights = np.array(heads).reshape(len(heads), WIDTH + 1).T.astype(np.float32)
-
-    def predict(self, rows: np.ndarray) -> tuple[list[str], list[float]]:
+        self.usual: dict[str, Usual] = {}
+        found = np.array(self.predict(rows, sizes)[0])  # a text that is found in another language may be labelled wrongly
+        for lang in self.langs:
+            own = np.flatnonzero(langs_ == lang)
+            held = own[1::2][found[own[1::2]] == lang]
+            if len(held) >= LEAST_HELD:
+                self.usual[lang] = Usual(rows[own[::2]], rows[held], sizes[held])
+
+    def predict(self, rows: np.ndarray, sizes: np.ndarray) -> tuple[list[str], list[float]]:
         margins = rows @ self.weights[:-1] + self.weights[-1]
         n = len(self.families) if len(self.families) > 1 else 0
         top = margins[:, :n].argmax(axis=1) if n else np.zeros(len(rows), dtype=np.int64)
@@ -114,6 +155,10 @@ class Hierarchy:
             best = max(votes, key=lambda lang: (*votes[lang][:2], lang))
             langs.append(best)
             scores.append(float(sure[i]) * float(votes[best][2]))
+        if self.usual:
+            over = np.max([usual.over(rows, sizes) for usual in self.usual.values()], axis=0)
+            lowered = np.exp(np.minimum(over, 0.0))
+            scores = [s * float(f) if lang in self.usual else s for lang, s, f in zip(langs, scores, lowered)]
         return langs, scores
 
 
@@ -141,13 +186,16 @@ def train(
     sample = sample.dropDuplicates(["lang", "key"]).select("lang", "key", F.col("text").cast("binary").alias("text"))
 
     def work(part: pa.RecordBatch) -> dict:
-        found = shares(part.column(2).to_pylist())
-        return {"lang": part.column(0), "key": part.column(1), "shares": [row.tobytes() for row in found]}
+        texts = part.column(2).to_pylist()
+        return {
+            "lang": part.column(0), "key": part.column(1), "shares": [row.tobytes() for row in shares(texts)],
+            "size": [len(text) for text in texts],
+        }
 
-    found = arrow_map(sample, work, "lang string, key long, shares binary").collect()  # at most train_rows rows
+    found = arrow_map(sample, work, "lang string, key long, shares binary, size long").collect()  # at most train_rows rows
     found.sort(key=lambda row: (row.key, row.lang))
     matrix = np.frombuffer(b"".join(row.shares for row in found), dtype=np.float32).reshape(len(found), WIDTH)
-    return Hierarchy(matrix, [row.lang for row in found], families)
+    return Hierarchy(matrix, np.array([row.size for row in found]), [row.lang for row in found], families)
 
 
 def predicted(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
@@ -159,7 +207,7 @@ def predicted(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
         langs, scores = ["und"] * n, [0.0] * n
         if lettered.any() and shared.value is not None:
             texts = [text.as_py() or b"" for text in part.column(2)]
-            langs, scores = shared.value.predict(shares(texts))
+            langs, scores = shared.value.predict(shares(texts), np.array([len(text) for text in texts]))
         return {
             "doc_id": part.column(0), "held_out": part.column(1),
             "lang_pred": [x if ok else "und" for x, ok in zip(langs, lettered)],

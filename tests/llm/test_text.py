@@ -238,3 +238,22 @@ def test_pipeline(spark, documents, clashing, tmp_path):
     lines = {r.doc_id: r for r in corpus_pipeline.distinct_lines(spark, docs, str(tmp_path)).collect()}
     assert lines[1].text == rows[1] and lines[2].text == rows[2].split("\n")[1]
     assert lines[2].n_chars == len(lines[2].text) and 4 not in lines and 3 in lines
+
+
+def test_text_of_no_learned_language_goes(spark):
+    rng = random.Random(9)
+    clean = []
+    for i in range(800):
+        lang = rng.choice(list(WORDS))
+        clean.append((i, " ".join(rng.choice(WORDS[lang].split()) for _ in range(rng.randrange(5, 80))), lang))
+    random_text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(200))
+    strange = [
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
+        "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "все люди рождаются свободными",
+        random_text, random_text[:60],
+    ]
+    rows = clean + [(1000 + i, text, None) for i, text in enumerate(strange)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").collect()} == set(range(800))
+    few = docs.filter("doc_id < 20 or doc_id >= 1000")  # too few texts for a cutoff
+    assert corpus_pipeline.known_language(spark, few, "").count() == 25
