@@ -9,7 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that are worked on at a time, so that a task holds few texts as Python objects.
@@ -65,6 +65,11 @@ def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A 64-bit hash of a document's row by id and text, never null: rows of a null or repeated id differ by their texts."""
+    return F.xxhash64(doc_id.cast("long"), text)
+
+
 def only_ids(df: DataFrame, ids: DataFrame, on: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """The rows of df whose `on` is among ids (one column of that name); a short list is broadcast, after a count."""
     if ids.count() <= broadcast_ids:

@@ -221,6 +221,11 @@ def predicted(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
     return arrow_map(columns, work, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def learned(docs: DataFrame) -> Hierarchy | None:
+    """The machines from the labelled documents that are not held out."""
+    return train(docs.filter(~held_out(F.col("doc_id"))))
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """Learn from the labelled documents that are not held out, predict all."""
-    return predicted(docs, train(docs.filter(~held_out(F.col("doc_id")))))
+    return predicted(docs, learned(docs))

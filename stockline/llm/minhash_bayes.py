@@ -10,8 +10,9 @@ words (with fewer words, the whole sequence). Two documents are linked if 100 *
   the matches so far (uniform prior) decides: if the chance of similarity >= 0.75 is below `miss`, the pair goes.
 * Survivors are verified on their full sets of 64-bit shingle hashes.
 
-Null or wordless text: an empty set, linked with nothing. Null doc_id: its own group, component_id null, kept. Rows
-that repeat a doc_id are one document; each row is returned. Other columns are ignored.
+Null or wordless text: an empty set, linked with nothing. Null doc_id: a copy of the documents of an equal set, not
+kept, if one of these has an id; else its own group, component_id null, kept. Rows that repeat a doc_id are one document;
+each row is returned. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockline.llm.buckets import component_per_node, shared_buckets
-from stockline.llm.common import arrow_map, band_keys, long_lists, mixed, only_ids, permutations
+from stockline.llm.common import arrow_map, band_keys, long_lists, mixed, only_ids, permutations, row_key
 from stockline.llm.components import few
 from stockline.llm.stats import beta_cdf
 from stockline.operators.scale import checkpointed
@@ -63,7 +64,7 @@ def signature(shingles: np.ndarray, factors: np.ndarray, summands: np.ndarray) -
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (sums that tell sets apart), signature, bands."""
+    """doc_id, row (its row key), n_shingles, set_a, set_b (sums that tell sets apart), signature, bands."""
     factors, summands = permutations(BANDS * ROWS, _SEED)
 
     def work(part: pa.RecordBatch) -> dict:
@@ -76,12 +77,15 @@ def features(docs: DataFrame) -> DataFrame:
             if len(shingles):
                 rows[i] = signature(shingles, factors, summands)
         return {
-            "doc_id": part.column(0), "n_shingles": sizes, "set_a": sums_a, "set_b": sums_b,
+            "doc_id": part.column(0), "row": part.column(2), "n_shingles": sizes, "set_a": sums_a, "set_b": sums_b,
             "signature": [row.tobytes() for row in rows], "bands": long_lists(band_keys(rows, ROWS)),
         }
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"),
+        row_key(F.col("doc_id"), F.col("text")).alias("row"),
+    )
+    schema = "doc_id long, row long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"
     return arrow_map(texts, work, schema)
 
 
@@ -140,6 +144,11 @@ def exactly_linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept, for each row of docs."""
+    return near_duplicate_rows(docs, miss).drop("row")
+
+
+def near_duplicate_rows(docs: DataFrame, miss: float = MISS) -> DataFrame:
+    """The columns of near_duplicates and row, the row key."""
     of_set = ["set_a", "set_b", "n_shingles"]
     found = checkpointed(features(docs))
     classes = found.filter("n_shingles > 0").groupBy(*of_set).agg(F.min("doc_id").alias("node"))
@@ -166,8 +175,8 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
     placed = classes.join(reached, "node", "left").select(
         *of_set, F.coalesce("component", "node").alias("component_id")
     )
-    rows = found.select("doc_id", *of_set).join(placed, of_set, "left")
+    rows = found.select("doc_id", "row", *of_set).join(placed, of_set, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return rows.select("doc_id", "row", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )

@@ -257,3 +257,19 @@ def test_text_of_no_learned_language_goes(spark):
     assert {r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").collect()} == set(range(800))
     few = docs.filter("doc_id < 20 or doc_id >= 1000")  # too few texts for a cutoff
     assert corpus_pipeline.known_language(spark, few, "").count() == 25
+
+
+def test_null_and_repeated_ids_keep_clean_rows(spark, documents, tmp_path):
+    item = "a benchmark question that nobody should ever train on, at least not if it can be helped"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = lambda stage, *rows: [
+        (r.doc_id or -1, r.text) for r in stage(spark, documents(*rows), str(tmp_path)).collect()
+    ]
+    clean, copied = "a clean text of quite some words", "one two three four five six seven"
+    for stage, bad in ((corpus_pipeline.known_language, "123 456"), (corpus_pipeline.without_benchmarks, f"so {item} it is")):
+        found = kept(stage, (None, bad), (None, clean), (None, None), (5, bad), (5, clean), (6, clean))
+        of_null = [] if stage is corpus_pipeline.known_language else [None]
+        assert [t for _, t in found if t is None] == of_null
+        assert sorted(x for x in found if x[1]) == [(-1, clean), (5, clean), (6, clean)]
+    found = kept(corpus_pipeline.distinct_documents, (None, copied), (None, clean), (3, copied), (4, copied), (7, "other " + clean))
+    assert sorted(found) == [(-1, clean), (3, copied), (7, "other " + clean)]
