@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockline.llm import (
-    bpe, chat_format, decontaminate, language_id, license_scan, line_dedup, minhash_bayes, quality_rules, token_counts,
-    warc_index,
+    alignment, bpe, chat_format, decontaminate, hard_negatives, language_id, license_scan, line_dedup, minhash_bayes,
+    multiprobe, quality_rules, token_counts, vectors, warc_index,
 )
 
 
@@ -74,9 +74,27 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.decoded(bpe.coded(_table(spark, folder, "documents"), path), path)
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.aligned(_table(spark, folder, "documents"), *paths)
+
+
+def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return multiprobe.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double"))
+    finite = F.transform("embedding", lambda x: 256 * x.cast("double"))
+    rows = _table(spark, folder, "embeddings").filter(vectors.finite(finite))
+    return hard_negatives.mined(hard_negatives.usable(rows, label, vector), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_quality_rules, op2_token_counts, op3_chat_format, op4_license_scan, op5_near_duplicates, op6_warc_index,
-        op7_language_id, op8_line_dedup, op9_decontaminate, op10_bpe,
+        op7_language_id, op8_line_dedup, op9_decontaminate, op10_bpe, op11_token_alignment, op12_nearest_neighbours,
+        op13_hard_negatives,
     )
     return {query.__name__: query for query in own}
