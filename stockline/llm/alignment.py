@@ -12,7 +12,8 @@ time until one fragment per document is left, whose ends are the document's.
 
 Ranges and the units within them are cut before a space that follows a character other than white space: there A's pattern starts
 afresh, and no piece of B holds a space after another character (both are checked when the files are loaded). So a
-range's tokens are those of the whole text. A text without such a place is one range. A task remembers MEMORY_UNITS units.
+range's tokens are those of the whole text. A text without such a place is one range. A task works on BATCH_CHARS at a time and
+looks at each distinct unit of these once.
 
 How often an id pair is linked is counted over all documents. Up to BROADCAST_PAIRS distinct pairs are sent to all tasks, after
 a count; beyond that each document's pairs are joined with the counts by shuffle.
@@ -33,6 +34,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,8 @@ from stockline.operators.scale import checkpointed
 
 CHUNK_BYTES = 1 << 16
 FANIN = 16
-MEMORY_UNITS = 100_000
+BATCH_CHARS = 4_000_000  # text whose distinct units a task holds at a time
+JOINED_CHARS = 1 << 16
 BROADCAST_PAIRS = 2_000_000  # 32 MB
 
 _LOW = (1 << 32) - 1
@@ -150,10 +153,33 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(x): x for x in printable} | {chr(256 + i): x for i, x in enumerate(others)}
 
 
+class Units(NamedTuple):
+    """Distinct units: the place of each, and by place what its whole groups hold; n_groups is 0 where bytes differ."""
+
+    place: dict[str, int]
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    texts: list[str]  # the groups, each with a ";" behind
+    links: np.ndarray
+    links_from: np.ndarray
+
+    def of(self, units: list[str]) -> tuple[int, int, int, str, np.ndarray] | None:
+        """(n_a, n_b, n_groups, text, links) of units in a row; None if the bytes of one differ."""
+        at = np.fromiter(map(self.place.__getitem__, units), dtype=np.int64, count=len(units))
+        if not self.n_groups[at].all():
+            return None
+        starts = self.links_from[at]
+        sizes = self.links_from[at + 1] - starts
+        links = self.links[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        text = "".join(map(self.texts.__getitem__, at.tolist()))[:-1]
+        return int(self.n_a[at].sum()), int(self.n_b[at].sum()), int(self.n_groups[at].sum()), text, links
+
+
 class Tokens:
     """Both tokenizers' ids of texts that start with a space; one per task."""
 
-    def __init__(self, path_a: str, path_b: str, memory_units: int = MEMORY_UNITS) -> None:
+    def __init__(self, path_a: str, path_b: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
@@ -170,43 +196,88 @@ class Tokens:
             bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace("▁", " ").encode()
             for i, name in enumerate(names)
         ]
+        self.size_a, self.size_b = (np.array([len(x) for x in side]) for side in (self.bytes_a, self.bytes_b))
+        # Each id written out with what can follow it: for A "," or "|", for B "," or ";".
+        forms = [f"{i}{sign}" for side, signs in ((size, ",|"), (len(names), ",;")) for sign in signs for i in range(side)]
+        self.forms = np.array(forms, dtype=object)
         self.space = self.b.piece_to_id("▁")
-        self.memory_units, self.known = memory_units, {}
 
-    def ids(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of units, each of which starts with a space."""
-        of_a = [x.ids for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        rest = [unit[1:] for unit in units]  # B puts the space in front itself, but for a text that is nothing else
+    def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of texts, each of which starts with a space."""
+        of_a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        rest = [text[1:] for text in texts]  # B puts the space in front itself, but for a text that is nothing else
         return of_a, [ids if text else [self.space] for text, ids in zip(rest, self.b.encode(rest, num_threads=1))]
 
-    def tokens(self, unit: str, a: list[int], b: list[int], base: int = 0) -> Open | None:
-        """The tokens with their end offsets; None if the joined bytes are not the unit's."""
-        left, right = [self.bytes_a[x] for x in a], [self.bytes_b[x] for x in b]
-        if not b"".join(left) == b"".join(right) == unit.encode():
-            return None
-        ends = (tuple((np.cumsum(list(map(len, parts))) + base).tolist()) for parts in (left, right))
-        return Open(tuple(a), next(ends), tuple(b), next(ends))
-
-    def learn(self, units: set[str]) -> None:
-        """Remember the whole groups of units as (n_a, n_b, n_groups, text, links), None where bytes differ."""
-        unknown = list(units.difference(self.known))
-        if len(self.known) + len(unknown) > self.memory_units:
-            self.known = {}
-            unknown = list(units)
-        for unit, a, b in zip(unknown, *self.ids(unknown)):
-            tokens = self.tokens(unit, a, b)
-            if tokens is None:
-                self.known[unit] = None
-            else:
-                found = whole(fragment(tokens))
-                links = np.array(found.links, dtype=np.int64)
-                self.known[unit] = found.n_a, found.n_b, len(found.texts), ";".join(found.texts), links
+    def sound(self, text: str, a: list[int], b: list[int]) -> bool:
+        """Whether the joined bytes of both sides' tokens are the text's."""
+        sides = b"".join(map(self.bytes_a.__getitem__, a)), b"".join(map(self.bytes_b.__getitem__, b))
+        return sides[0] == sides[1] == text.encode()
 
     def first(self, unit: str, base: int) -> Fragment | None:
-        """The fragment of one unit, whose start is not known to be a common end."""
-        a, b = self.ids([unit])
-        tokens = self.tokens(unit, a[0], b[0], base)
-        return None if tokens is None else fragment(tokens)
+        """The fragment of one unit, whose start is not known to be a common end; None if its bytes differ."""
+        (a,), (b,) = self.ids([unit])
+        if not self.sound(unit, a, b):
+            return None
+        ends = [tuple((np.cumsum(size[ids]) + base).tolist()) for size, ids in ((self.size_a, a), (self.size_b, b))]
+        return fragment(Open(tuple(a), ends[0], tuple(b), ends[1]))
+
+    def units(self, found: set[str]) -> Units:
+        """The whole groups of distinct units.
+
+        Units are encoded joined, JOINED_CHARS at a time, which is far cheaper than one by one. Those that may not be joined
+        (white space at the end, U+2581) and those of a joined text whose bytes differ are encoded alone.
+        """
+        joined, alone, held, size = [], [], [], 0
+        for unit in found:
+            if unit[-1].isspace() or "▁" in unit:
+                alone.append(unit)
+                continue
+            held.append(unit)
+            size += len(unit)
+            if size >= JOINED_CHARS:
+                joined.append(held)
+                held, size = [], 0
+        joined += [held] if held else []
+        parts, odd = [], []
+        texts = ["".join(part) for part in joined]
+        for part, text, a, b in zip(joined, texts, *self.ids(texts)):
+            if self.sound(text, a, b):
+                parts.append((part, a, b))
+            else:
+                alone += part
+        for unit, a, b in zip(alone, *self.ids(alone)):
+            if self.sound(unit, a, b):
+                parts.append(([unit], a, b))
+            else:
+                odd.append(unit)
+        return self._aligned(parts, odd)
+
+    def _aligned(self, parts: list[tuple], odd: list[str]) -> Units:
+        """All parts (units, ids of A, ids of B of the units joined) in one go; odd units, without tokens, come last."""
+        names = [unit for units, *_ in parts for unit in units]
+        a, b = (np.array([x for part in parts for x in part[side]], dtype=np.int64) for side in (1, 2))
+        ends = np.cumsum([len(unit) if unit.isascii() else len(unit.encode()) for unit in names])
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        starts_a, starts_b = ends_a - self.size_a[a], ends_b - self.size_b[b]
+        cut_a, cut_b = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
+        unit_a, unit_b = np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b)
+        total = len(names) + len(odd)
+        n_a, n_b = np.bincount(unit_a, minlength=total), np.bincount(unit_b, minlength=total)
+        n_groups = np.bincount(unit_a[cut_a], minlength=total)
+        # Of B's tokens those overlap with a token of A that end behind its start and start before its end.
+        low, high = np.searchsorted(ends_b, starts_a, side="right"), np.searchsorted(starts_b, ends_a)
+        sizes = high - low
+        at_b = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        links = np.repeat(a, sizes) << 32 | b[at_b]
+        of_unit = np.bincount(unit_a, weights=sizes, minlength=total).astype(np.int64)
+        forms = np.r_[a + len(self.bytes_a) * cut_a, 2 * len(self.bytes_a) + b + len(self.bytes_b) * cut_b]
+        # A group's tokens of A, then its tokens of B.
+        group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+        written = self.forms[forms[np.argsort(np.r_[2 * group_a, 2 * group_b + 1], kind="stable")]].tolist()
+        bounds = np.cumsum(np.r_[0, n_a + n_b]).tolist()
+        texts = ["".join(written[i:j]) for i, j in zip(bounds, bounds[1:])]
+        place = {unit: i for i, unit in enumerate([*names, *odd])}
+        return Units(place, n_a, n_b, n_groups, texts, links, np.cumsum(np.r_[0, of_unit]))
 
 
 # ---- ranges of documents ----
@@ -250,22 +321,26 @@ def _summaries(doc_ids: pa.Array, rows: pa.Array, found: list[tuple]) -> pa.Reco
     return pa.RecordBatch.from_arrays(columns, [field.split()[0] for field in _SUMMARY.split(", ")])
 
 
+def _by_size(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches (.., .., text) with about so many bytes of text, or one row."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False)
+        parts = np.cumsum(sizes) // chars
+        starts = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]]) if len(parts) else []
+        for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.slice(int(start), int(end - start))
+
+
 def short_summaries(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """The summaries (columns of _SUMMARY) of documents (doc_id, row, text), each of which is one range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(path_a, path_b)
-        for part in sliced(batches):
+        for part in _by_size(batches, BATCH_CHARS):
             cut = [pieces(" " + text) if text else [] for text in part.column(2).to_pylist()]
-            tokens.learn({unit for units in cut for unit in units})
-            found = []
-            for units in cut:
-                known = [tokens.known[unit] for unit in units]
-                if not known or None in known:
-                    found.append(_NO_TOKENS)
-                    continue
-                n_a, n_b, n_groups, texts, links = zip(*known)
-                found.append(_summary(sum(n_a), sum(n_b), sum(n_groups), ";".join(texts), *_counted(list(links))))
+            known = tokens.units({unit for units in cut for unit in units})
+            groups = [known.of(units) if units else None for units in cut]
+            found = [_NO_TOKENS if x is None else _summary(*x[:4], *_counted([x[4]])) for x in groups]
             yield _summaries(part.column(0), part.column(1), found)
 
     ship_package(docs.sparkSession)
@@ -330,12 +405,10 @@ def range_fragments(docs: DataFrame, path_a: str, path_b: str, size: int) -> Dat
         for part in sliced(batches, 1):
             row, place, base, text = (part.column(c)[0].as_py() for c in range(4))
             first, *units = pieces(text)
-            tokens.learn(set(units))
-            known = [tokens.known[unit] for unit in units]
-            found = None if None in known else tokens.first(first, base)
             # The first unit ends with a common end, so what follows are whole groups.
-            links = [x[4] for x in known if x is not None]
-            row = _fragment_row(row, place, found, [x[:4] for x in known if x is not None], links)
+            more = tokens.units(set(units)).of(units)
+            found = None if more is None else tokens.first(first, base)
+            row = _fragment_row(row, place, found, *(([more[:4]], [more[4]]) if more else ([], [])))
             yield pa.RecordBatch.from_pylist([row], schema=_arrow_schema(_FRAGMENT))
 
     ship_package(docs.sparkSession)

@@ -170,10 +170,18 @@ def test_unfit_tokenizers_are_refused():
         al.Tokens(public_tokenizers.path("word_bpe_49k.json"), B)
 
 
-def test_small_memory_changes_nothing():
-    texts = {" " + t for t in ("one two", "one", "three\n", "é", "")}
-    large, small = al.Tokens(A, B), al.Tokens(A, B, memory_units=2)
-    for text in sorted(texts):
-        large.learn({text})
-        small.learn({text})
-        assert str(large.known[text]) == str(small.known[text])
+def test_small_batches_and_joins_change_nothing(documents, monkeypatch):
+    texts = [*TEXTS, *noise(20)]
+    plain = results(al.aligned(documents(*texts), A, B))
+    monkeypatch.setattr(al, "BATCH_CHARS", 50)
+    monkeypatch.setattr(al, "JOINED_CHARS", 9)
+    assert results(al.aligned(documents(*texts).repartition(3), A, B)) == plain
+
+
+def test_units_hold_their_own_groups_only():
+    tokens = al.Tokens(A, B)
+    units = [" one", " two\n", " ▁", " é", " don't", "  ", " 日本"]
+    together = tokens.units(set(units))
+    for unit in units:
+        assert str(together.of([unit])) == str(tokens.units({unit}).of([unit])), unit
+    assert together.of([" one", " ▁"]) is None and together.of([])[:4] == (0, 0, 0, "")
