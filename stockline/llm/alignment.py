@@ -44,7 +44,7 @@ from stockline.operators.scale import checkpointed
 
 CHUNK_BYTES = 1 << 16
 FANIN = 16
-BATCH_CHARS = 4_000_000  # text whose distinct units a task holds at a time
+BATCH_CHARS = 1_500_000  # text whose distinct units a task holds at a time
 JOINED_CHARS = 1 << 16
 BROADCAST_PAIRS = 2_000_000  # 32 MB
 
@@ -239,15 +239,15 @@ class Tokens:
                 held, size = [], 0
         joined += [held] if held else []
         parts, odd = [], []
-        texts = ["".join(part) for part in joined]
-        for part, text, a, b in zip(joined, texts, *self.ids(texts)):
+        for part in joined:
+            (a,), (b,) = self.ids([text := "".join(part)])
             if self.sound(text, a, b):
-                parts.append((part, a, b))
+                parts.append((part, np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)))
             else:
                 alone += part
         for unit, a, b in zip(alone, *self.ids(alone)):
             if self.sound(unit, a, b):
-                parts.append(([unit], a, b))
+                parts.append(([unit], np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)))
             else:
                 odd.append(unit)
         return self._aligned(parts, odd)
@@ -255,7 +255,7 @@ class Tokens:
     def _aligned(self, parts: list[tuple], odd: list[str]) -> Units:
         """All parts (units, ids of A, ids of B of the units joined) in one go; odd units, without tokens, come last."""
         names = [unit for units, *_ in parts for unit in units]
-        a, b = (np.array([x for part in parts for x in part[side]], dtype=np.int64) for side in (1, 2))
+        a, b = (np.concatenate([np.empty(0, dtype=np.int64), *(part[side] for part in parts)]) for side in (1, 2))
         ends = np.cumsum([len(unit) if unit.isascii() else len(unit.encode()) for unit in names])
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         starts_a, starts_b = ends_a - self.size_a[a], ends_b - self.size_b[b]
