@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockline.functions import scalars as S
 from stockline.functions.dates import as_day
-from stockline.operators.scale import checkpointed, lookup_join, running_totals
+from stockline.operators.scale import checkpointed, heavy_keys, lookup_join, running_totals, split_heavy
 
 # Why a line, request or cart is refused.
 BAD_ITEM = "bad_item"
@@ -19,8 +20,8 @@ NOT_ENOUGH_STOCK = "not_enough_stock"
 EMPTY_CART = "empty_cart"
 LINE_REASONS = [BAD_ITEM, NOT_ENOUGH_STOCK, UNKNOWN_PRODUCT]
 
-# A product with at most this many requests has them folded as one array; a busier one is settled by running sums.
-FOLD_ROWS = 2_000
+# Phases of a sale (see sell_decisions) that one stage of windows works out before its rows are written.
+PHASES_AT_ONCE = 10
 
 
 class Checkout(NamedTuple):
@@ -223,84 +224,99 @@ def _sell_movements(sold: DataFrame) -> DataFrame:
 
 
 def sell_decisions(
-    products: DataFrame, requests: DataFrame, fold_rows: int | None = None,
-    heavy_rows: int | None = None, slices: int | None = None,
+    products: DataFrame, requests: DataFrame, heavy_rows: int | None = None, slices: int | None = None
 ) -> DataFrame:
     """Requests (seq, product_id, quantity, ...) with a reason where refused.
 
-    A request is taken if the stock left by the requests taken before it is enough; a refused one uses none.
+    A request is taken if the stock left by the requests taken before it is enough; a refused one uses none. This goes by
+    phases that halve the stock. While at least half of a phase's stock is left, every request of up to half of it is
+    taken, so what is left is its running sum away. The phase ends at the first request that brings the rest under half:
+    by that sum, or by being larger than half and still fitting. Larger ones before it do not fit and are refused. So a
+    product takes as many phases as its stock has binary digits, whatever its requests are, and gathers them nowhere.
+
+    Products are settled in one shuffle, phase after phase over the same sorted rows. Those with more than heavy_rows
+    requests are settled in rounds, one phase each, in which running sums are split into slices.
     """
     priced = priced_lines(requests, products)
-    refused = priced.filter("reason IS NOT NULL")
-    open_requests = priced.filter("reason IS NULL")
-    limit = FOLD_ROWS if fold_rows is None else fold_rows
-    named = requests.filter(S.coalesce_zero(F.col("product_id")) != 0)
-    counts = named.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
-    busy = checkpointed(counts.filter(F.col("n") > limit).select("product_id"))
-    if busy.isEmpty():
-        return refused.unionByName(_fold_by_product(open_requests))
-    calm = lookup_join(open_requests, busy, ["product_id"], "left_anti", heavy_rows=heavy_rows)
-    rest = lookup_join(open_requests, busy, ["product_id"], "left_semi", heavy_rows=heavy_rows)
-    return refused.unionByName(_fold_by_product(calm)).unionByName(_settle_in_rounds(rest, heavy_rows, slices))
-
-
-def _fold_by_product(open_requests: DataFrame) -> DataFrame:
-    """Stock handed out request by request along a sorted array per product."""
-    of_product = ["stock", "product_code", "product_name", "unit", "price", "purchase_price"]
-    worked_out = ["product_id", "reason", "sale_price", "profit_per_unit", "total_price", "profit"]
-    others = [c for c in open_requests.columns if c not in ("seq", "quantity", *of_product, *worked_out)]
-    of_request = ["seq", "quantity", *others]
-    # An array is as large as the rows it holds, so nothing is combined before the shuffle; no product is busy here.
-    grouped = open_requests.repartition("product_id").groupBy("product_id").agg(
-        F.sort_array(F.collect_list(F.struct(*of_request))).alias("rows"),
-        *[F.any_value(c).alias(c) for c in of_product],
-    )
-    start = F.struct(F.col("stock").alias("left"), F.array().cast("array<boolean>").alias("taken"))
+    named = requests.filter(S.coalesce_zero(F.col("product_id")) != 0).select("product_id")
+    heavy = heavy_keys(named, ["product_id"], heavy_rows)
+    phases = int(products.agg(F.max("stock")).first()[0] or 0).bit_length()
+    if heavy is None:
+        return _settled_in_groups(priced, phases)
+    hot, rest = split_heavy(priced, ["product_id"], heavy)
+    return _settled_in_groups(rest, phases).unionByName(_settled_in_rounds(hot, heavy_rows, slices))
 
-    def hand_out(state: Column, asked: Column) -> Column:
-        enough = asked <= state["left"]
-        return F.struct(
-            F.when(enough, state["left"] - asked).otherwise(state["left"]).alias("left"),
-            F.concat(state["taken"], F.array(enough)).alias("taken"),
-        )
 
-    taken = F.aggregate(F.col("rows.quantity"), start, hand_out, lambda state: state["taken"])
-    pairs = grouped.select(
-        "product_id", *of_product, F.explode(F.arrays_zip("rows", taken.alias("taken"))).alias("pair")
-    )
-    reason = F.when(~F.col("pair.taken"), NOT_ENOUGH_STOCK)
-    flat = pairs.select("product_id", *of_product, "pair.rows.*", reason.alias("reason"))
-    return _with_amounts(flat).select(*open_requests.columns)
+def _half() -> Column:
+    return F.shiftright("_left", 1)
 
 
-def _settle_in_rounds(open_requests: DataFrame, heavy_rows: int | None, slices: int | None) -> DataFrame:
-    """The same decisions without gathering a product's requests anywhere.
+def _small() -> Column:
+    return F.col("quantity") <= _half()
 
-    Each round takes, per product, the requests up to the first that the running sum refuses. What is left is
-    then less than that request asked for, so it and all of its size or more are refused from there on: there
-    are at most as many rounds as a product has different quantities.
-    """
-    columns = open_requests.columns
-    pending = open_requests.withColumn("left", F.col("stock"))
-    done = None
+
+def _ends_phase() -> Column:
+    """Whether a request brings what is left under half, given _run, the sum of the small ones up to and with it."""
+    return F.when(_small(), F.col("_run") > _half()).otherwise(F.col("quantity") <= F.col("_left") - F.col("_run"))
+
+
+def _used() -> Column:
+    """What a phase that ends at this request has used."""
+    return F.col("_run") + F.when(_small(), 0).otherwise(F.col("quantity"))
+
+
+def _settled_in_groups(priced: DataFrame, phases: int) -> DataFrame:
+    """All phases over one layout by product; rows that are refused already are spread, as they may be of one product."""
+    refused = F.col("reason").isNotNull()
+    group = Window.partitionBy("product_id", "_spread")
+    in_order = group.orderBy("seq", "quantity")
+    up_to_here = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    frame = priced.withColumns({
+        "_spread": F.when(refused, F.pmod(F.xxhash64("seq", "quantity"), F.lit(1 << 16))).otherwise(-1),
+        "_left": F.greatest("stock", F.lit(0)), "_open": ~refused, "_taken": F.lit(False),
+    })
+    frame = frame.withColumn("_at", F.row_number().over(in_order))
+    opened, at_cut = F.col("_open"), F.col("_at") == F.col("_cut._at")
+    over = F.col("_cut").isNull() | (F.col("_at") <= F.col("_cut._at"))
+    for phase in range(phases):
+        if phase and phase % PHASES_AT_ONCE == 0:
+            frame = checkpointed(frame)
+        frame = frame.withColumn("_run", F.sum(F.when(opened & _small(), F.col("quantity")).otherwise(0)).over(up_to_here))
+        end = F.when(opened & _ends_phase(), F.struct("_at", _used().alias("used")))
+        frame = frame.withColumn("_cut", F.min(end).over(group))
+        frame = frame.withColumns({
+            "_taken": F.col("_taken") | (opened & over & (_small() | F.coalesce(at_cut, F.lit(False)))),
+            "_open": opened & ~over, "_left": F.col("_left") - F.coalesce("_cut.used", F.lit(0)),
+        }).drop("_run", "_cut")
+    reason = F.coalesce("reason", F.when(~F.col("_taken"), NOT_ENOUGH_STOCK))
+    return frame.withColumn("reason", reason).select(*priced.columns)
+
+
+def _settled_in_rounds(priced: DataFrame, heavy_rows: int | None, slices: int | None) -> DataFrame:
+    """A phase per round, for products whose requests are too many for one task."""
+    columns = priced.columns
+    done = [priced.filter("reason IS NOT NULL")]
+    open_rows = priced.filter("reason IS NULL").withColumn("_left", F.greatest("stock", F.lit(0)))
+    pending = checkpointed(open_rows.withColumn("_id", F.monotonically_increasing_id()))
+    order = [F.col("seq"), F.col("quantity"), F.col("_id")]
     while True:
-        too_big = pending.filter(F.col("quantity") > F.col("left")).withColumn("reason", F.lit(NOT_ENOUGH_STOCK))
-        running = checkpointed(
-            running_totals(
-                pending.filter(F.col("quantity") <= F.col("left")), ["product_id"], [F.col("seq"), F.col("quantity")],
-                {"taken": F.col("quantity")}, heavy_rows, slices,
-            )
+        fits = pending.filter(F.col("quantity") <= F.col("_left"))
+        done.append(pending.filter(F.col("quantity") > F.col("_left")).withColumn("reason", F.lit(NOT_ENOUGH_STOCK)))
+        taken = F.when(_small(), F.col("quantity")).otherwise(0)
+        running = checkpointed(running_totals(fits, ["product_id"], order, {"_run": taken}, heavy_rows, slices))
+        if running.isEmpty():
+            break
+        cuts = running.filter(_ends_phase()).groupBy("product_id").agg(
+            F.min(F.struct(*order, _used().alias("used"))).alias("_cut")
         )
-        accepted = running.filter(F.col("taken") <= F.col("left"))
-        rest = running.filter(F.col("taken") > F.col("left")).drop("taken")
-        settled = too_big.select(*columns).unionByName(accepted.select(*columns))
-        done = settled if done is None else done.unionByName(settled)
-        if rest.isEmpty():
-            return done
-        used = accepted.groupBy("product_id").agg(F.max("taken").alias("used"))
-        rest = lookup_join(rest, used, ["product_id"], heavy_rows=heavy_rows)
-        left = F.col("left") - S.coalesce_zero(F.col("used"))
-        pending = checkpointed(rest.withColumn("left", left).select(*columns, "left"))
+        judged = lookup_join(running, cuts, ["product_id"])
+        here, cut = F.struct(*order), F.struct(*[F.col(f"_cut.{c}") for c in ("seq", "quantity", "_id")])
+        over = F.col("_cut").isNull() | (here <= cut)
+        taken = _small() | (F.col("_cut").isNotNull() & (here == cut))
+        done.append(judged.filter(over).withColumn("reason", F.when(~taken, NOT_ENOUGH_STOCK)))
+        left = F.col("_left") - F.col("_cut.used")
+        pending = checkpointed(judged.filter(~over).withColumn("_left", left).select(*columns, "_left", "_id"))
+    return reduce(DataFrame.unionByName, [part.select(*columns) for part in done])
 
 
 def sell(products: DataFrame, requests: DataFrame, day: str | date | Column) -> Sold:

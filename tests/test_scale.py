@@ -79,7 +79,7 @@ def _products(spark):
     )
 
 
-@pytest.mark.parametrize("ways", [{}, {"fold_rows": 50}, {"fold_rows": 0, "heavy_rows": 40, "slices": 6}])
+@pytest.mark.parametrize("ways", [{}, {"heavy_rows": 40, "slices": 6}, {"heavy_rows": 0, "slices": 3}])
 def test_sell_equals_one_request_after_the_other(spark, ways):
     request_rows, requests = _requests(spark)
     product_rows, products = _products(spark)
@@ -101,6 +101,49 @@ def test_sell_equals_one_request_after_the_other(spark, ways):
     assert decided.filter("shop = 'north'").count() == len(request_rows)
 
 
+def _one_after_the_other(stock, quantities):
+    taken = []
+    for quantity in quantities:
+        taken.append(0 < quantity <= stock)
+        stock -= quantity if taken[-1] else 0
+    return taken
+
+
+@pytest.mark.parametrize("ways", [{}, {"heavy_rows": 100, "slices": 5}])
+@pytest.mark.parametrize("stock", [0, 1, 2, 3, 7, 8, 1000, 2_000_003])
+def test_sell_by_halving_on_random_requests(spark, stock, ways):
+    rng = random.Random(stock)
+    quantities = [max(1, int(stock * rng.random() ** rng.choice([1, 4, 12]))) for _ in range(400)] + [stock + 1, 1, 1]
+    rows = [(1, i, str(q)) for i, q in enumerate(quantities)] + [(2, 0, "1")]
+    requests = spark.createDataFrame(rows, "product_id long, seq long, quantity string")
+    products = spark.createDataFrame(
+        [(1, "C", "P", "pcs", 5, 9, stock), (2, "D", "Q", "pcs", 5, 9, -4)],
+        "id long, code string, name string, unit string, purchase_price long, sale_price long, stock long",
+    )
+    decided = baskets.sell_decisions(products, requests, **ways).collect()
+    got = [r["reason"] is None for r in sorted(decided, key=lambda r: (r["product_id"], r["seq"]))]
+    assert got == [*_one_after_the_other(stock, quantities), False]
+
+
+def test_sell_takes_as_many_rounds_as_the_stock_has_digits(spark, monkeypatch):
+    """10,000 different quantities of one product, which used to take a round each."""
+    quantities = list(range(10_000, 0, -1))
+    random.Random(5).shuffle(quantities)
+    stock, rounds = 3_000_000, []
+    requests = spark.createDataFrame(
+        [(1, i, str(q)) for i, q in enumerate(quantities)], "product_id long, seq long, quantity string"
+    )
+    products = spark.createDataFrame(
+        [(1, "C", "P", "pcs", 5, 9, stock)],
+        "id long, code string, name string, unit string, purchase_price long, sale_price long, stock long",
+    )
+    plain = baskets.running_totals
+    monkeypatch.setattr(baskets, "running_totals", lambda *args: rounds.append(1) or plain(*args))
+    decided = baskets.sell_decisions(products, requests, heavy_rows=1000, slices=4).collect()
+    assert [r["reason"] is None for r in sorted(decided, key=lambda r: r["seq"])] == _one_after_the_other(stock, quantities)
+    assert len(rounds) <= stock.bit_length() + 1
+
+
 def test_cumulative_check_of_a_cart_with_very_many_lines(spark):
     _, products = _products(spark)
     rows = [(1, i, 1, "1") for i in range(600)] + [(2, 1, 1, "1")]
