@@ -29,7 +29,6 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -38,17 +37,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockline.llm.common import row_key, ship_package, sliced
+from stockline.llm.common import Scratch, row_key, ship_package, sliced
 from stockline.llm.token_counts import Counter, pieces
 from stockline.operators.scale import checkpointed
 
 CHUNK_BYTES = 1 << 16
 FANIN = 16
-BATCH_CHARS = 1_500_000  # text whose distinct units a task holds at a time
+BATCH_CHARS = 2_000_000  # text whose distinct units a task holds at a time
 JOINED_CHARS = 1 << 16
 BROADCAST_PAIRS = 2_000_000  # 32 MB
 
-_LOW = (1 << 32) - 1
 _CUT = re.compile(r"\S(?= )")
 
 
@@ -68,7 +66,7 @@ class Open(NamedTuple):
 
 
 class Closed(NamedTuple):
-    """Whole groups: how many tokens and groups, the groups written out, and the linked pairs (a << 32 | b)."""
+    """Whole groups: how many tokens and groups, the groups written out, and the linked pairs (a, b), one after the other."""
 
     n_a: int
     n_b: int
@@ -94,7 +92,7 @@ def group(tokens: Open) -> Closed:
     """One whole group: both sides start and end together."""
     links, i, j = [], 0, 0
     while i < len(tokens.a) and j < len(tokens.b):
-        links.append(tokens.a[i] << 32 | tokens.b[j])
+        links += (tokens.a[i], tokens.b[j])
         end, other = tokens.a_ends[i], tokens.b_ends[j]
         i, j = i + (end <= other), j + (other <= end)
     text = f"{','.join(map(str, tokens.a))}|{','.join(map(str, tokens.b))}"
@@ -153,6 +151,17 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(x): x for x in printable} | {chr(256 + i): x for i, x in enumerate(others)}
 
 
+def pair_type(size_a: int, size_b: int) -> type:
+    """The least type that holds an id pair as a * size_b + b."""
+    return np.uint32 if size_a * size_b <= 1 << 32 else np.uint64
+
+
+def packed(links: tuple[int, ...], size_b: int, kind: type) -> np.ndarray:
+    """The pairs of a Closed as numbers."""
+    ids = np.array(links, dtype=np.int64)
+    return (ids[0::2] * size_b + ids[1::2]).astype(kind)
+
+
 class Units(NamedTuple):
     """Distinct units: the place of each, and by place what its whole groups hold; n_groups is 0 where bytes differ."""
 
@@ -161,7 +170,7 @@ class Units(NamedTuple):
     n_b: np.ndarray
     n_groups: np.ndarray
     texts: list[str]  # the groups, each with a ";" behind
-    links: np.ndarray
+    links: np.ndarray  # pairs a * (pieces of B) + b
     links_from: np.ndarray
 
     def of(self, units: list[str]) -> tuple[int, int, int, str, np.ndarray] | None:
@@ -197,6 +206,7 @@ class Tokens:
             for i, name in enumerate(names)
         ]
         self.size_a, self.size_b = (np.array([len(x) for x in side]) for side in (self.bytes_a, self.bytes_b))
+        self.pair = pair_type(size, len(names))
         # Each id written out with what can follow it: for A "," or "|", for B "," or ";".
         forms = [f"{i}{sign}" for side, signs in ((size, ",|"), (len(names), ",;")) for sign in signs for i in range(side)]
         self.forms = np.array(forms, dtype=object)
@@ -268,7 +278,7 @@ class Tokens:
         low, high = np.searchsorted(ends_b, starts_a, side="right"), np.searchsorted(starts_b, ends_a)
         sizes = high - low
         at_b = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        links = np.repeat(a, sizes) << 32 | b[at_b]
+        links = (np.repeat(a, sizes) * len(self.bytes_b) + b[at_b]).astype(self.pair)
         of_unit = np.bincount(unit_a, weights=sizes, minlength=total).astype(np.int64)
         forms = np.r_[a + len(self.bytes_a) * cut_a, 2 * len(self.bytes_a) + b + len(self.bytes_b) * cut_b]
         # A group's tokens of A, then its tokens of B.
@@ -293,31 +303,21 @@ def ranges(text: str, size: int) -> Iterator[str]:
         start = end
 
 
-def _counted(links: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([np.empty(0, dtype=np.int64), *links]), return_counts=True)
-
-
 _SUMMARY = (
-    "doc_id long, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-    "pairs array<long>, times array<long>"
+    "doc_id long, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"
 )
-_NO_TOKENS = (0, 0, 0, 0, "", np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+_NO_TOKENS = (0, 0, 0, 0, "", b"")
 
 
-def _summary(n_a: int, n_b: int, n_groups: int, text: str, pairs: np.ndarray, times: np.ndarray) -> tuple:
-    return n_a, n_b, n_groups, int(times.sum()), hashlib.sha256(text.encode()).hexdigest() if n_groups else "", pairs, times
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    values = np.concatenate([np.empty(0, dtype=np.int64), *arrays])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int64, copy=False)))
+def _summary(n_a: int, n_b: int, n_groups: int, text: str, links: np.ndarray) -> tuple:
+    digest = hashlib.sha256(text.encode()).hexdigest() if n_groups else ""
+    return n_a, n_b, n_groups, len(links), digest, links.tobytes()
 
 
 def _summaries(doc_ids: pa.Array, rows: pa.Array, found: list[tuple]) -> pa.RecordBatch:
-    n_a, n_b, n_groups, n_links, digests, pairs, times = zip(*found)
+    n_a, n_b, n_groups, n_links, digests, links = zip(*found)
     longs = [pa.array(x, type=pa.int64()) for x in (n_a, n_b, n_groups, n_links)]
-    columns = [doc_ids, rows, *longs, pa.array(digests, type=pa.string()), _lists(pairs), _lists(times)]
+    columns = [doc_ids, rows, *longs, pa.array(digests, type=pa.string()), pa.array(links, type=pa.binary())]
     return pa.RecordBatch.from_arrays(columns, [field.split()[0] for field in _SUMMARY.split(", ")])
 
 
@@ -340,7 +340,7 @@ def short_summaries(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             cut = [pieces(" " + text) if text else [] for text in part.column(2).to_pylist()]
             known = tokens.units({unit for units in cut for unit in units})
             groups = [known.of(units) if units else None for units in cut]
-            found = [_NO_TOKENS if x is None else _summary(*x[:4], *_counted([x[4]])) for x in groups]
+            found = [_NO_TOKENS if x is None else _summary(*x) for x in groups]
             yield _summaries(part.column(0), part.column(1), found)
 
     ship_package(docs.sparkSession)
@@ -348,10 +348,10 @@ def short_summaries(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 
 #: A fragment as a row: its open ends (for each tokenizer how many tokens, then ids and ends), its groups joined by ";", the counts of
-#: its closed part (null where there is no common end), its pairs and how often they are linked.
+#: its closed part (null where there is no common end), and its links.
 _FRAGMENT = (
     "row long, place long, sound boolean, prefix array<long>, suffix array<long>, n_a long, n_b long, n_groups long, "
-    "text string, pairs array<long>, times array<long>"
+    "text string, links binary"
 )
 
 
@@ -366,26 +366,64 @@ def _unflat(values: list[int]) -> Open:
     return Open(*(tuple(values[i:j]) for i, j in zip(cuts, cuts[1:])))
 
 
-def _fragment_row(row: int, place: int, found: Fragment | None, more: list[tuple], links: list[np.ndarray]) -> dict:
-    """A fragment followed by whole groups `more` (n_a, n_b, n_groups, text), whose links are in `links`, too."""
-    if found is None:
-        found, more, links, sound = Fragment(Open(), None, Open()), [], [], False
-    else:
-        sound = True
-    closed = found.closed
-    own = [] if closed is None else [(closed.n_a, closed.n_b, len(closed.texts), ";".join(closed.texts))]
-    parts = [p for p in (*own, *more) if p[2]]
-    pairs, times = _counted([np.array(closed.links if closed else (), dtype=np.int64), *links])
-    n_a, n_b, n_groups = (sum(p[i] for p in parts) for i in range(3))
-    return {
-        "row": row, "place": place, "sound": sound, "prefix": _flat(found.prefix), "suffix": _flat(found.suffix),
-        "n_a": None if closed is None else n_a, "n_b": n_b, "n_groups": n_groups, "text": ";".join(p[3] for p in parts),
-        "pairs": pairs.tolist(), "times": times.tolist(),
-    }
+class Rows:
+    """Fragments as rows, for a vocabulary of B of so many pieces."""
+
+    def __init__(self, size_b: int, kind: type) -> None:
+        self.size_b, self.kind = size_b, kind
+
+    def links(self, closed: Closed | None) -> bytes:
+        return packed(closed.links if closed else (), self.size_b, self.kind).tobytes()
+
+    def of(self, row: int, place: int, found: Fragment | None, more: tuple | None = None) -> dict:
+        """A fragment, followed by whole groups `more` (n_a, n_b, n_groups, text, links)."""
+        sound = found is not None
+        found = found or Fragment(Open(), None, Open())
+        closed = found.closed
+        own = (closed.n_a, closed.n_b, len(closed.texts), ";".join(closed.texts)) if closed else (0, 0, 0, "")
+        parts = [own, more[:4]] if sound and more else [own]
+        n_a, n_b, n_groups = (sum(p[i] for p in parts) for i in range(3))
+        return {
+            "row": row, "place": place, "sound": sound, "prefix": _flat(found.prefix), "suffix": _flat(found.suffix),
+            "n_a": None if closed is None else n_a, "n_b": n_b, "n_groups": n_groups,
+            "text": ";".join(p[3] for p in parts if p[2]),
+            "links": self.links(closed) + (more[4].tobytes() if sound and more else b""),
+        }
+
+    def composed(self, rows: list[dict]) -> dict:
+        """Neighbouring fragments of one document, as rows in order, as one; only their open ends are looked at again."""
+        if not all(row["sound"] for row in rows):
+            return self.of(rows[0]["row"], 0, None)
+        out = dict(rows[0])
+        texts, links = [out["text"]], [out["links"]]
+        for row in rows[1:]:
+            left, right = (
+                Fragment(_unflat(x["prefix"]), None if x["n_a"] is None else NOTHING, _unflat(x["suffix"])) for x in (out, row)
+            )
+            met = composed(left, right)  # what its closed part holds are the groups closed between the two
+            new = met.closed or NOTHING
+            texts += [";".join(new.texts), row["text"]]
+            links += [self.links(new), row["links"]]
+            counts = [(out[c] or 0) + (row[c] or 0) for c in ("n_a", "n_b", "n_groups")]
+            n_a, n_b, n_groups = (x + y for x, y in zip(counts, (new.n_a, new.n_b, len(new.texts))))
+            out |= {
+                "prefix": _flat(met.prefix), "suffix": _flat(met.suffix), "n_a": None if met.closed is None else n_a,
+                "n_b": n_b, "n_groups": n_groups,
+            }
+        return out | {"text": ";".join(filter(None, texts)), "links": b"".join(links)}
+
+    def finished(self, row: dict) -> tuple:
+        """The summary of a whole document's row: the document's start closes the prefix."""
+        if not row["sound"]:
+            return _NO_TOKENS
+        head = group(_unflat(row["prefix"]))
+        links = np.frombuffer(self.links(head) + row["links"], dtype=self.kind)
+        counts = row["n_a"] + head.n_a, row["n_b"] + head.n_b, row["n_groups"] + 1
+        return _summary(*counts, ";".join(filter(None, (*head.texts, row["text"]))), links)
 
 
 def _arrow_schema(text: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     return pa.schema([(field.split()[0], kinds[field.split()[1]]) for field in text.split(", ")])
 
 
@@ -408,7 +446,7 @@ def range_fragments(docs: DataFrame, path_a: str, path_b: str, size: int) -> Dat
             # The first unit ends with a common end, so what follows are whole groups.
             more = tokens.units(set(units)).of(units)
             found = None if more is None else tokens.first(first, base)
-            row = _fragment_row(row, place, found, *(([more[:4]], [more[4]]) if more else ([], [])))
+            row = Rows(len(tokens.bytes_b), tokens.pair).of(row, place, found, more)
             yield pa.RecordBatch.from_pylist([row], schema=_arrow_schema(_FRAGMENT))
 
     ship_package(docs.sparkSession)
@@ -416,62 +454,24 @@ def range_fragments(docs: DataFrame, path_a: str, path_b: str, size: int) -> Dat
     return parts.repartition("row", "place").mapInArrow(run, _FRAGMENT)
 
 
-def compose_rows(rows: list[dict]) -> dict:
-    """Neighbouring fragments of one document, as rows in order, as one; only their open ends are looked at again."""
-    if not all(row["sound"] for row in rows):
-        return _fragment_row(rows[0]["row"], 0, None, [], [])
-    out = dict(rows[0])
-    texts, pairs, times = [out["text"]], [out["pairs"]], [out["times"]]
-    for row in rows[1:]:
-        left = Fragment(_unflat(out["prefix"]), None if out["n_a"] is None else NOTHING, _unflat(out["suffix"]))
-        right = Fragment(_unflat(row["prefix"]), None if row["n_a"] is None else NOTHING, _unflat(row["suffix"]))
-        met = composed(left, right)  # what its closed part holds are the groups closed between the two
-        new = met.closed or NOTHING
-        texts += [";".join(new.texts), row["text"]]
-        pairs += [new.links, row["pairs"]]
-        times += [[1] * len(new.links), row["times"]]
-        counts = [(out[c] or 0) + (row[c] or 0) for c in ("n_a", "n_b", "n_groups")]
-        n_a, n_b, n_groups = (x + y for x, y in zip(counts, (new.n_a, new.n_b, len(new.texts))))
-        out |= {
-            "prefix": _flat(met.prefix), "suffix": _flat(met.suffix), "n_a": None if met.closed is None else n_a,
-            "n_b": n_b, "n_groups": n_groups,
-        }
-    out["text"] = ";".join(filter(None, texts))
-    keys, at = np.unique(np.concatenate([np.array(p, dtype=np.int64) for p in pairs]), return_inverse=True)
-    sums = np.zeros(len(keys), dtype=np.int64)
-    np.add.at(sums, at, np.concatenate([np.array(t, dtype=np.int64) for t in times]))
-    return out | {"pairs": keys.tolist(), "times": sums.tolist()}
-
-
-def long_summaries(docs: DataFrame, path_a: str, path_b: str, size: int, fanin: int = FANIN) -> DataFrame:
+def long_summaries(
+    docs: DataFrame, path_a: str, path_b: str, chunk: int, rows: Rows, fanin: int = FANIN
+) -> DataFrame:
     """The summaries of documents (doc_id, row, text) of more than one range, by a tree of compositions."""
     schema = _arrow_schema(_FRAGMENT)
 
     def compose(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("place").to_pylist()
-        place = rows[0]["place"] // fanin
-        return pa.Table.from_pylist([compose_rows(rows) | {"place": place}], schema=schema)
+        parts = table.sort_by("place").to_pylist()
+        place = parts[0]["place"] // fanin
+        return pa.Table.from_pylist([rows.composed(parts) | {"place": place}], schema=schema)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, 1):
-            row = part.to_pylist()[0]
-            if row["sound"]:  # the document's start closes the prefix; if it is a common end's, nothing is left behind
-                head = group(_unflat(row["prefix"]))
-                links = np.array(head.links, dtype=np.int64)
-                pairs, times = np.array(row["pairs"], dtype=np.int64), np.array(row["times"], dtype=np.int64)
-                keys, at = np.unique(np.concatenate([pairs, links]), return_inverse=True)
-                sums = np.zeros(len(keys), dtype=np.int64)
-                np.add.at(sums, at, np.concatenate([times, np.ones(len(links), dtype=np.int64)]))
-                text = ";".join(filter(None, (*head.texts, row["text"])))
-                counts = row["n_a"] + head.n_a, row["n_b"] + head.n_b, row["n_groups"] + 1
-                found = _summary(*counts, text, keys, sums)
-            else:
-                found = _NO_TOKENS
-            yield _summaries(pa.nulls(1, pa.int64()), part.column(0), [found])
+            yield _summaries(pa.nulls(1, pa.int64()), part.column(0), [rows.finished(part.to_pylist()[0])])
 
     once = docs.dropDuplicates(["row"])
-    found = range_fragments(once, path_a, path_b, size)
-    left = -(-(docs.agg(F.max(F.length("text"))).first()[0] or 0) // size)
+    found = range_fragments(once, path_a, path_b, chunk)
+    left = -(-(docs.agg(F.max(F.length("text"))).first()[0] or 0) // chunk)
     while left > 0:
         found = found.groupBy("row", F.floor(F.col("place") / fanin)).applyInArrow(compose, _FRAGMENT)
         left = 0 if left <= fanin else -(-left // fanin)
@@ -482,11 +482,17 @@ def long_summaries(docs: DataFrame, path_a: str, path_b: str, size: int, fanin:
 # ---- counts over all documents ----
 
 
-def pair_counts(summaries: DataFrame) -> DataFrame:
+def pair_counts(summaries: DataFrame, rows: Rows) -> DataFrame:
     """pair, n, best: how often each pair is linked, and whether that is its B id's most."""
-    linked = summaries.select(F.explode(F.arrays_zip("pairs", "times")).alias("x"))
-    counts = checkpointed(linked.groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.times").alias("n")))
-    with_b = counts.withColumn("b", F.col("pair").bitwiseAND(F.lit(_LOW)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, 1024):
+            pairs, n = np.unique(np.frombuffer(b"".join(part.column(0).to_pylist()), dtype=rows.kind), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.astype(np.int64)), pa.array(n)], ["pair", "n"])
+
+    counted = summaries.select("links").mapInArrow(count, "pair long, n long")
+    counts = checkpointed(counted.groupBy("pair").agg(F.sum("n").alias("n")))
+    with_b = counts.withColumn("b", F.col("pair") % rows.size_b)
     most = with_b.groupBy("b").agg(F.max("n").alias("most"))
     return with_b.join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
@@ -494,10 +500,10 @@ def pair_counts(summaries: DataFrame) -> DataFrame:
 _OUT = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
-def scored(summaries: DataFrame, counts: DataFrame, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+def scored(summaries: DataFrame, counts: DataFrame, rows: Rows, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """The summaries with n_best and count_sum."""
     if counts.count() > broadcast_pairs:
-        return _scored_by_join(summaries, counts)
+        return _scored_by_join(summaries, counts, rows)
     table = counts.orderBy("pair").toArrow()
     columns = (table[c].to_numpy() for c in ("pair", "n", "best"))
     shared = summaries.sparkSession.sparkContext.broadcast(tuple(columns))
@@ -505,31 +511,44 @@ def scored(summaries: DataFrame, counts: DataFrame, broadcast_pairs: int = BROAD
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, best = shared.value
         for part in sliced(batches):
-            pairs, times = part.column("pairs"), part.column("times").flatten().to_numpy()
-            at = np.searchsorted(keys, pairs.flatten().to_numpy())
-            of = np.repeat(np.arange(part.num_rows), np.diff(pairs.offsets.to_numpy()))
-            sums = np.zeros((2, part.num_rows), dtype=np.int64)
-            np.add.at(sums[0], of, times * best[at])
-            np.add.at(sums[1], of, times * n[at])
-            added = {"n_best": pa.array(sums[0]), "count_sum": pa.array(sums[1])}
+            n_best, count_sum = [], []
+            for links in part.column("links"):
+                at = np.searchsorted(keys, np.frombuffer(links.as_buffer(), dtype=rows.kind))
+                n_best.append(int(best[at].sum()))
+                count_sum.append(int(n[at].sum()))
+            added = {"n_best": pa.array(n_best, pa.int64()), "count_sum": pa.array(count_sum, pa.int64())}
             yield pa.RecordBatch.from_arrays([added.get(c) if c in added else part.column(c) for c in _OUT], _OUT)
 
     schema = ", ".join(f"{c} {'string' if c == 'groups_sha256' else 'long'}" for c in _OUT)
     return summaries.mapInArrow(run, schema)
 
 
-def _scored_by_join(summaries: DataFrame, counts: DataFrame) -> DataFrame:
-    once = summaries.select("row", "pairs", "times").dropDuplicates(["row"])
-    linked = once.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x"))
-    linked = linked.select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times")).join(counts, "pair")
+def _scored_by_join(summaries: DataFrame, counts: DataFrame, rows: Rows) -> DataFrame:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, 1):
+            pairs, n = np.unique(np.frombuffer(part.column(1)[0].as_buffer(), dtype=rows.kind), return_counts=True)
+            row = pa.array(np.full(len(pairs), part.column(0)[0].as_py(), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([row, pa.array(pairs.astype(np.int64)), pa.array(n)], ["row", "pair", "times"])
+
+    once = summaries.select("row", "links").dropDuplicates(["row"])
+    linked = once.mapInArrow(spread, "row long, pair long, times long").join(counts, "pair")
     sums = linked.groupBy("row").agg(
         F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"),
         F.sum(F.col("times") * F.col("n")).alias("count_sum"),
     )
-    joined = summaries.drop("pairs", "times").join(sums, "row", "left").fillna(0, ["n_best", "count_sum"])
+    joined = summaries.drop("links").join(sums, "row", "left").fillna(0, ["n_best", "count_sum"])
     return joined.select(*_OUT)
 
 
+def vocabulary(path_a: str, path_b: str) -> Rows:
+    """Rows for these two tokenizers."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    size_b = SentencePieceProcessor(model_file=path_b).get_piece_size()
+    return Rows(size_b, pair_type(Tokenizer.from_file(path_a).get_vocab_size(), size_b))
+
+
 def aligned(
     docs: DataFrame, path_a: str, path_b: str, chunk: int = CHUNK_BYTES, broadcast_pairs: int = BROADCAST_PAIRS
 ) -> DataFrame:
@@ -538,7 +557,9 @@ def aligned(
         F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row"),
         F.col("text").cast("string").alias("text"),
     )
+    rows = vocabulary(path_a, path_b)
     long = F.coalesce(F.length("text"), F.lit(0)) > chunk
-    parts = short_summaries(texts.filter(~long), path_a, path_b), long_summaries(texts.filter(long), path_a, path_b, chunk)
-    summaries = checkpointed(reduce(DataFrame.unionByName, parts))
-    return scored(summaries, pair_counts(summaries), broadcast_pairs)
+    short = short_summaries(texts.filter(~long), path_a, path_b)
+    composed_ = long_summaries(texts.filter(long), path_a, path_b, chunk, rows)
+    summaries = Scratch(docs.sparkSession, "alignment").write(short.unionByName(composed_))
+    return scored(summaries, pair_counts(summaries, rows), rows, broadcast_pairs)

@@ -7,6 +7,7 @@ import random
 from collections import Counter
 from functools import reduce
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -108,7 +109,7 @@ def test_rows_nulls_clashing_columns_and_empty_table(spark, documents, clashing)
         assert len(rows) == 5 and sorted((r.doc_id or 0, r.n_a) for r in rows) == [(0, 3), (0, 3), (1, 0), (1, 3), (1, 3)]
         assert {r.count_sum for r in rows if r.n_a} == {12}  # three links, each met four times
         assert al.aligned(documents(), A, B, chunk, pairs).count() == 0
-    odd = clashing.withColumns({c: F.lit("x") for c in ("row", "pairs", "times", "place", "n_a", "groups_sha256", "n_best")})
+    odd = clashing.withColumns({c: F.lit("x") for c in ("row", "links", "pair", "place", "n_a", "groups_sha256", "n_best")})
     assert results(al.aligned(odd, A, B)) == results(al.aligned(clashing.select("doc_id", "text"), A, B))
 
 
@@ -154,15 +155,18 @@ def test_composition_is_associative_for_ranges_that_end_anywhere(a, b, at, rng):
 @given(LENGTHS, LENGTHS, st.lists(st.integers(0, 120), min_size=1, max_size=5))
 def test_rows_of_fragments_compose_like_fragments(a, b, at):
     tokens = streams(a, b)
-    rows = [al._fragment_row(1, i, part, [], []) for i, part in enumerate(cut(tokens, sorted(at)))]
-    nested = al.compose_rows([al.compose_rows(rows[:2]), *rows[2:]])
-    flat = al.compose_rows(rows)
+    kind = al.Rows(1000, np.uint32)
+    rows = [kind.of(1, i, part) for i, part in enumerate(cut(tokens, sorted(at)))]
+    nested = kind.composed([kind.composed(rows[:2]), *rows[2:]])
+    flat = kind.composed(rows)
     assert nested == flat
     want = al.fragment(tokens)
     assert (al._unflat(flat["prefix"]), flat["text"], al._unflat(flat["suffix"])) == (
         want.prefix, ";".join(want.closed.texts), want.suffix
     )
-    assert dict(zip(flat["pairs"], flat["times"])) == Counter(want.closed.links)
+    assert flat["links"] == al.packed(want.closed.links, 1000, np.uint32).tobytes()
+    none = kind.composed([rows[0], kind.of(1, 1, None)])
+    assert not none["sound"] and kind.finished(none) == al._NO_TOKENS
 
 
 def test_unfit_tokenizers_are_refused():
