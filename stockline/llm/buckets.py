@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockline.llm.common import arrow_map
+from stockline.llm.common import Scratch, arrow_map, let_go
 from stockline.llm.components import few, joined_components
 from stockline.operators.scale import checkpointed
 
@@ -25,19 +25,20 @@ COUNTERS = 1 << 18
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """members (bucket, node) of the buckets with two nodes or more; written to the checkpoint folder.
+    """members (bucket, node) of the buckets with two nodes or more; written to the shared folder.
 
     One shuffle by bucket; a task sorts its rows by bucket and looks at one bucket at a time, which spills if it is long.
     """
     in_bucket = Window.partitionBy("bucket")
     ends = members.select("*", F.min("node").over(in_bucket).alias("low"), F.max("node").over(in_bucket).alias("high"))
-    return checkpointed(few(ends.filter("low < high").select("bucket", "node").distinct(), 4))
+    shared = few(ends.filter("low < high").select("bucket", "node").distinct(), 4)
+    return Scratch(members.sparkSession, "buckets").write(shared)
 
 
 def component_per_node(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-    sizes: DataFrame,
+    sizes: DataFrame | None,
     sets_of: Callable[[DataFrame], DataFrame],
     least_share: float,
     hub_rounds: int = HUB_ROUNDS,
@@ -45,28 +46,39 @@ def component_per_node(
 ) -> DataFrame:
     """(node, component) under the links that `verify` confirms among nodes of one bucket (bucket, node).
 
-    verify takes distinct pairs (a < b) and returns those that are linked; sizes (node, size) are those of the nodes' sets,
-    sets_of adds `elements`, distinct longs, to given (node, component); a link has a Jaccard similarity of `least_share`.
+    verify takes distinct pairs (a < b) and returns those that are linked; sizes (node, size) are those of the nodes' sets
+    (without them no pair is left out for its sizes), sets_of adds `elements`, distinct longs, to given (node, component); a link has a Jaccard similarity of `least_share`.
     In each round a few nodes of a bucket are its hubs and are tried against all its nodes; a bucket of copies thus costs
     a few pairs per member. What a hub has to do with its bucket is then settled, and it leaves. Pairs inside a component
-    need no trial. When hubs settle little more, what is left in open buckets are mostly nodes with a part in common, say a
+    need no trial. When the pairs of nodes in open buckets are no more than the members were at the start, they are all tried.
+    When hubs settle little more, what is left in open buckets are mostly nodes with a part in common, say a
     passage, that is too short for a link. Of these, `rare_pairs` gives all that can be linked, and they are tried. So
     every pair of a bucket is tried, inside one component, or cannot be linked.
     """
+    spark = members.sparkSession
+    scratch = Scratch(spark, "hubs")
     near = lambda one, other: F.least(one, other) >= least_share * F.greatest(one, other)
     short = lambda df: few(df, 4)
     labels, hubs, before = None, None, float("inf")
-    active = checkpointed(short(members.join(sizes, "node").select("bucket", "node", "size")))
+    if sizes is None:
+        active = members.select("bucket", "node", F.lit(1).cast("long").alias("size"))
+    else:
+        active = scratch.write(short(members.join(sizes, "node").select("bucket", "node", "size")))
+    n_members = active.count()
     for round_ in range(hub_rounds + 1):
         if labels is not None:
             placed = active.select("bucket", "node", "size").join(labels, "node", "left").select(
                 "bucket", "node", "size", F.coalesce("component", "node").alias("component")
             )
             active = short(_open_buckets(placed)).join(hubs, "bucket").filter(~F.array_contains("hubs", F.col("node")))
-            active = checkpointed(short(active.drop("hubs")))
-            open_pairs = _open_pairs(active)
+            active = scratch.write(short(active.drop("hubs")))
+            let_go(spark)
+            open_pairs, all_pairs = _open_pairs(active)
             if not open_pairs:
                 break
+            if all_pairs <= n_members:
+                labels = joined_components(labels, verify(_pairs_across(active, near)))
+                break
             if round_ == hub_rounds or open_pairs > open_left * before:
                 left = checkpointed(few(_open_buckets(active).select("node", "component").distinct()))
                 tried = rare_pairs(sets_of(left), least_share)
@@ -80,13 +92,15 @@ def component_per_node(
         ends = with_hubs.select("*", F.explode("hubs").alias("hub")).filter("node <> hub")
         # Most bands of a group of copies name the same few pairs.
         ends = short(short(ends.drop("bucket", "hubs")).distinct())
-        ends = ends.join(sizes.toDF("hub", "_size"), "hub").filter(near("size", "_size"))
+        if sizes is not None:
+            ends = ends.join(sizes.toDF("hub", "_size"), "hub").filter(near("size", "_size"))
         if labels is not None:
             of_hub = labels.toDF("hub", "_in_hub")
             ends = ends.join(of_hub, "hub", "left").filter(F.col("component") != F.coalesce("_in_hub", "hub"))
         tried = short(ends.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct()
         tried = short(tried)
         labels = checkpointed(few(joined_components(labels, verify(tried))))
+        let_go(spark)
     return labels
 
 
@@ -141,8 +155,17 @@ def _open_buckets(placed: DataFrame) -> DataFrame:
     return placed.join(ends.filter("low < high").select("bucket"), "bucket", "left_semi")
 
 
-def _open_pairs(placed: DataFrame) -> float:
-    """Pairs across components, counted per bucket."""
+def _open_pairs(placed: DataFrame) -> tuple[float, float]:
+    """(pairs across components, all pairs of the buckets that have such), counted per bucket."""
     sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
     squares = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
-    return squares.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).first()[0] or 0
+    across, n = (F.col("n") * F.col("n") - F.col("s")) / 2, F.col("n")
+    found = squares.filter(across > 0).agg(F.sum(across), F.sum(n * (n - 1) / 2)).first()
+    return found[0] or 0, found[1] or 0
+
+
+def _pairs_across(placed: DataFrame, near: Callable) -> DataFrame:
+    """Distinct pairs (a < b) of a bucket that lie in different components; for short lists of pairs only."""
+    one, other = (placed.toDF("bucket", *names) for names in (("a", "_a", "_in_a"), ("b", "_b", "_in_b")))
+    met = one.join(other, "bucket").filter((F.col("a") < F.col("b")) & (F.col("_in_a") != F.col("_in_b")) & near("_a", "_b"))
+    return few(met.select("a", "b"), 4).distinct()

@@ -1,10 +1,14 @@
 """Fuzzy line deduplication: MinHash of character shingles, banding, exact Jaccard, one line kept per component.
 
-Lines are the \\n-split parts of a text, lower-cased; their white space counts as single spaces between words. Lines of fewer
-than `min_chars` characters are compared by equal form only, down to `exact_chars`; shorter ones, and all of them if
-`exact_chars` is None, are left alone: single words recur by chance. Lines of equal form are one node; two nodes of
-`min_chars` characters or more are linked if their sets of 5-character shingles have Jaccard similarity >= 0.75; of each component the line of
-the smallest (doc_id, line number) stays and the others go.
+Lines are the \\n-split parts of a text, lower-cased; their white space counts as single spaces between words. Lines of equal form
+are one node, however short. Two nodes of `min_chars` characters or more are linked if their sets of 5-character shingles have Jaccard
+similarity >= 0.75. Of each component the line of the smallest (doc_id, line number) stays and the others go. Lines of
+fewer than `min_chars` characters have too few shingles: what links them is but a character more or less at an end. They are
+compared by equal form only. Lines of nothing but white space are no lines to compare and stay.
+
+Candidates come from signatures of 9-character shingles, which lines alike by chance hardly share (of the pairs in a bucket by
+5-character shingles 3 % were links on the check tool's tables): an edit touches at most 9 of these where it touches 5 of
+the others, so at a similarity of 0.75 theirs is 0.59, and two functions a band in 22 bands miss 8e-5 of such pairs.
 
 Nodes are 64-bit hashes of the form; shingles are compared by 64-bit hashes. Null text: no lines, returned as it is. Null doc_id: its lines are neither
 compared nor removed. Repeated rows of a doc_id count as one document, whose rows are treated alike.
@@ -19,14 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockline.llm.buckets import component_per_node, shared_buckets
-from stockline.llm.common import arrow_map, band_keys, long_lists, mixed, only_ids, permutations, positional
+from stockline.llm.common import (
+    Scratch, arrow_map, band_keys, let_go, long_lists, mixed, only_ids, permutations, positional,
+)
+from stockline.llm.components import few
 from stockline.operators.scale import checkpointed
 
-MIN_CHARS = 50
-EXACT_CHARS = 8  # of distinct lines under 8 characters 29 % recur by chance, of those of 8 to 49 only 8 to 17 % recur (sf0.1)
+MIN_CHARS = 14  # so that a line has ten shingles and six of those of its signature
 SHINGLE = 5  # characters; longer ones lose the link of lines of 50 to 78 characters at one changed character
+SIGNATURE_SHINGLE = 9
 THRESHOLD = 75  # per cent
-BANDS, ROWS = 16, 3  # a pair of similarity 0.75 shares a bucket with probability 0.9998, of 0.8 with 0.99999
+BANDS, ROWS = 22, 2
+BROADCAST_LINES = 1_000_000  # numbers of removed lines that are broadcast, after a count: 4 bytes each
 SEEN = 200_000  # forms a task remembers so as not to send them again
 HELD_SHINGLES = 4_000_000  # shingles a task holds while it compares
 
@@ -45,16 +53,16 @@ def forms(text: str | None, min_chars: int) -> list[tuple[int, str]]:
     plain = not any(space in text for space in _UNEVEN)
     found = [(i, line) for i, line in enumerate(text.split("\n")) if len(line) >= min_chars]
     found = [(i, line.strip(" ") if plain else " ".join(line.split())) for i, line in found]
-    return [(i, line) for i, line in found if len(line) >= min_chars]
+    return [(i, line) for i, line in found if len(line) >= max(min_chars, 1)]
 
 
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes at each character of the joined lines, and the bounds of each line's shingles for reduceat."""
     lengths = np.array([len(x) for x in lines], dtype=np.int64)
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    n = len(points) - SHINGLE + 1
+    n = len(points) - SIGNATURE_SHINGLE + 1
     hashes = np.zeros(n, dtype=np.uint32)
-    for i in range(SHINGLE):
+    for i in range(SIGNATURE_SHINGLE):
         hashes *= np.uint32(0x9E3779B1)
         hashes += points[i : n + i]
     hashes ^= hashes >> np.uint32(16)
@@ -63,7 +71,7 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     hashes *= np.uint32(0xC2B2AE35)
     hashes ^= hashes >> np.uint32(16)
     starts = np.cumsum(lengths) - lengths
-    bounds = np.stack([starts, starts + lengths - SHINGLE + 1], axis=1).reshape(-1)
+    bounds = np.stack([starts, starts + lengths - SIGNATURE_SHINGLE + 1], axis=1).reshape(-1)
     return hashes, bounds[:-1]  # the last line ends with the array
 
 
@@ -141,16 +149,6 @@ def shingle_set(line: str) -> np.ndarray:
     return np.unique(mixed(hashes))
 
 
-def sized(lines: DataFrame) -> DataFrame:
-    """node, form, size (distinct shingles) of node, form."""
-
-    def work(part: pa.RecordBatch) -> dict:
-        sizes = [len(shingle_set(line)) for line in part.column(1).to_pylist()]
-        return {"node": part.column(0), "form": part.column(1), "size": sizes}
-
-    return arrow_map(lines, work, "node long, form string, size long")
-
-
 def with_shingles(lines: DataFrame) -> DataFrame:
     """node, component, elements (the shingle set) of node, component, form."""
 
@@ -193,36 +191,43 @@ def exactly_linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return arrow_map(both.select("a", "b", "form_a", "form_b"), compare, "a long, b long")
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, removed (sorted numbers of the lines that go), for documents that lose lines."""
-    least = min_chars if exact_chars is None else min(exact_chars, min_chars)
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "lines")
     members = shared_buckets(banded_lines(docs, min_chars).select(F.explode("bands").alias("bucket"), "node"))
-    crowded = checkpointed(sized(crowded_forms(docs, members.select("node").distinct(), min_chars)))
-    of_form = crowded.select("node", "form")
+    let_go(spark)
+    crowded = scratch.write(crowded_forms(docs, members.select("node").distinct(), min_chars))
+    let_go(spark)
     reached = component_per_node(
         members,
-        lambda pairs: exactly_linked(pairs, of_form),
-        crowded.select("node", "size"),
-        lambda nodes: with_shingles(of_form.join(nodes, "node").select("node", "component", "form")),
+        lambda pairs: checkpointed(few(exactly_linked(pairs, crowded), 4)),
+        None,
+        lambda nodes: with_shingles(crowded.join(nodes, "node").select("node", "component", "form")),
         THRESHOLD / 100,
     )
-    lines = placed_lines(docs, least).join(reached, "node", "left")
-    lines = lines.select(F.coalesce("component", "node").alias("component"), "doc_id", "line")
+    reached = scratch.write(reached)
+    scratch.drop(members, crowded)
+    lines = placed_lines(docs, 1).join(reached, "node", "left")
+    lines = scratch.write(lines.select(F.coalesce("component", "node").alias("component"), "doc_id", "line"))
     # First within each document, then between documents: a line that recurs everywhere is summed where it is read.
-    within = lines.groupBy("component", "doc_id").agg(F.min("line").alias("first_line"))
-    across = within.groupBy("component").agg(F.min("doc_id").alias("first_doc"))
-    keepers = across.join(
-        within, (across.component == within.component) & (across.first_doc == within.doc_id)
-    ).select(across.component, "first_doc", "first_line")
-    gone = lines.join(keepers, "component").filter("doc_id <> first_doc or line <> first_line")
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    within = lines.groupBy("component", "doc_id").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("n"))
+    keepers = within.groupBy("component").agg(
+        F.min("doc_id").alias("first_doc"), F.min_by("first_line", "doc_id").alias("first_line"), F.sum("n").alias("n")
+    )
+    gone = lines.join(keepers.filter("n > 1"), "component").filter("doc_id <> first_doc or line <> first_line")
+    removed = scratch.write(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed")))
+    scratch.drop(reached, lines)
+    return removed
 
 
-def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """docs with the remaining lines as text, plus n_lines and n_removed (both long, in place of columns
     of these names); all other columns as they are."""
     placed, names = positional(docs)
-    removed = repeated_lines(docs, min_chars, exact_chars).toDF("gone_id", "gone").hint("shuffle_hash")
+    removed = repeated_lines(docs, min_chars).toDF("gone_id", "gone")
+    n_gone = removed.agg(F.sum(F.array_size("gone"))).first()[0] or 0
+    removed = F.broadcast(removed) if n_gone <= broadcast_lines else removed.hint("shuffle_hash")
     joined = placed.join(removed, F.col(names["doc_id"]).cast("long") == F.col("gone_id"), "left")
     lines = F.split(names["text"], "\n", -1)
     rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
