@@ -634,41 +634,67 @@ def _run_folder(t) -> str:
     return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _event_stream(t) -> DataFrame:
-    """The events table as a stream of log rows."""
-    schema = t.raw("events").schema
-    stream = t.spark.readStream.schema(schema).parquet(f"{t.folder}/events*.parquet")
-    return t.as_logs(stream)
+#: The events arrive in at least so many files, of at most about so many rows, one micro-batch each.
+EVENT_FILES, EVENT_FILE_ROWS = 6, 500_000
+
+
+def _event_stream(t, repeats: bool) -> tuple[DataFrame, str]:
+    """The events table as a stream of log rows in id order over several micro-batches, and a folder for the run.
+
+    Every seventh event comes a file late. With repeats it comes in time, too, and the first file comes twice.
+    """
+    folder, events = _run_folder(t), t.raw("events")
+    n = max(EVENT_FILES, -(-events.count() // EVENT_FILE_ROWS))
+    bounds = events.approxQuantile("event_id", [i / n for i in range(1, n)], 0.1 / n)
+    bounds = [None, *bounds, None]
+    late = F.col("event_id") % 7 == 0
+
+    def part(i: int) -> DataFrame:
+        low, high = bounds[i], bounds[i + 1]
+        rows = events if low is None else events.filter(F.col("event_id") > low)
+        return rows if high is None else rows.filter(F.col("event_id") <= high)
+
+    for i in range(n + 1):
+        rows = events.filter("false") if i == n else part(i) if repeats else part(i).filter(~late)
+        rows = rows.union(part(i - 1).filter(late)) if i else rows
+        if repeats and i == 2:
+            rows = rows.union(part(0))
+        rows.coalesce(1).write.parquet(f"{folder}/in/{i}")  # a file of a bounded number of rows
+    stream = (
+        t.spark.readStream.schema(events.schema).option("recursiveFileLookup", True)
+        .option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    )
+    return t.as_logs(stream), folder
 
 
 @_query
 def sales_trend_stream(t):
     amount = F.col("quantity")
     costed = F.col("product_id").isNotNull()
-    lines = _event_stream(t).select(
+    events, folder = _event_stream(t, repeats=False)
+    lines = events.select(
         F.col("created_at").alias("ts"), "quantity", (amount * 100).alias("total_price"),
         F.when(costed, F.lit(80).cast("long")).alias("purchase_price"),
         F.when(costed, F.lit(20).cast("long")).alias("profit_per_unit"),
     )
-    folder = _run_folder(t)
-    jobs.start_sales_trend(lines, folder).awaitTermination()
+    jobs.start_sales_trend(lines, folder, "60 days").awaitTermination()
     return jobs.live_sales_trend(t.spark, folder)
 
 
 @_query
 def movement_stream(t):
-    moves = _event_stream(t).select(F.col("id").alias("event_id"), F.col("created_at").alias("ts"), "product_id", "quantity")
-    folder = _run_folder(t)
-    jobs.start_movements(moves, folder).awaitTermination()
+    events, folder = _event_stream(t, repeats=True)
+    moves = events.select(F.col("id").alias("event_id"), F.col("created_at").alias("ts"), "product_id", "quantity")
+    jobs.start_movements(moves, folder, "60 days").awaitTermination()
     return jobs.live_stock(t.products(), folder).select("id", "stock")
 
 
 @_query
 def sell_stream(t):
-    requests = _event_stream(t).select(
+    events, folder = _event_stream(t, repeats=True)
+    requests = events.select(
         F.col("id").alias("seq"), "product_id", F.col("quantity").cast("string").alias("quantity")
     )
-    folder = _run_folder(t)
     jobs.start_sell(requests, t.products(), folder).awaitTermination()
     return jobs.sell_results(t.spark, folder)
 

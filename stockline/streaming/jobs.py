@@ -1,4 +1,9 @@
-"""Streaming jobs: live daily sales, live stock, and sales decided against live stock."""
+"""Streaming jobs: live daily sales, live stock, and sales decided against live stock.
+
+Each starts with a trigger of the caller's choice, as keyword arguments of DataStreamWriter.trigger; by default a job takes all that
+is there and ends, with {"processingTime": "10 seconds"} or so it keeps running. State is Spark's own, in the state store
+below folder/progress; a job started again on its folder goes on where it ended.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stockline.functions import scalars as S
-from stockline.operators.baskets import sell_decisions
-from stockline.operators.scale import checkpointed
-from stockline.streaming.ledger import MovementLedger
+from stockline.operators.baskets import BAD_ITEM, NOT_ENOUGH_STOCK, UNKNOWN_PRODUCT
+from stockline.operators.stock import apply_movements
+from stockline.streaming.sell_state import DECISIONS, sell_processor
+from stockline.streaming.snapshot import Snapshot
+
+AVAILABLE_NOW = {"availableNow": True}
+_DAYS = "day date, total_gross long, total_capital long, total_net long"
+_NET = "product_id long, quantity long"
+#: Keyed state of several columns needs this store. State that expires by the clock would have a micro-batch follow the other
+#: for ever, rows or not; it may as well expire in the next one that has rows.
+_KEYED_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 def event_time(stamp: Column) -> Column:
@@ -35,86 +51,116 @@ def sales_trend_stream(sales: DataFrame, lateness: str = "1 day") -> DataFrame:
     return by_day.select(_utc_day(F.col("window.start")).alias("day"), "total_gross", "total_capital", "total_net")
 
 
-def start_sales_trend(sales: DataFrame, folder: str, lateness: str = "1 day") -> StreamingQuery:
-    """Write the days each micro-batch changed below folder/days; read them with live_sales_trend."""
+def _days(spark: SparkSession, folder: str) -> Snapshot:
+    return Snapshot(spark, f"{folder}/days", "day", _DAYS)
 
-    def write(days: DataFrame, batch_id: int) -> None:
-        days.write.mode("overwrite").parquet(f"{folder}/days/batch={batch_id}")
 
+def start_sales_trend(
+    sales: DataFrame, folder: str, lateness: str = "1 day", trigger: dict = AVAILABLE_NOW
+) -> StreamingQuery:
+    """Keep the state of every day below folder/days; read it with live_sales_trend."""
+    days = _days(sales.sparkSession, folder)
     return (
         sales_trend_stream(sales, lateness)
         .writeStream.outputMode("update")
         .option("checkpointLocation", f"{folder}/progress")
-        .trigger(availableNow=True)
-        .foreachBatch(write)
+        .trigger(**trigger)
+        .foreachBatch(lambda changed, batch_id: days.write(batch_id, changed))
         .start()
     )
 
 
 def live_sales_trend(spark: SparkSession, folder: str) -> DataFrame:
     """The last state of every day."""
-    days = spark.read.schema(
-        "day date, total_gross long, total_capital long, total_net long, batch long"
-    ).parquet(f"{folder}/days")
-    state = F.max_by(F.struct("total_gross", "total_capital", "total_net"), "batch")
-    return days.groupBy("day").agg(state.alias("last")).select("day", "last.*")
+    return _days(spark, folder).rows()
 
 
 # ---- stock ----
 
 
-def start_movements(movements: DataFrame, folder: str, lateness: str = "1 day") -> StreamingQuery:
-    """Fold a stream of movements (event_id, ts, product_id, quantity) into the ledger, each event once."""
+def net_movements_stream(movements: DataFrame, lateness: str = "1 day") -> DataFrame:
+    """Net quantity per product of a stream of movements (event_id, ts, product_id, quantity), each event once.
+
+    Events later than the watermark are dropped, since it is not known any more whether they are repeats.
+    """
     once = (
         movements.withColumn("event_time", event_time(F.col("ts")))
         .withWatermark("event_time", lateness)
         .dropDuplicatesWithinWatermark(["event_id"])
     )
-    ledger = MovementLedger(movements.sparkSession, f"{folder}/ledger")
+    return once.groupBy("product_id").agg(F.sum("quantity").alias("quantity"))
+
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        ledger.write(batch_id, batch.select("product_id", "quantity"))
+def _net(spark: SparkSession, folder: str) -> Snapshot:
+    return Snapshot(spark, f"{folder}/net", "product_id", _NET)
 
+
+def start_movements(
+    movements: DataFrame, folder: str, lateness: str = "1 day", trigger: dict = AVAILABLE_NOW
+) -> StreamingQuery:
+    """Keep the net movement of every product below folder/net; read the stock with live_stock."""
+    net = _net(movements.sparkSession, folder)
     return (
-        once.writeStream.option("checkpointLocation", f"{folder}/progress")
-        .trigger(availableNow=True)
-        .foreachBatch(fold)
+        net_movements_stream(movements.filter("product_id IS NOT NULL"), lateness)
+        .writeStream.outputMode("update")
+        .option("checkpointLocation", f"{folder}/progress")
+        .trigger(**trigger)
+        .foreachBatch(lambda changed, batch_id: net.write(batch_id, changed))
         .start()
     )
 
 
 def live_stock(products: DataFrame, folder: str) -> DataFrame:
-    return MovementLedger(products.sparkSession, f"{folder}/ledger").stock(products)
+    return apply_movements(products, _net(products.sparkSession, folder).rows())
 
 
 # ---- sales against live stock ----
 
 
-def start_sell(requests: DataFrame, products: DataFrame, folder: str) -> StreamingQuery:
-    """Decide a stream of sale requests (seq, product_id, quantity, ...) against the stock left by earlier batches.
+def sell_stream(requests: DataFrame, products: DataFrame, remember: int = 7 * 24 * 3600) -> DataFrame:
+    """Decisions of a stream of sale requests (seq, product_id, quantity, ...) by the stock that is left, each request once.
 
-    Inside a micro-batch requests count in seq order, as in the batch job, whose way with busy products is used.
+    The stock is keyed state, which starts from the products when the job is first started; no micro-batch reads
+    products. Requests of a micro-batch count in seq order, micro-batches in theirs. A seq that comes again within `remember` seconds
+    is a repeated delivery; requests without seq come first and are never taken for repeats.
     """
-    ledger = MovementLedger(requests.sparkSession, f"{folder}/ledger")
+    # Requests without a product are spread over keys that are no product's.
+    spread = -1 - F.pmod(F.xxhash64("seq", "quantity"), F.lit(1 << 16))
+    asked = requests.select(
+        F.coalesce(F.col("product_id").cast("long"), spread).alias("key"), F.col("seq").cast("long").alias("seq"),
+        F.col("product_id").cast("long").alias("product_id"), S.whole_number(F.col("quantity")).cast("long").alias("quantity"),
+    )
+    opening = products.select(
+        F.col("id").cast("long").alias("key"), S.coalesce_zero(F.col("stock")).cast("long").alias("stock"),
+        S.coalesce_zero(F.col("sale_price")).cast("long").alias("price"),
+    )
+    processor = sell_processor((BAD_ITEM, UNKNOWN_PRODUCT, NOT_ENOUGH_STOCK), remember * 1000)
+    return asked.groupBy("key").transformWithStateInPandas(
+        processor, DECISIONS, "append", "processingTime", initialState=opening.groupBy("key")
+    )
 
-    def decide(batch: DataFrame, batch_id: int) -> None:
-        asked = batch.select(F.col("product_id").alias("id")).distinct()
-        wanted = products.join(asked, "id", "left_semi")
-        decided = checkpointed(sell_decisions(ledger.stock(wanted, batch_id), batch))
-        out = decided.select("seq", "product_id", "quantity", "price", "total_price", "reason")
-        out.write.mode("overwrite").parquet(f"{folder}/decisions/batch={batch_id}")
-        sold = decided.filter("reason IS NULL")
-        ledger.write(batch_id, sold.select("product_id", (-F.col("quantity")).alias("quantity")))
 
-    return (
-        requests.writeStream.option("checkpointLocation", f"{folder}/progress")
-        .trigger(availableNow=True)
-        .foreachBatch(decide)
-        .start()
-    )
+def start_sell(
+    requests: DataFrame, products: DataFrame, folder: str, remember: int = 7 * 24 * 3600, trigger: dict = AVAILABLE_NOW
+) -> StreamingQuery:
+    """Write the decisions of sell_stream below folder/decisions; read them with sell_results."""
+    conf = requests.sparkSession.conf
+    before = {name: conf.get(name, None) for name in _KEYED_STATE}
+    try:
+        for name, value in _KEYED_STATE.items():
+            conf.set(name, value)  # a query keeps the settings that it starts with
+        return (
+            sell_stream(requests, products, remember)
+            .writeStream.outputMode("append")
+            .option("checkpointLocation", f"{folder}/progress")
+            .trigger(**trigger)
+            .format("parquet")
+            .start(f"{folder}/decisions")
+        )
+    finally:
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
 
 
 def sell_results(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(
-        "seq long, product_id long, quantity long, price long, total_price long, reason string, batch long"
-    ).parquet(f"{folder}/decisions").drop("batch")
+    return spark.read.schema(DECISIONS).parquet(f"{folder}/decisions")

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from stockline.operators import baskets
 from stockline.streaming import jobs
-from stockline.streaming.ledger import MovementLedger
+from stockline.streaming.snapshot import Snapshot
 
 START = datetime(2026, 5, 1)
 
@@ -62,27 +62,71 @@ def test_movements_count_once(spark, tmp_path):
     assert stock == {1: 13, 2: None, 3: 3}
 
 
+SELL = "seq long, product_id long, quantity string"
+
+
 def test_sell_stream_equals_the_batch_job(spark, tmp_path):
-    schema = "seq long, product_id long, quantity string"
-    rows = [(i, i % 4, str(1 + i * 7 % 5)) for i in range(60)]
-    stream = write_files(spark, tmp_path / "in", schema, rows[:20], rows[20:25], rows[25:])
+    """Six micro-batches, of which one is a file delivered twice and one holds a request of an earlier one."""
+    rows = [(i, i % 4 if i % 9 else None, ["1", "2", "x", "3", "0", "1.5"][i * 7 % 6]) for i in range(60)]
+    again = [(rows[3][0], 3, "4"), *rows[40:45]]
+    files = [rows[:20], rows[20:25], rows[20:25], again[:1] + rows[25:50], again, rows[50:]]
+    stream = write_files(spark, tmp_path / "in", SELL, *files)
     products = spark.createDataFrame(PRODUCTS, PRODUCT)
-    jobs.start_sell(stream, products, str(tmp_path / "out")).awaitTermination()
-    live = {r["seq"]: r["reason"] for r in jobs.sell_results(spark, str(tmp_path / "out")).collect()}
-    batch = {r["seq"]: r["reason"] for r in baskets.sell_decisions(products, spark.createDataFrame(rows, schema)).collect()}
-    assert live == batch and None in live.values() and "not_enough_stock" in live.values()
+    query = jobs.start_sell(stream, products, str(tmp_path / "out"))
+    query.awaitTermination()
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == len(files)
+    names = ["seq", "product_id", "quantity", "price", "total_price", "reason"]
+    live = jobs.sell_results(spark, str(tmp_path / "out")).select(names).collect()
+    batch = baskets.sell_decisions(products, spark.createDataFrame(rows, SELL)).select(names).collect()
+    assert sorted(map(repr, live)) == sorted(map(repr, batch))
+    assert {None, "not_enough_stock", "bad_item"} == {r["reason"] for r in live}
 
 
-def test_ledger_replays_and_folds(spark, tmp_path):
-    ledger = MovementLedger(spark, str(tmp_path / "ledger"), fold_every=2)
-    moves = lambda *rows: spark.createDataFrame(list(rows), "product_id long, quantity long")
+def test_sell_stream_goes_on_without_reading_products(spark, tmp_path):
     products = spark.createDataFrame(PRODUCTS, PRODUCT)
-    stock = lambda *upto: {r["id"]: r["stock"] for r in ledger.stock(products, *upto).collect()}
-    assert stock() == {1: 10, 2: None, 3: 4}
-    for batch_id in range(5):
-        ledger.write(batch_id, moves((1, -1), (1, -1), (3, 2)))
-        ledger.write(batch_id, moves((1, -1), (3, 1)))  # the batch runs again: only its last run counts
-    assert stock() == {1: 5, 2: None, 3: 9}
-    assert stock(3) == {1: 7, 2: None, 3: 7}
-    assert stock(0) == {1: 10, 2: None, 3: 4}
-    assert (tmp_path / "ledger" / "folded" / "upto=4").exists()
+    out, reasons = str(tmp_path / "out"), lambda: {r.seq: r.reason for r in jobs.sell_results(spark, out).collect()}
+    write = lambda name, *rows: spark.createDataFrame(list(rows), SELL).write.parquet(f"{tmp_path}/in/{name}")
+    stream = lambda: spark.readStream.schema(SELL).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    write("a", (1, 3, "3"), (2, 9, "1"), (None, 1, "1"), (None, 1, "1"))
+    jobs.start_sell(stream(), products, out).awaitTermination()
+    assert reasons() == {1: None, 2: "unknown_product", None: None}
+    write("b", (1, 3, "3"), (3, 3, "2"), (4, 3, "1"))
+    # Started again, with products that must not matter any more, as a job that keeps running.
+    query = jobs.start_sell(stream(), products.filter("id = 1"), out, trigger={"processingTime": "1 second"})
+    query.processAllAvailable()
+    assert query.isActive
+    query.stop()
+    assert reasons() == {1: None, 2: "unknown_product", None: None, 3: "not_enough_stock", 4: None}
+
+
+def test_streams_keep_running_and_hold_two_versions(spark, tmp_path):
+    schema = "event_id long, ts timestamp_ntz, product_id long, quantity long"
+    files = [[(i, START + timedelta(hours=i), 1 + i % 3, 1), (max(i - 1, 0), START + timedelta(hours=i - 1), 1, 1)] for i in range(7)]
+    stream = write_files(spark, tmp_path / "in", schema, *files)
+    query = jobs.start_movements(stream, str(tmp_path / "out"), "2 days", trigger={"processingTime": "0 seconds"})
+    query.processAllAvailable()
+    assert query.isActive
+    query.stop()
+    once = {}
+    for event, _, product, _ in (row for rows in files for row in rows):
+        once.setdefault(event, product)
+    moved = {p: sum(1 for x in once.values() if x == p) for p in (1, 2, 3)}
+    stock = {r["id"]: r["stock"] for r in jobs.live_stock(spark.createDataFrame(PRODUCTS, PRODUCT), str(tmp_path / "out")).collect()}
+    assert stock == {1: 10 + moved[1], 2: None, 3: 4 + moved[3]}
+    assert len([f for f in (tmp_path / "out" / "net").iterdir()]) == 2
+
+
+def test_snapshot_replays(spark, tmp_path):
+    snapshot = Snapshot(spark, str(tmp_path / "s"), "k", "k long, v long")
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "k long, v long")
+    now = lambda: {r.k: r.v for r in snapshot.rows().collect()}
+    assert now() == {} and snapshot.versions() == []
+    snapshot.write(0, rows((1, 1), (2, 2)))
+    snapshot.write(1, rows((2, 99), (3, 3)))
+    snapshot.write(1, rows((2, 5)))  # the batch runs again: only its last run counts
+    assert now() == {1: 1, 2: 5}
+    for batch_id in (2, 3, 7):
+        snapshot.write(batch_id, rows((1, batch_id)))
+    assert now() == {1: 7, 2: 5} and snapshot.versions() == [3, 7]
+    (tmp_path / "s" / "v7" / "_SUCCESS").unlink()  # a version that is not whole does not count
+    assert now() == {1: 3, 2: 5}
