@@ -38,16 +38,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockline.llm.common import Scratch, row_key, ship_package, sliced
-from stockline.llm.token_counts import Counter, pieces
+from stockline.llm.token_counts import Counter
 from stockline.operators.scale import checkpointed
 
 CHUNK_BYTES = 1 << 16
 FANIN = 16
-BATCH_CHARS = 2_000_000  # text whose distinct units a task holds at a time
+BATCH_CHARS = 600_000  # text whose distinct units a task holds at a time
 JOINED_CHARS = 1 << 16
 BROADCAST_PAIRS = 2_000_000  # 32 MB
 
 _CUT = re.compile(r"\S(?= )")
+_UNEVEN = re.compile(r"\s ")
 
 
 # ---- the monoid ----
@@ -144,6 +145,24 @@ def whole(document: Fragment) -> Closed:
 # ---- tokens ----
 
 
+def units_of(text: str) -> list[str]:
+    """Space + text, cut before each space that follows a character other than white space, without the units' first spaces."""
+    parts = text.split(" ")
+    if not text.startswith(" ") and not _UNEVEN.search(text) and parts[-1]:
+        return parts
+    found, head = [], parts[0]
+    before = " " + head
+    for part in parts[1:]:
+        if before[-1].isspace():
+            head = f"{head} {part}"
+        else:
+            found.append(head)
+            head = part
+        before = " " + head
+    found.append(head)
+    return found
+
+
 def _byte_of_character() -> dict[str, int]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 and up, in order."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -185,6 +204,9 @@ class Units(NamedTuple):
         return int(self.n_a[at].sum()), int(self.n_b[at].sum()), int(self.n_groups[at].sum()), text, links
 
 
+_LOADED: dict[tuple[str, str], Tokens] = {}
+
+
 class Tokens:
     """Both tokenizers' ids of texts that start with a space; one per task."""
 
@@ -218,6 +240,13 @@ class Tokens:
         rest = [text[1:] for text in texts]  # B puts the space in front itself, but for a text that is nothing else
         return of_a, [ids if text else [self.space] for text, ids in zip(rest, self.b.encode(rest, num_threads=1))]
 
+    @classmethod
+    def of(cls, path_a: str, path_b: str) -> Tokens:
+        """The worker's own, which it keeps for its next tasks."""
+        if (path_a, path_b) not in _LOADED:
+            _LOADED[path_a, path_b] = cls(path_a, path_b)
+        return _LOADED[path_a, path_b]
+
     def sound(self, text: str, a: list[int], b: list[int]) -> bool:
         """Whether the joined bytes of both sides' tokens are the text's."""
         sides = b"".join(map(self.bytes_a.__getitem__, a)), b"".join(map(self.bytes_b.__getitem__, b))
@@ -225,21 +254,21 @@ class Tokens:
 
     def first(self, unit: str, base: int) -> Fragment | None:
         """The fragment of one unit, whose start is not known to be a common end; None if its bytes differ."""
-        (a,), (b,) = self.ids([unit])
-        if not self.sound(unit, a, b):
+        (a,), (b,) = self.ids([" " + unit])
+        if not self.sound(" " + unit, a, b):
             return None
         ends = [tuple((np.cumsum(size[ids]) + base).tolist()) for size, ids in ((self.size_a, a), (self.size_b, b))]
         return fragment(Open(tuple(a), ends[0], tuple(b), ends[1]))
 
     def units(self, found: set[str]) -> Units:
-        """The whole groups of distinct units.
+        """The whole groups of distinct units, given without their first spaces.
 
         Units are encoded joined, JOINED_CHARS at a time, which is far cheaper than one by one. Those that may not be joined
         (white space at the end, U+2581) and those of a joined text whose bytes differ are encoded alone.
         """
         joined, alone, held, size = [], [], [], 0
         for unit in found:
-            if unit[-1].isspace() or "▁" in unit:
+            if not unit or unit[-1].isspace() or "▁" in unit:
                 alone.append(unit)
                 continue
             held.append(unit)
@@ -250,13 +279,13 @@ class Tokens:
         joined += [held] if held else []
         parts, odd = [], []
         for part in joined:
-            (a,), (b,) = self.ids([text := "".join(part)])
+            (a,), (b,) = self.ids([text := " " + " ".join(part)])
             if self.sound(text, a, b):
                 parts.append((part, np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)))
             else:
                 alone += part
-        for unit, a, b in zip(alone, *self.ids(alone)):
-            if self.sound(unit, a, b):
+        for unit, a, b in zip(alone, *self.ids([" " + unit for unit in alone])):
+            if self.sound(" " + unit, a, b):
                 parts.append(([unit], np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)))
             else:
                 odd.append(unit)
@@ -266,7 +295,7 @@ class Tokens:
         """All parts (units, ids of A, ids of B of the units joined) in one go; odd units, without tokens, come last."""
         names = [unit for units, *_ in parts for unit in units]
         a, b = (np.concatenate([np.empty(0, dtype=np.int64), *(part[side] for part in parts)]) for side in (1, 2))
-        ends = np.cumsum([len(unit) if unit.isascii() else len(unit.encode()) for unit in names])
+        ends = np.cumsum([1 + (len(unit) if unit.isascii() else len(unit.encode())) for unit in names])
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         starts_a, starts_b = ends_a - self.size_a[a], ends_b - self.size_b[b]
         cut_a, cut_b = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
@@ -335,10 +364,10 @@ def short_summaries(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """The summaries (columns of _SUMMARY) of documents (doc_id, row, text), each of which is one range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(path_a, path_b)
+        tokens = Tokens.of(path_a, path_b)
         for part in _by_size(batches, BATCH_CHARS):
-            cut = [pieces(" " + text) if text else [] for text in part.column(2).to_pylist()]
-            known = tokens.units({unit for units in cut for unit in units})
+            cut = [units_of(text) if text else [] for text in part.column(2).to_pylist()]
+            known = tokens.units(set().union(*cut))
             groups = [known.of(units) if units else None for units in cut]
             found = [_NO_TOKENS if x is None else _summary(*x) for x in groups]
             yield _summaries(part.column(0), part.column(1), found)
@@ -439,10 +468,10 @@ def range_fragments(docs: DataFrame, path_a: str, path_b: str, size: int) -> Dat
                 base += len(text.encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(path_a, path_b)
+        tokens = Tokens.of(path_a, path_b)
         for part in sliced(batches, 1):
             row, place, base, text = (part.column(c)[0].as_py() for c in range(4))
-            first, *units = pieces(text)
+            first, *units = units_of(text[1:])
             # The first unit ends with a common end, so what follows are whole groups.
             more = tokens.units(set(units)).of(units)
             found = None if more is None else tokens.first(first, base)

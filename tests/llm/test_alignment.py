@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stockline.llm import alignment as al
+from stockline.llm.token_counts import pieces
 from tests.llm.test_counts import TRICKY, noise
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -184,8 +185,13 @@ def test_small_batches_and_joins_change_nothing(documents, monkeypatch):
 
 def test_units_hold_their_own_groups_only():
     tokens = al.Tokens(A, B)
-    units = [" one", " two\n", " ▁", " é", " don't", "  ", " 日本"]
+    units = ["one", "two\n", "▁", "é", "don't", " ", "", "日本"]
     together = tokens.units(set(units))
     for unit in units:
         assert str(together.of([unit])) == str(tokens.units({unit}).of([unit])), unit
-    assert together.of([" one", " ▁"]) is None and together.of([])[:4] == (0, 0, 0, "")
+    assert together.of(["one", "▁"]) is None and together.of([])[:4] == (0, 0, 0, "")
+
+
+def test_units_are_those_of_the_pattern():
+    for text in [t for t in TEXTS + noise(300) if t]:
+        assert [" " + unit for unit in al.units_of(text)] == pieces(" " + text), text
