@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockline.llm.common import Scratch, arrow_map, let_go
+from stockline.llm.common import Scratch, arrow_map, let_go, ship_package
 from stockline.llm.components import few, joined_components
 from stockline.operators.scale import checkpointed
 
@@ -20,6 +20,10 @@ TURNS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x369DEA0F31A53F85)
 #: Rounds of hubs go on while each leaves at most OPEN_LEFT of the pairs that were open; then rare elements find the rest.
 HUB_ROUNDS = 6
 OPEN_LEFT = 0.5
+#: Open pairs are all tried when the open buckets have at most so many pairs per member of the start; else they would be too many.
+ALL_PAIRS = 4
+#: Rows (bucket, node) that a task holds to find out which are alone: 16 bytes each.
+HELD_MEMBERS = 4_000_000
 #: Counters of how many nodes have an element; a power of two.
 COUNTERS = 1 << 18
 
@@ -27,10 +31,35 @@ COUNTERS = 1 << 18
 def shared_buckets(members: DataFrame) -> DataFrame:
     """members (bucket, node) of the buckets with two nodes or more; written to the shared folder.
 
-    One shuffle by bucket; a task sorts its rows by bucket and looks at one bucket at a time, which spills if it is long.
+    One shuffle by bucket, after which a task throws away what is alone in its bucket, HELD_MEMBERS rows at a time. What meets nobody
+    among these goes on if the task has more rows, so nothing is lost and a task holds a bounded number. Of the few rows that are left a
+    second shuffle and a window, which spills, keep the shared buckets.
     """
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, whole = [], 0, True
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size > HELD_MEMBERS:
+                whole = False
+                yield from held
+                held, size = [], 0
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        if whole:
+            bucket = table["bucket"].to_numpy()
+            order = np.argsort(bucket)
+            same = bucket[order][1:] == bucket[order][:-1]
+            met = order[np.r_[same, False] | np.r_[False, same]]
+            table = table.take(pa.array(met))
+        yield from table.to_batches()
+
+    ship_package(members.sparkSession)
+    near = members.select("bucket", "node").repartition("bucket").mapInArrow(together, "bucket long, node long")
     in_bucket = Window.partitionBy("bucket")
-    ends = members.select("*", F.min("node").over(in_bucket).alias("low"), F.max("node").over(in_bucket).alias("high"))
+    ends = near.select("*", F.min("node").over(in_bucket).alias("low"), F.max("node").over(in_bucket).alias("high"))
     shared = few(ends.filter("low < high").select("bucket", "node").distinct(), 4)
     return Scratch(members.sparkSession, "buckets").write(shared)
 
@@ -50,7 +79,7 @@ def component_per_node(
     (without them no pair is left out for its sizes), sets_of adds `elements`, distinct longs, to given (node, component); a link has a Jaccard similarity of `least_share`.
     In each round a few nodes of a bucket are its hubs and are tried against all its nodes; a bucket of copies thus costs
     a few pairs per member. What a hub has to do with its bucket is then settled, and it leaves. Pairs inside a component
-    need no trial. When the pairs of nodes in open buckets are no more than the members were at the start, they are all tried.
+    need no trial. When the open pairs are no more than the members were at the start, they are all tried.
     When hubs settle little more, what is left in open buckets are mostly nodes with a part in common, say a
     passage, that is too short for a link. Of these, `rare_pairs` gives all that can be linked, and they are tried. So
     every pair of a bucket is tried, inside one component, or cannot be linked.
@@ -76,7 +105,7 @@ def component_per_node(
             open_pairs, all_pairs = _open_pairs(active)
             if not open_pairs:
                 break
-            if all_pairs <= n_members:
+            if open_pairs <= n_members and all_pairs <= ALL_PAIRS * n_members:
                 labels = joined_components(labels, verify(_pairs_across(active, near)))
                 break
             if round_ == hub_rounds or open_pairs > open_left * before:

@@ -6,9 +6,9 @@ similarity >= 0.75. Of each component the line of the smallest (doc_id, line num
 fewer than `min_chars` characters have too few shingles: what links them is but a character more or less at an end. They are
 compared by equal form only. Lines of nothing but white space are no lines to compare and stay.
 
-Candidates come from signatures of 9-character shingles, which lines alike by chance hardly share (of the pairs in a bucket by
-5-character shingles 3 % were links on the check tool's tables): an edit touches at most 9 of these where it touches 5 of
-the others, so at a similarity of 0.75 theirs is 0.59, and two functions a band in 22 bands miss 8e-5 of such pairs.
+Candidates come from signatures of 8-character shingles, which lines alike by chance hardly share (of the pairs in a bucket by
+5-character shingles 3 % were links on the check tool's tables): an edit touches at most 8 of these where it touches 5 of
+the others, so at a similarity of 0.75 theirs is 0.63, and three functions a band in 32 bands miss 1.2e-4 of such pairs.
 
 Nodes are 64-bit hashes of the form; shingles are compared by 64-bit hashes. Null text: no lines, returned as it is. Null doc_id: its lines are neither
 compared nor removed. Repeated rows of a doc_id count as one document, whose rows are treated alike.
@@ -31,9 +31,9 @@ from stockline.operators.scale import checkpointed
 
 MIN_CHARS = 14  # so that a line has ten shingles and six of those of its signature
 SHINGLE = 5  # characters; longer ones lose the link of lines of 50 to 78 characters at one changed character
-SIGNATURE_SHINGLE = 9
+SIGNATURE_SHINGLE = 8
 THRESHOLD = 75  # per cent
-BANDS, ROWS = 22, 2
+BANDS, ROWS = 32, 3
 BROADCAST_LINES = 1_000_000  # numbers of removed lines that are broadcast, after a count: 4 bytes each
 SEEN = 200_000  # forms a task remembers so as not to send them again
 HELD_SHINGLES = 4_000_000  # shingles a task holds while it compares
