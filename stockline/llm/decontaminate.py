@@ -6,9 +6,10 @@ pieces of many items are looked up in one pass (Aho-Corasick); around each hit,
 least edit distance of the item to any passage there. The budget is `edit_rate` of the item's characters, rounded down.
 
 The items are read in blocks of at most BLOCK_CHARS characters, each a scan of the documents with an automaton of
-bounded size; documents are never shuffled. Items of fewer than `min_chars` characters in form are not searched, as
-chance would find them; null items neither. Null text: no match. Null doc_id: matched like any. Repeated rows: one match
-for each pair. Repeated items (by id) are searched alike. Other columns are ignored.
+bounded size; documents are never shuffled. Items of fewer than `min_chars` characters in form are searched without edits and
+between word borders only, as chance would find them otherwise; null items, and those without a word, are not searched. Null text:
+no match. Null doc_id: matched like any. Repeated rows, and texts that repeat an item id: the best match for each pair, of equal
+distances the one that ends first. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,8 +71,10 @@ class Pattern:
 class Index:
     """Pieces and patterns of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], edit_rate: float) -> None:
-        self.items = [(item, Pattern(text), int(edit_rate * len(text))) for item, text in items]
+    def __init__(self, items: list[tuple[int, str]], edit_rate: float, min_chars: int = MIN_CHARS) -> None:
+        budget = lambda text: int(edit_rate * len(text)) if len(text) >= min_chars else 0
+        self.min_chars = min_chars
+        self.items = [(item, Pattern(text), budget(text)) for item, text in items]
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text) in enumerate(items):
             for offset, piece in split_pieces(text, self.items[k][2]):
@@ -88,6 +91,10 @@ class Index:
             for k, offset in found:
                 _, pattern, budget = self.items[k]
                 start = end + 1 - size - offset
+                if pattern.length < self.min_chars:
+                    if text[start - 1 : start] in ("", " ") and text[end + 1 : end + 2] in ("", " "):
+                        spans.setdefault(k, []).append([start, end + 1])
+                    continue
                 low, high = max(0, start - budget), start + pattern.length + budget
                 own = spans.setdefault(k, [])
                 if own and low <= own[-1][1] and low >= own[-1][0]:  # overlapping windows are read once
@@ -101,14 +108,12 @@ class Index:
                 yield item, *best
 
 
-def item_blocks(
-    benchmark: DataFrame, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS
-) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """(item_id, form) in blocks; one partition of the benchmark at a time is with the driver."""
     chosen = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     block, size = [], 0
     for item, text in chosen.toLocalIterator():
-        if len(text := form(text)) < min_chars:
+        if not (text := form(text)):
             continue
         if block and size + len(text) > block_chars:
             yield block
@@ -127,12 +132,12 @@ def contaminated(
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     out = spark.createDataFrame([], _SCHEMA)
-    for block in item_blocks(benchmark, min_chars, block_chars):
+    for block in item_blocks(benchmark, block_chars):
         shared = spark.sparkContext.broadcast(block)  # at most block_chars, or one item
         state: dict[str, Index] = {}
 
         def work(part: pa.RecordBatch, shared=shared, state=state) -> dict | None:
-            index = state.get("") or state.setdefault("", Index(shared.value, edit_rate))
+            index = state.get("") or state.setdefault("", Index(shared.value, edit_rate, min_chars))
             rows = [
                 (doc, *match)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1))
@@ -141,4 +146,5 @@ def contaminated(
             return dict(zip(("doc_id", "item_id", "distance", "end_char"), zip(*rows))) if rows else None
 
         out = out.union(arrow_map(texts, work, _SCHEMA))
-    return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.min("end_char").alias("end_char"))
+    best = F.min(F.struct("distance", "end_char")).alias("best")
+    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")

@@ -208,7 +208,10 @@ def test_edit_matches(spark, documents):
         for i, text in [*enumerate(texts[:-1]), (None, items[1])]:
             for k, item in enumerate(items):
                 pattern = decontaminate.form(item)
-                if len(pattern) >= decontaminate.MIN_CHARS:
+                if len(pattern) < decontaminate.MIN_CHARS:
+                    if f" {pattern} " in f" {decontaminate.form(text)} ":
+                        expected[i, k] = 0
+                else:
                     distance = brute_distance(pattern, decontaminate.form(text))
                     if distance <= int(decontaminate.EDIT_RATE * len(pattern)):
                         expected[i, k] = distance
@@ -217,6 +220,21 @@ def test_edit_matches(spark, documents):
     assert decontaminate.contaminated(documents(), bench).count() == 0
 
 
+def test_best_match_of_texts_that_repeat_an_item_id_and_of_short_items(spark, documents):
+    one = "a question of more than thirty characters in all"
+    bench = spark.createDataFrame(
+        [(1, one), (1, "another question of more than thirty characters"), (2, "short answer"), (3, "?"), (4, " ")],
+        "item_id long, text string",
+    )
+    near = one.replace("question", "questiom")
+    texts = [f"another question of more than thirty characters, {near}", f"{near} and {one} and {one}",
+             "A  short\nanswer", "too short answers", "no ? yes", "no? yes"]
+    found = {(r.doc_id, r.item_id): (r.distance, r.end_char) for r in decontaminate.contaminated(documents(*texts), bench).collect()}
+    assert found == {
+        (0, 1): (0, 47), (1, 1): (0, 2 * len(one) + 5), (2, 2): (0, 14), (4, 3): (0, 4),
+    }
+
+
 def test_pipeline(spark, documents, clashing, tmp_path):
     item = "a benchmark question that nobody should ever train on, at least not if it can be helped"
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
