@@ -145,6 +145,8 @@ _VIEWS["snapshot_receipts"] = """
 _VIEWS["snapshot_sold"] = """
         SELECT l.*, r.id AS receipt_id, r.date, r.cashier_name, r.payment_method
         FROM snapshot_lines AS l JOIN snapshot_receipts AS r USING (cart_id)"""
+_VIEWS["cumulative_receipts"] = _VIEWS["snapshot_receipts"].replace("snapshot", "cumulative")
+_VIEWS["cumulative_sold"] = _VIEWS["snapshot_sold"].replace("snapshot", "cumulative")
 _VIEWS["sums_by_product"] = """
         SELECT product_id, CAST(SUM(quantity) AS BIGINT) AS total_qty, CAST(SUM(total_price) AS BIGINT) AS total_revenue,
             CAST(SUM(coalesce(purchase_price, 0) * quantity) AS BIGINT) AS total_capital,
@@ -587,6 +589,9 @@ _KEPT = {
         SELECT product_id, CAST(SUM(quantity) AS BIGINT) AS delta FROM logs GROUP BY product_id) AS m ON m.product_id = p.id""",
 }
 
+for _part in ("receipts", "items", "logs", "stock"):
+    _KEPT[f"checkout_cumulative_{_part}"] = _KEPT[f"checkout_{_part}"].replace("snapshot", "cumulative")
+
 _HAND_OUT = """
 walk AS (
     SELECT DISTINCT product_id, CAST(0 AS BIGINT) AS nth, stock_now AS left_over, CAST(NULL AS BOOLEAN) AS taken

@@ -407,6 +407,30 @@ def checkout_stock(t):
     return stock.apply_movements(t.products(), _checkout(t).movements).select("id", "stock")
 
 
+def _cumulative(t):
+    return baskets.checkout_cumulative(t.products(), t.cart_lines(), t.carts(), CHECKOUT_DAY, last_receipt_id=1000)
+
+
+@_query
+def checkout_cumulative_receipts(t):
+    return _cumulative(t).receipts
+
+
+@_query
+def checkout_cumulative_items(t):
+    return _cumulative(t).items
+
+
+@_query
+def checkout_cumulative_logs(t):
+    return _cumulative(t).logs
+
+
+@_query
+def checkout_cumulative_stock(t):
+    return stock.apply_movements(t.products(), _cumulative(t).movements).select("id", "stock")
+
+
 @_query
 def sell(t):
     decided = baskets.sell_decisions(t.products(), t.sell_requests())

@@ -25,12 +25,15 @@ PHASES_AT_ONCE = 10
 
 
 class Checkout(NamedTuple):
-    """Frames to write after a batch of carts. Ids of items, sales and logs are given on append."""
+    """Frames to write after a batch of carts. Ids of items, sales and logs are given on append.
+
+    The cumulative form writes no sale rows (sales is None): its sales are the items of its receipts.
+    """
 
     verdicts: DataFrame
     receipts: DataFrame
     items: DataFrame
-    sales: DataFrame
+    sales: DataFrame | None
     logs: DataFrame
     movements: DataFrame
 
@@ -176,32 +179,35 @@ def accepted_receipts(
     )
 
 
-def _checkout(checked: DataFrame, carts: DataFrame, day: str | date | Column, last_receipt_id: int) -> Checkout:
-    # Six frames are read from the checked lines, so they are worked out once.
+def _checkout(
+    checked: DataFrame, carts: DataFrame, day: str | date | Column, last_receipt_id: int, with_sales: bool
+) -> Checkout:
+    # Six frames are read from the checked lines, so they are worked out once; their lines meet the headers once.
     checked = checkpointed(checked)
     verdicts = checkpointed(cart_verdicts(checked, carts))
-    receipts = accepted_receipts(verdicts, day, last_receipt_id)
+    receipts = checkpointed(accepted_receipts(verdicts, day, last_receipt_id))
     headers = receipts.select("cart_id", F.col("id").alias("receipt_id"), "date", "cashier_name", "payment_method")
-    sold = lookup_join(checked, headers, ["cart_id"], "inner")
+    sold = checkpointed(lookup_join(checked, headers, ["cart_id"], "inner"))
     items = sold.select(
         "receipt_id", "line", "product_id", "quantity", "price", "total_price",
         "product_code", "product_name", "unit", "purchase_price", "sale_price", "profit_per_unit",
     )
-    return Checkout(verdicts, receipts, items, _sale_rows(sold), _sell_logs(sold), _sell_movements(sold))
+    sales = _sale_rows(sold) if with_sales else None
+    return Checkout(verdicts, receipts, items, sales, _sell_logs(sold), _sell_movements(sold))
 
 
 def checkout_snapshot(
     products: DataFrame, lines: DataFrame, carts: DataFrame, day: str | date | Column, last_receipt_id: int = 0
 ) -> Checkout:
     """All carts against the opening stock, line by line; one bad line refuses its cart."""
-    return _checkout(snapshot_check(lines, products), carts, day, last_receipt_id)
+    return _checkout(snapshot_check(lines, products), carts, day, last_receipt_id, with_sales=True)
 
 
 def checkout_cumulative(
     products: DataFrame, lines: DataFrame, carts: DataFrame, day: str | date | Column, last_receipt_id: int = 0
 ) -> Checkout:
-    """As checkout_snapshot, but stock falls line by line inside a cart."""
-    return _checkout(cumulative_cart_check(lines, products), carts, day, last_receipt_id)
+    """As checkout_snapshot, but stock falls line by line inside a cart, and no sale rows are written."""
+    return _checkout(cumulative_cart_check(lines, products), carts, day, last_receipt_id, with_sales=False)
 
 
 def _sale_rows(sold: DataFrame) -> DataFrame:

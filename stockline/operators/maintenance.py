@@ -258,7 +258,7 @@ def stock_count(products: DataFrame, sessions: DataFrame, lines: DataFrame) -> C
         headers.withColumn("reject_reason", reason).drop("all_found", "any_fractional")
     )
     staff = accepted.select("session_id", F.col("staff_name").alias("_staff"))
-    kept = lookup_join(checked, staff, ["session_id"], "inner")
+    kept = checkpointed(lookup_join(checked, staff, ["session_id"], "inner"))  # items, logs and movements read it
     items = kept.select(
         "session_id", "line", "product_id", "system_stock", "counted_stock", "difference", "note"
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stockline.functions import scalars as S
 from stockline.functions.dates import as_day, day_label
-from stockline.operators.scale import lookup_join, running_totals
+from stockline.operators.scale import checkpointed, lookup_join, running_totals
 
 Day = str | date | Column
 
@@ -269,22 +269,18 @@ def recent_sales(sales: DataFrame, products: DataFrame, n: int = 7) -> DataFrame
 def recent_sales_receipts(receipts: DataFrame, items: DataFrame, n: int = 7) -> DataFrame:
     """The newest n receipt lines whose receipt exists, with the name kept at sale time."""
     lines = items.select("id", "receipt_id", "product_id", "quantity", "total_price", F.col("product_name").alias("productName"))
+    headers = receipts.select(F.col("id").alias("receipt_id"))
     size = 8 * n
-    while True:
+    while size <= max(NEWEST_SLICE, 8 * n):
         # The newest lines meet the receipts of those lines alone; lines without a receipt make the slice grow.
-        newest = _newest_lines(lines, size).collect()  # at most size rows
-        wanted = {row.receipt_id for row in newest}
-        found = receipts.select("id").filter(F.col("id").isin([i for i in wanted if i is not None])).distinct()
-        known = {row.id for row in found.collect()}
-        if len(newest) < size or size >= NEWEST_SLICE or sum(row.receipt_id in known for row in newest) >= n:
-            break
+        newest = checkpointed(_newest_lines(lines, size))
+        wanted = F.broadcast(newest.select("receipt_id").distinct())  # at most size ids
+        known = F.broadcast(headers.join(wanted, "receipt_id", "left_semi"))
+        kept = checkpointed(newest.join(known, "receipt_id", "left_semi").select(*lines.columns))
+        if kept.count() >= n or newest.count() < size:
+            return recent_sale_projection(_newest_lines(kept, n))
         size *= 8
-    if len(newest) == size and sum(row.receipt_id in known for row in newest) < n:
-        headers = receipts.select(F.col("id").alias("receipt_id"))
-        lines = lookup_join(lines, headers, ["receipt_id"], "left_semi")  # most lines have lost their receipt
-    else:
-        kept = [row for row in newest if row.receipt_id in known]
-        lines = receipts.sparkSession.createDataFrame(kept, lines.schema)
+    lines = lookup_join(lines, headers, ["receipt_id"], "left_semi")  # most lines have lost their receipt
     return recent_sale_projection(_newest_lines(lines, n))
 
 

@@ -23,12 +23,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def broadcastable(df: DataFrame, rows: int | None = None) -> bool:
-    """Whether df, which is read once for this, is small enough to broadcast, in rows and in bytes."""
+    """Whether df is small enough to broadcast, in rows and in bytes; of a larger one no task reads more rows than that."""
     limit = BROADCAST_ROWS if rows is None else rows
     if limit <= 0:
         return False
     width = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(8)) for c in df.columns])
-    count, size = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+    count, size = df.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
     return count <= limit and (size or 0) <= BROADCAST_BYTES
 
 
