@@ -14,6 +14,8 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 # A key with more rows than this is heavy: no task takes more rows of one key at once.
 HEAVY_ROWS = 100_000
+# Slots in which the rows of keys are counted to find out which may be heavy: 65,536 longs a task, whatever the keys.
+COUNTERS = 1 << 16
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -33,11 +35,20 @@ def broadcastable(df: DataFrame, rows: int | None = None) -> bool:
 
 
 def heavy_keys(df: DataFrame, on: list[str], heavy_rows: int | None = None) -> DataFrame | None:
-    """The key values with more than heavy_rows rows, counted once; None when there are none."""
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    """The key values with more than heavy_rows rows; None when there are none.
+
+    Rows are counted in COUNTERS slots by a hash of their key, which every task sums before the shuffle. A slot has all rows of
+    its keys, so a heavy key lies in a slot that is as full; only the rows of such slots, mostly none, are counted by key.
+    """
     limit = HEAVY_ROWS if heavy_rows is None else heavy_rows
-    keys = checkpointed(counts.filter(F.col("_rows") > limit).select(*on))
-    return None if keys.isEmpty() else keys
+    keys = df.select(*on, F.pmod(F.xxhash64(*on), F.lit(COUNTERS)).alias("_slot"))
+    rows, over = F.count(F.lit(1)).alias("_rows"), F.col("_rows") > limit
+    full = checkpointed(keys.groupBy("_slot").agg(rows).filter(over).select("_slot"))
+    if full.isEmpty():
+        return None
+    suspects = keys.join(F.broadcast(full), "_slot", "left_semi")  # at most COUNTERS slots
+    heavy = checkpointed(suspects.groupBy(*on).agg(rows).filter(over).select(*on))
+    return None if heavy.isEmpty() else heavy
 
 
 def _null_safe(left: DataFrame, right: DataFrame, on: list[str], right_names: list[str]) -> Column:
@@ -107,6 +118,7 @@ def running_totals(
         hot, rest = split_heavy(measured, keys, heavy)
         cold = _windowed(rest, keys, order, totals)
         return cold.unionByName(_sliced(hot, keys, order, totals, slices))
+    measured = checkpointed(measured)  # counted, then read
     if measured.count() <= (HEAVY_ROWS if heavy_rows is None else heavy_rows):
         return _windowed(measured, keys, order, totals)
     return _sliced(measured, keys, order, totals, slices)

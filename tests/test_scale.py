@@ -41,6 +41,19 @@ def test_heavy_keys(skewed):
     assert {r[0] for r in heavy_keys(skewed, ["k"], 150).collect()} == {1, None}
 
 
+def test_nearly_unique_keys_are_not_counted_one_by_one(spark, monkeypatch):
+    """One key has half the rows; the others, all different, are never grouped by key."""
+    frame, grouped = type(spark.range(0)), []
+    plain = frame.groupBy
+    monkeypatch.setattr(frame, "groupBy", lambda self, *by: grouped.append((by, self)) or plain(self, *by))
+    rows = spark.range(6000).select(F.when(F.col("id") < 3000, -1).otherwise(F.col("id")).alias("k"), F.lit("x").alias("j"))
+    assert [tuple(r) for r in heavy_keys(rows, ["k", "j"], 2000).collect()] == [(-1, "x")]
+    assert [by for by, _ in grouped] == [("_slot",), ("k", "j")]
+    assert plain(grouped[1][1]).count().first()[0] < 3200  # the heavy key's slot
+    grouped.clear()
+    assert heavy_keys(rows, ["k", "j"], 3000) is None and len(grouped) == 1
+
+
 @pytest.mark.parametrize("keys", [["k"], []])
 @pytest.mark.parametrize("direction", [F.asc, F.desc])
 def test_running_totals_in_slices_equal_brute_force(skewed, keys, direction):
