@@ -589,6 +589,7 @@ _KEPT = {
         SELECT product_id, CAST(SUM(quantity) AS BIGINT) AS delta FROM logs GROUP BY product_id) AS m ON m.product_id = p.id""",
 }
 
+_KEPT["receipt_lines_bucketed"] = _KEPT["receipt_lines"]
 for _part in ("receipts", "items", "logs", "stock"):
     _KEPT[f"checkout_cumulative_{_part}"] = _KEPT[f"checkout_{_part}"].replace("snapshot", "cumulative")
 

@@ -16,7 +16,7 @@ from stockline.session import shared_folder
 from stockline.sources import samples
 from stockline.sources.sinks import period_report_export, receipt_export
 from stockline.sources.star import StarTables
-from stockline.sources.tables import append_rows, scan, write_table
+from stockline.sources.tables import append_rows, scan, write_bucketed, write_table
 from stockline.sources.tables import apply_defaults as apply_defaults_of
 from stockline.sources.tables import seed_if_empty as seed
 from stockline.streaming import jobs
@@ -747,6 +747,17 @@ def period_report_totals(t):
     return finance.crossJoin(total).crossJoin(counts).crossJoin(shelf)  # one row each
 
 
+@_query
+def receipt_lines_bucketed(t):
+    """The receipts and their lines laid out by receipt, joined without a shuffle."""
+    folder, run = _run_folder(t), f"r{uuid.uuid4().hex}"
+    receipts = write_bucketed(t.sales_receipts(), f"{run}_receipts", f"{folder}/receipts", "id", buckets=8)
+    items = write_bucketed(t.sales_receipt_items(), f"{run}_items", f"{folder}/items", "receipt_id", buckets=8)
+    return sales.receipt_lines_colocated(receipts, items).select(
+        "id", "receipt_id", "date", "cashier_name", "payment_method", "product_id", "total_price"
+    )
+
+
 @_query
 def daily_tables(t):
     """The sales laid out by day, read with their schema; a filter on days reads the folders of those days."""

@@ -48,6 +48,17 @@ DEFAULTS: dict[str, list[str]] = {
 }
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int = 64) -> DataFrame:
+    """df as the table `name` below path, laid out and sorted by a hash of key; joins of tables with equal buckets need no shuffle.
+
+    A bucket is one file, so buckets should grow with the table, to files of some 100 MB. Replaces the table if it is there.
+    """
+    spread = df.repartition(buckets, key)  # one task a bucket, as the writer hashes
+    writer = spread.write.bucketBy(buckets, key).sortBy(key).option("path", path).mode("overwrite")
+    writer.format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def apply_defaults(batch: DataFrame, table: str, now: Column | None = None) -> DataFrame:
     """points = 0, created_at = now (UTC, whole seconds), only where the batch has no such column at all."""
     utc_now = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp())

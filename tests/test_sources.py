@@ -113,3 +113,20 @@ def test_ids_of_deleted_rows_are_not_used_again(frame):
     target, batch = frame("id long", (1,), (2,)), frame("seq long", (5,), (4,))
     got = tables.append_rows(target, batch, [F.col("seq")], last_id=9).orderBy("id").collect()
     assert [tuple(r) for r in got] == [(10, 4), (11, 5)]
+
+
+def test_bucketed_receipts_join_without_a_shuffle(spark, frame, tmp_path):
+    receipts = frame("id long, date date, cashier_name string, payment_method string", *[(i, None, f"K{i}", "QRIS") for i in range(40)])
+    items = frame("id long, receipt_id long, quantity long", *[(i, i % 50, 1) for i in range(300)], (900, None, 1))
+    laid_out = [
+        tables.write_bucketed(table, f"t_{key}", str(tmp_path / key), key, buckets=4)
+        for table, key in ((receipts, "id"), (items, "receipt_id"))
+    ]
+    joined = sales.receipt_lines_colocated(*laid_out)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    columns = ["id", "receipt_id", "quantity", "cashier_name"]
+    plain = sales.receipt_lines(receipts, items).select(columns).collect()
+    assert sorted(joined.select(columns).collect()) == sorted(plain) and len(plain) == 240
+    again = tables.write_bucketed(receipts.limit(3), "t_id", str(tmp_path / "id"), "id", buckets=4)
+    assert again.count() == 3
