@@ -20,7 +20,7 @@ TURNS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x369DEA0F31A53F85)
 #: Rounds of hubs go on while each leaves at most OPEN_LEFT of the pairs that were open; then rare elements find the rest.
 HUB_ROUNDS = 6
 OPEN_LEFT = 0.5
-#: Open pairs are all tried when the open buckets have at most so many pairs per member of the start; else they would be too many.
+#: Open pairs are all tried only if the open buckets have at most so many times as many pairs in all.
 ALL_PAIRS = 4
 #: Rows (bucket, node) that a task holds to find out which are alone: 16 bytes each.
 HELD_MEMBERS = 4_000_000
@@ -72,6 +72,7 @@ def component_per_node(
     least_share: float,
     hub_rounds: int = HUB_ROUNDS,
     open_left: float = OPEN_LEFT,
+    tried_per_member: int = 1,
 ) -> DataFrame:
     """(node, component) under the links that `verify` confirms among nodes of one bucket (bucket, node).
 
@@ -79,7 +80,7 @@ def component_per_node(
     (without them no pair is left out for its sizes), sets_of adds `elements`, distinct longs, to given (node, component); a link has a Jaccard similarity of `least_share`.
     In each round a few nodes of a bucket are its hubs and are tried against all its nodes; a bucket of copies thus costs
     a few pairs per member. What a hub has to do with its bucket is then settled, and it leaves. Pairs inside a component
-    need no trial. When the open pairs are no more than the members were at the start, they are all tried.
+    need no trial. When the open pairs are at most tried_per_member times the members of the start, they are all tried.
     When hubs settle little more, what is left in open buckets are mostly nodes with a part in common, say a
     passage, that is too short for a link. Of these, `rare_pairs` gives all that can be linked, and they are tried. So
     every pair of a bucket is tried, inside one component, or cannot be linked.
@@ -105,7 +106,8 @@ def component_per_node(
             open_pairs, all_pairs = _open_pairs(active)
             if not open_pairs:
                 break
-            if open_pairs <= n_members and all_pairs <= ALL_PAIRS * n_members:
+            most = tried_per_member * n_members
+            if open_pairs <= most and all_pairs <= ALL_PAIRS * most:
                 labels = joined_components(labels, verify(_pairs_across(active, near)))
                 break
             if round_ == hub_rounds or open_pairs > open_left * before:

@@ -34,6 +34,7 @@ SHINGLE = 5  # characters; longer ones lose the link of lines of 50 to 78 charac
 SIGNATURE_SHINGLE = 8
 THRESHOLD = 75  # per cent
 BANDS, ROWS = 32, 3
+TRIED_PER_MEMBER = 4  # open pairs for each line of a bucket, up to which all are tried; beyond, see buckets.rare_pairs
 BROADCAST_LINES = 1_000_000  # numbers of removed lines that are broadcast, after a count: 4 bytes each
 SEEN = 200_000  # forms a task remembers so as not to send them again
 HELD_SHINGLES = 4_000_000  # shingles a task holds while it compares
@@ -129,14 +130,19 @@ def placed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def crowded_forms(docs: DataFrame, nodes: DataFrame, min_chars: int) -> DataFrame:
-    """node, form of the given nodes (a column `node`)."""
+    """node, form, size (distinct shingles) of the given nodes (a column `node`)."""
 
     def work(part: pa.RecordBatch) -> dict:
         found = {line_key(line): line for text in part.column(0) for _, line in forms(text.as_py(), min_chars)}
         return {"node": list(found), "form": list(found.values())}
 
+    def sized(part: pa.RecordBatch) -> dict:
+        sizes = [len(shingle_set(line)) for line in part.column(1).to_pylist()]
+        return {"node": part.column(0), "form": part.column(1), "size": sizes}
+
     lines = arrow_map(_texts(docs).select("text"), work, "node long, form string")
-    return only_ids(lines, nodes, "node").dropDuplicates(["node"])
+    lines = only_ids(lines, nodes, "node").dropDuplicates(["node"])
+    return arrow_map(lines, sized, "node long, form string, size long")
 
 
 def shingle_set(line: str) -> np.ndarray:
@@ -198,13 +204,15 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     members = shared_buckets(banded_lines(docs, min_chars).select(F.explode("bands").alias("bucket"), "node"))
     let_go(spark)
     crowded = scratch.write(crowded_forms(docs, members.select("node").distinct(), min_chars))
+    of_form = crowded.select("node", "form")
     let_go(spark)
     reached = component_per_node(
         members,
-        lambda pairs: checkpointed(few(exactly_linked(pairs, crowded), 4)),
-        None,
-        lambda nodes: with_shingles(crowded.join(nodes, "node").select("node", "component", "form")),
+        lambda pairs: checkpointed(few(exactly_linked(pairs, of_form), 4)),
+        crowded.select("node", "size"),
+        lambda nodes: with_shingles(of_form.join(nodes, "node").select("node", "component", "form")),
         THRESHOLD / 100,
+        tried_per_member=TRIED_PER_MEMBER,
     )
     reached = scratch.write(reached)
     scratch.drop(members, crowded)
