@@ -152,6 +152,9 @@ _VIEWS["sums_by_product"] = """
             CAST(SUM(coalesce(purchase_price, 0) * quantity) AS BIGINT) AS total_capital,
             CAST(SUM(profit_per_unit * quantity) AS BIGINT) AS total_profit
         FROM sales GROUP BY product_id"""
+_VIEWS["sums_1998"] = _VIEWS["sums_by_product"].replace(
+    "FROM sales", "FROM sales WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'"
+)
 _VIEWS["trend"] = """
         SELECT date AS day, CAST(SUM(total_price) AS BIGINT) AS total_gross,
             CAST(SUM(coalesce(purchase_price, 0) * quantity) AS BIGINT) AS total_capital,
@@ -589,6 +592,12 @@ _KEPT = {
         SELECT product_id, CAST(SUM(quantity) AS BIGINT) AS delta FROM logs GROUP BY product_id) AS m ON m.product_id = p.id""",
 }
 
+_SECTIONS = {
+    "finance": _KEPT["period_finance_1998"], "counts": _KEPT["entity_counts"], "stock": _KEPT["price_list"],
+    "products_total": _KEPT["product_report_with_total"].replace("sums_by_product", "sums_1998"),
+}
+for _part, _sql in _SECTIONS.items():
+    _KEPT[f"period_report_{_part}"] = f"SELECT s.*, 'Periode: 1998-01-01 s/d 1998-12-31' AS period_label FROM ({_sql}) AS s"
 _KEPT["receipt_lines_bucketed"] = _KEPT["receipt_lines"]
 for _part in ("receipts", "items", "logs", "stock"):
     _KEPT[f"checkout_cumulative_{_part}"] = _KEPT[f"checkout_{_part}"].replace("snapshot", "cumulative")

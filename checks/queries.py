@@ -731,6 +731,32 @@ def period_report_files(t):
     return t.spark.read.parquet(f"{target}/products")
 
 
+def _report_section(t, name: str) -> DataFrame:
+    """One section of the period report, written with the others and read back."""
+    target = period_report_export(period_report.period_report(t, *YEAR), _run_folder(t), *YEAR, as_of=CHECKOUT_DAY)
+    return t.spark.read.parquet(f"{target}/{name}")
+
+
+@_query
+def period_report_finance(t):
+    return _report_section(t, "finance")
+
+
+@_query
+def period_report_products_total(t):
+    return _report_section(t, "products_total")
+
+
+@_query
+def period_report_counts(t):
+    return _report_section(t, "counts")
+
+
+@_query
+def period_report_stock(t):
+    return _report_section(t, "stock")
+
+
 @_query
 def period_report_totals(t):
     """One row from all sections of the period report, written and read back."""
