@@ -51,9 +51,9 @@ def shared_buckets(members: DataFrame) -> DataFrame:
         if whole:
             bucket = table["bucket"].to_numpy()
             order = np.argsort(bucket)
-            same = bucket[order][1:] == bucket[order][:-1]
-            met = order[np.r_[same, False] | np.r_[False, same]]
-            table = table.take(pa.array(met))
+            bucket = bucket[order]
+            same = bucket[1:] == bucket[:-1]
+            table = table.take(pa.array(order[np.r_[same, False] | np.r_[False, same]]))
         yield from table.to_batches()
 
     ship_package(members.sparkSession)

@@ -36,8 +36,8 @@ THRESHOLD = 75  # per cent
 BANDS, ROWS = 32, 3
 TRIED_PER_MEMBER = 4  # open pairs for each line of a bucket, up to which all are tried; beyond, see buckets.rare_pairs
 BROADCAST_LINES = 1_000_000  # numbers of removed lines that are broadcast, after a count: 4 bytes each
-SEEN = 200_000  # forms a task remembers so as not to send them again
-HELD_SHINGLES = 4_000_000  # shingles a task holds while it compares
+SEEN = 100_000  # forms a task remembers so as not to send them again
+HELD_SHINGLES = 1_000_000  # shingles a task holds while it compares
 
 _SEED = 7_919
 _UNEVEN = ("  ", "\t", "\r", "\v", "\f", "\xa0")  # white space that makes a text's lines uneven
