@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from stockline.functions import dates as D
 from stockline.functions import scalars as S
@@ -658,35 +659,45 @@ def _run_folder(t) -> str:
     return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
-#: The events arrive in at least so many files, of at most about so many rows, one micro-batch each.
-EVENT_FILES, EVENT_FILE_ROWS = 6, 500_000
+#: The events arrive in at least so many micro-batches, each of at most about so many rows, in files of at most about so many.
+EVENT_BATCHES, EVENT_BATCH_ROWS, EVENT_FILE_ROWS = 6, 4_000_000, 500_000
 
 
-def _event_stream(t, repeats: bool) -> tuple[DataFrame, str]:
-    """The events table as a stream of log rows in id order over several micro-batches, and a folder for the run.
+def _event_files(t, folder: str, repeats: bool) -> int:
+    """Write the events below folder/in, in id order, and return how many files each micro-batch has.
 
-    Every seventh event comes a file late. With repeats it comes in time, too, and the first file comes twice.
+    Every seventh event comes a micro-batch late. With repeats it comes in time, too, and the first micro-batch comes twice. The
+    events are read once, dealt to a folder per micro-batch, and each of these is copied in turn, as a stream takes files by age.
     """
-    folder, events = _run_folder(t), t.raw("events")
-    n = max(EVENT_FILES, -(-events.count() // EVENT_FILE_ROWS))
+    events = t.raw("events")
+    rows = events.count()
+    n = max(EVENT_BATCHES, -(-rows // EVENT_BATCH_ROWS))
+    files = max(1, -(-rows // (n * EVENT_FILE_ROWS)))
     bounds = events.approxQuantile("event_id", [i / n for i in range(1, n)], 0.1 / n)
-    bounds = [None, *bounds, None]
-    late = F.col("event_id") % 7 == 0
+    late, part = F.col("event_id") % 7 == 0, sum((F.when(F.col("event_id") > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    if repeats:
+        comes = [part, F.when(late, part + 1), F.when(part == 0, 2)]
+    else:
+        comes = [F.when(late, part + 1).otherwise(part)]
+    dealt = events.filter("event_id IS NOT NULL").withColumn("_batch", F.explode(F.array_compact(F.array(*comes))))
+    dealt.write.partitionBy("_batch").parquet(f"{folder}/dealt")
+    dealt = t.spark.read.schema(StructType([*events.schema.fields, StructField("_batch", IntegerType())])).parquet(f"{folder}/dealt")
+    for i in range(n + 1):
+        target = f"{folder}/in/{i}"
+        now = dealt.filter(F.col("_batch") == i).drop("_batch")
+        now.repartition(files).write.parquet(target)
+        for _ in range(len(t.spark.read.schema(events.schema).parquet(target).inputFiles()), files):  # so few rows that a file is missing
+            t.spark.createDataFrame([], events.schema).coalesce(1).write.mode("append").parquet(target)
+    return files
 
-    def part(i: int) -> DataFrame:
-        low, high = bounds[i], bounds[i + 1]
-        rows = events if low is None else events.filter(F.col("event_id") > low)
-        return rows if high is None else rows.filter(F.col("event_id") <= high)
 
-    for i in range(n + 1):
-        rows = events.filter("false") if i == n else part(i) if repeats else part(i).filter(~late)
-        rows = rows.union(part(i - 1).filter(late)) if i else rows
-        if repeats and i == 2:
-            rows = rows.union(part(0))
-        rows.coalesce(1).write.parquet(f"{folder}/in/{i}")  # a file of a bounded number of rows
+def _event_stream(t, repeats: bool) -> tuple[DataFrame, str]:
+    """The events table as a stream of log rows over several micro-batches (see _event_files), and a folder for the run."""
+    folder, events = _run_folder(t), t.raw("events")
+    files = _event_files(t, folder, repeats)
     stream = (
         t.spark.readStream.schema(events.schema).option("recursiveFileLookup", True)
-        .option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        .option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     )
     return t.as_logs(stream), folder
 

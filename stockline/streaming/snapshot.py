@@ -7,6 +7,7 @@ counted twice. Only the last two versions are kept, so what is listed and read d
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Snapshot:
@@ -32,15 +33,17 @@ class Snapshot:
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{version}")
 
     def write(self, batch_id: int, changed: DataFrame) -> None:
-        """Overlay the rows (one per key) that a micro-batch changed."""
+        """Overlay the rows (one per key) that a micro-batch changed. They are read once: a stream's state is worked out by that."""
         before = [n for n in self.versions() if n < batch_id]
-        kept = self._read(before[-1] if before else None).join(changed.select(self.key), self.key, "left_anti")
-        rows = kept.select(*changed.columns).unionByName(changed)
-        rows.write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}")
+        both = self._read(before[-1] if before else None).select(*changed.columns, F.lit(0).alias("_new"))
+        both = both.unionByName(changed.withColumn("_new", F.lit(1)))
+        last = both.groupBy(self.key).agg(F.max(F.struct("_new", *[c for c in changed.columns if c != self.key])).alias("_last"))
+        last.select(self.key, "_last.*").drop("_new").write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}")
         for old in before[:-1]:
             fs, path = self._place(f"v{old}")
             fs.delete(path, True)
 
-    def rows(self) -> DataFrame:
-        versions = self.versions()
+    def rows(self, before: int | None = None) -> DataFrame:
+        """The current rows, or those before a batch."""
+        versions = [n for n in self.versions() if before is None or n < before]
         return self._read(versions[-1] if versions else None)

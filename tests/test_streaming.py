@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from stockline.operators import baskets
+from stockline.sources.star import StarTables
 from stockline.streaming import jobs
 from stockline.streaming.snapshot import Snapshot
 
@@ -130,3 +131,41 @@ def test_snapshot_replays(spark, tmp_path):
     assert now() == {1: 7, 2: 5} and snapshot.versions() == [3, 7]
     (tmp_path / "s" / "v7" / "_SUCCESS").unlink()  # a version that is not whole does not count
     assert now() == {1: 3, 2: 5}
+
+
+def test_snapshot_reads_a_changed_row_once(spark, tmp_path):
+    """A second reading would work out the state of the stream again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    snapshot = Snapshot(spark, str(tmp_path / "s"), "k", "k long, v long")
+    snapshot.write(0, spark.createDataFrame([(1, 1), (2, 2), (None, 3)], "k long, v long"))
+    changed = spark.createDataFrame([(2, 5), (None, 6), (4, 7)], "k long, v long").mapInArrow(counted, "k long, v long")
+    snapshot.write(1, changed)
+    assert read.value == 3
+    assert {r.k: r.v for r in snapshot.rows().collect()} == {1: 1, 2: 5, None: 6, 4: 7} and snapshot.rows().count() == 4
+    assert {r.k: r.v for r in snapshot.rows(before=1).collect()} == {1: 1, 2: 2, None: 3}
+
+
+@pytest.mark.parametrize("repeats", [True, False])
+def test_events_are_dealt_to_micro_batches_of_equal_files(spark, tmp_path, monkeypatch, repeats):
+    from checks import queries
+
+    monkeypatch.setattr(queries, "EVENT_FILE_ROWS", 3)
+    monkeypatch.setattr(queries, "EVENT_BATCH_ROWS", 10)
+    spark.range(3, 80).selectExpr("id AS event_id", "id AS value").repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    files = queries._event_files(StarTables(spark, str(tmp_path)), str(tmp_path / "run"), repeats)
+    batches = [spark.read.schema("event_id long, value long").parquet(f"{tmp_path}/run/in/{i}") for i in range(9)]
+    assert files > 1 and {len(b.inputFiles()) for b in batches} == {files}  # 77 rows: eight micro-batches and one of late rows
+    ids = [sorted(r.event_id for r in b.collect()) for b in batches]
+    part = lambda i: {x for x in range(3, 80) if sum(x > b for b in bounds) == i}
+    bounds = spark.read.parquet(f"{tmp_path}/events.parquet").approxQuantile("event_id", [i / 8 for i in range(1, 8)], 0.1 / 8)
+    for i, now in enumerate(ids):
+        late = [x for x in part(i - 1) if x % 7 == 0]
+        in_time = [x for x in part(i) if repeats or x % 7]
+        assert now == sorted(in_time + late + (list(part(0)) if repeats and i == 2 else []))
+    assert not (tmp_path / "run" / "in" / "9").exists()
