@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stockline.functions import scalars as S
-from stockline.operators.baskets import BAD_ITEM, NOT_ENOUGH_STOCK, UNKNOWN_PRODUCT
+from stockline.operators.baskets import sell_decisions
 from stockline.operators.stock import apply_movements
-from stockline.streaming.sell_state import DECISIONS, sell_processor
+from stockline.streaming.sell_state import DECISIONS, each_once
 from stockline.streaming.snapshot import Snapshot
 
 AVAILABLE_NOW = {"availableNow": True}
 _DAYS = "day date, total_gross long, total_capital long, total_net long"
 _NET = "product_id long, quantity long"
-#: Keyed state of several columns needs this store. State that expires by the clock would have a micro-batch follow the other
-#: for ever, rows or not; it may as well expire in the next one that has rows.
+_SHELF = "id long, stock long, sale_price long"
+#: What sell_decisions names of a product besides, which no decision holds.
+_NOT_ON_SHELF = {"code": "string", "name": "string", "unit": "string", "purchase_price": "long"}
+#: Known requests are kept on the executors' disks, not in their memory. State that expires by the clock would have a micro-batch
+#: follow the other, rows or not; it may as well expire in the next one that has rows.
 _KEYED_STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
@@ -117,50 +120,82 @@ def live_stock(products: DataFrame, folder: str) -> DataFrame:
 # ---- sales against live stock ----
 
 
-def sell_stream(requests: DataFrame, products: DataFrame, remember: int = 7 * 24 * 3600) -> DataFrame:
-    """Decisions of a stream of sale requests (seq, product_id, quantity, ...) by the stock that is left, each request once.
+def sell_stream(requests: DataFrame, remember: int = 7 * 24 * 3600) -> DataFrame:
+    """A stream of sale requests (seq, product_id, quantity, ...), each once, ready to be decided.
 
-    The stock is keyed state, which starts from the products when the job is first started; no micro-batch reads
-    products. Requests of a micro-batch count in seq order, micro-batches in theirs. A seq that comes again within `remember` seconds
-    is a repeated delivery; requests without seq come first and are never taken for repeats.
+    A seq that comes again for a product within `remember` seconds is a repeated delivery; requests without seq are never taken for repeats.
     """
     # Requests without a product are spread over keys that are no product's.
     spread = -1 - F.pmod(F.xxhash64("seq", "quantity"), F.lit(1 << 16))
     asked = requests.select(
         F.coalesce(F.col("product_id").cast("long"), spread).alias("key"), F.col("seq").cast("long").alias("seq"),
-        F.col("product_id").cast("long").alias("product_id"), S.whole_number(F.col("quantity")).cast("long").alias("quantity"),
+        F.col("product_id").cast("long").alias("product_id"), "quantity",
+        S.whole_number(F.col("quantity")).cast("long").alias("_whole"),
     )
-    opening = products.select(
-        F.col("id").cast("long").alias("key"), S.coalesce_zero(F.col("stock")).cast("long").alias("stock"),
-        S.coalesce_zero(F.col("sale_price")).cast("long").alias("price"),
-    )
-    processor = sell_processor((BAD_ITEM, UNKNOWN_PRODUCT, NOT_ENOUGH_STOCK), remember * 1000)
-    return asked.groupBy("key").transformWithStateInPandas(
-        processor, DECISIONS, "append", "processingTime", initialState=opening.groupBy("key")
+    return each_once(asked, remember)
+
+
+def _shelf(spark: SparkSession, folder: str) -> Snapshot:
+    return Snapshot(spark, f"{folder}/shelf", "id", _SHELF)
+
+
+def _opening(products: DataFrame) -> DataFrame:
+    shelf = F.struct(
+        S.coalesce_zero(F.col("stock")).cast("long").alias("stock"),
+        S.coalesce_zero(F.col("sale_price")).cast("long").alias("sale_price"),
     )
+    known = products.filter("id IS NOT NULL").groupBy(F.col("id").cast("long").alias("id")).agg(F.min(shelf).alias("_shelf"))
+    return known.select("id", "_shelf.*")
+
+
+def _decide(spark: SparkSession, folder: str, asked: DataFrame, batch_id: int) -> None:
+    """Decide a micro-batch by the stock that is left, in seq order, and write the decisions, then the stock that they leave.
+
+    Both are versions of this batch, worked out from the versions before it: a batch that runs again overwrites its own.
+    """
+    asked.write.mode("overwrite").parquet(f"{folder}/asked")  # the state of the stream is worked out once
+    requests, shelf = spark.read.schema(asked.schema).parquet(f"{folder}/asked"), _shelf(spark, folder)
+    left = shelf.rows(before=batch_id)
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in _NOT_ON_SHELF.items()]
+    decided = sell_decisions(left.select("*", *nothing), requests.select("seq", "product_id", "quantity"))
+    names = [field.split()[0] for field in DECISIONS.split(", ")]
+    path = f"{folder}/decisions/{batch_id}"
+    decided.select(*names).write.mode("overwrite").parquet(path)
+    taken = spark.read.schema(DECISIONS).parquet(path).filter("reason IS NULL").groupBy(F.col("product_id").alias("id"))
+    changed = left.join(taken.agg(F.sum("quantity").alias("_taken")), "id")
+    shelf.write(batch_id, changed.select("id", (F.col("stock") - F.col("_taken")).alias("stock"), "sale_price"))
 
 
 def start_sell(
     requests: DataFrame, products: DataFrame, folder: str, remember: int = 7 * 24 * 3600, trigger: dict = AVAILABLE_NOW
 ) -> StreamingQuery:
-    """Write the decisions of sell_stream below folder/decisions; read them with sell_results."""
-    conf = requests.sparkSession.conf
-    before = {name: conf.get(name, None) for name in _KEYED_STATE}
+    """Write the decisions on a stream of sale requests below folder/decisions; read them with sell_results.
+
+    The stock that is left starts from the products when the job is first started; no micro-batch reads products. It is a table by
+    product, as are a micro-batch's requests, so a micro-batch is the batch job (sell_decisions) on what the ones before it left:
+    requests of a micro-batch count in seq order, those without seq first, micro-batches in theirs.
+    """
+    spark = requests.sparkSession
+    shelf = _shelf(spark, folder)
+    if not shelf.versions():
+        shelf.write(-1, _opening(products))
+    before = {name: spark.conf.get(name, None) for name in _KEYED_STATE}
     try:
         for name, value in _KEYED_STATE.items():
-            conf.set(name, value)  # a query keeps the settings that it starts with
+            spark.conf.set(name, value)  # a query keeps the settings that it starts with
         return (
-            sell_stream(requests, products, remember)
+            sell_stream(requests, remember)
             .writeStream.outputMode("append")
             .option("checkpointLocation", f"{folder}/progress")
             .trigger(**trigger)
-            .format("parquet")
-            .start(f"{folder}/decisions")
+            .foreachBatch(lambda asked, batch_id: _decide(spark, folder, asked, batch_id))
+            .start()
         )
     finally:
         for name, value in before.items():
-            conf.unset(name) if value is None else conf.set(name, value)
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def sell_results(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(DECISIONS).parquet(f"{folder}/decisions")
+    """The decisions of all micro-batches."""
+    return spark.read.schema(DECISIONS).option("recursiveFileLookup", True).parquet(f"{folder}/decisions")

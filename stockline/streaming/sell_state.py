@@ -1,62 +1,50 @@
-"""Keyed state of the sale stream: per product what is left, its price, and the requests it has decided."""
+"""The deliveries that the sale stream decides on: each request once, the repeats of a micro-batch and of earlier ones left out."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: What the stream returns for each request.
 DECISIONS = "seq long, product_id long, quantity long, price long, total_price long, reason string"
+#: Groups over which the deliveries of a micro-batch are dealt; the source's limit bounds the rows of a micro-batch.
+GROUPS = 256
 
 
-def sell_processor(reasons: tuple[str, str, str], remember_ms: int) -> StatefulProcessor:
-    """The processor, defined here so that it travels to the executors by value.
+def _first_deliveries(sort_keys: list[tuple[str, str]], same: list[str]):
+    """A function of an Arrow table that keeps the first row, in order, of those that agree in the columns `same`.
 
-    reasons: of a bad item, an unknown product, too little stock. A request whose seq was decided within the last remember_ms is a
-    repeated delivery and gives no row. A task gathers a product's requests of one micro-batch, which the source's
-    limit bounds, since they arrive in no order.
+    Rows with a null there are all kept. Defined here so that it travels to the executors by value.
     """
-    bad_item, unknown, short = reasons
-
-    class SellState(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.product = handle.getValueState("product", "stock long, price long")
-            self.decided = handle.getMapState("decided", "seq long", "decided boolean", ttlDurationMs=remember_ms)
-
-        def handleInitialState(self, key: Any, initialState: Any, timerValues: Any) -> None:
-            self.product.update((int(initialState["stock"].iloc[0]), int(initialState["price"].iloc[0])))
-
-        def handleInputRows(self, key: Any, rows: Iterator[Any], timerValues: Any) -> Iterator[Any]:
-            import pandas as pd
-
-            batch = pd.concat(list(rows)).sort_values(["seq", "quantity"], na_position="first", kind="stable")
-            stock, price = self.product.get() if self.product.exists() else (None, None)
-            opening, out = stock, []
-            whole = lambda x: None if pd.isna(x) else int(x)
-            for seq, product, quantity in zip(*(map(whole, batch[c]) for c in ("seq", "product_id", "quantity"))):
-                if seq is not None:
-                    if self.decided.containsKey((seq,)):
-                        continue
-                    self.decided.updateValue((seq,), (True,))
-                if not product or (quantity or 0) <= 0:
-                    reason = bad_item
-                elif stock is None:
-                    reason = unknown
-                elif quantity > stock:
-                    reason = short
-                else:
-                    reason, stock = None, stock - quantity
-                total = None if price is None or quantity is None else price * quantity
-                out.append((seq, product, quantity, price, total, reason))
-            if stock != opening:
-                self.product.update((stock, price))
-            names = [field.split()[0] for field in DECISIONS.split(", ")]
-            frame = pd.DataFrame(out, columns=names, dtype=object)
-            yield frame.astype({name: "Int64" for name in names[:-1]})
-
-        def close(self) -> None:
-            pass
-
-    return SellState()
+
+    def first(rows: Any) -> Any:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        rows = rows.take(pc.sort_indices(rows, sort_keys=sort_keys, null_placement="at_start"))
+        if rows.num_rows < 2:
+            return rows
+        repeated = None
+        for name in same:
+            equal = pc.fill_null(pc.equal(rows[name].slice(1), rows[name].slice(0, rows.num_rows - 1)), False)
+            repeated = equal if repeated is None else pc.and_(repeated, equal)
+        return rows.filter(pa.chunked_array([pa.array([True]), *pc.invert(repeated).chunks]))
+
+    return first
+
+
+def each_once(asked: DataFrame, remember: int) -> DataFrame:
+    """A stream of requests (key, seq, _whole, ...) without repeated deliveries, those of a (key, seq) of the last `remember` seconds.
+
+    Of those that come in one micro-batch the smallest _whole counts. Requests without seq are never taken for repeats.
+    """
+    group = F.pmod(F.xxhash64("key", "seq"), F.lit(GROUPS))
+    first = _first_deliveries([(name, "ascending") for name in ("key", "seq", "_whole")], ["key", "seq"])
+    once = asked.groupBy(group.alias("_group")).applyInArrow(first, asked.schema)
+    # What is kept by the state goes when the watermark, which is one delay behind, has passed it by another one.
+    timed = once.withColumns({
+        "_taken_at": F.current_timestamp(), "_unnumbered": F.when(F.col("seq").isNull(), F.expr("uuid()")),
+    }).withWatermark("_taken_at", f"{remember * 500} milliseconds")
+    return timed.dropDuplicatesWithinWatermark(["key", "seq", "_unnumbered"]).select(*asked.columns)

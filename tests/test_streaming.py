@@ -151,6 +151,22 @@ def test_snapshot_reads_a_changed_row_once(spark, tmp_path):
     assert {r.k: r.v for r in snapshot.rows(before=1).collect()} == {1: 1, 2: 2, None: 3}
 
 
+def test_sell_stream_of_many_products_keeps_one_table_of_stock(spark, tmp_path):
+    """What is left is a table by product; of repeats in a micro-batch the smallest counts, requests without seq all count."""
+    products = spark.range(3000).selectExpr("id", "'A' code", "'x' name", "'pcs' unit", "1L purchase_price", "2L sale_price", "5L stock")
+    first = [(None, 7, "1"), (None, 7, "1"), (1, 8, "5"), (1, 8, "4"), (1, 8, "1.5"), (2, 9, "x"), (3, 9, "6")]
+    files = [first, [(1, 8, "1"), (4, 8, "2"), (5, 8, "1"), (6, 7, "4"), (7, 7, "3")]]
+    out = str(tmp_path / "out")
+    jobs.start_sell(write_files(spark, tmp_path / "in", SELL, *files), products, out).awaitTermination()
+    rows = [(r.seq, r.product_id, r.quantity, r.total_price, r.reason) for r in jobs.sell_results(spark, out).collect()]
+    assert sorted(rows, key=repr) == sorted([
+        (None, 7, 1, 2, None), (None, 7, 1, 2, None), (1, 8, None, None, "bad_item"), (2, 9, 0, 0, "bad_item"),
+        (3, 9, 6, 12, "not_enough_stock"), (4, 8, 2, 4, None), (5, 8, 1, 2, None), (6, 7, 4, 8, "not_enough_stock"), (7, 7, 3, 6, None),
+    ], key=repr)
+    left = {r.id: r.stock for r in Snapshot(spark, f"{out}/shelf", "id", "id long, stock long, sale_price long").rows().collect()}
+    assert len(left) == 3000 and {k: v for k, v in left.items() if v != 5} == {7: 0, 8: 2}
+
+
 @pytest.mark.parametrize("repeats", [True, False])
 def test_events_are_dealt_to_micro_batches_of_equal_files(spark, tmp_path, monkeypatch, repeats):
     from checks import queries
