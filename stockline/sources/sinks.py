@@ -11,7 +11,12 @@ from stockline.operators.sales import receipt_text
 
 
 def receipt_export(documents: DataFrame, path: str) -> None:
-    """One JSON document per receipt page with header, item lines and printed text, in a folder per day."""
+    """One JSON document per receipt page with header, item lines and printed text, in a folder per day.
+
+    Documents are rebalanced by day first, else every task writes a file for every day: small days get one file, those with very many
+    documents several. The text is made after that, so it is not shuffled.
+    """
+    documents = documents.hint("rebalance", "date")
     printed = receipt_text(documents, *documents.columns).select(*documents.columns, "number", "lines_text", "total_text")
     printed.withColumn("day", F.col("date")).write.mode("overwrite").partitionBy("day").json(path)
 

@@ -65,6 +65,18 @@ def test_receipt_export_writes_a_document_per_receipt(spark, tmp_path, frame):
     assert document["number"] == "#1" and document["payment_method"] == "-" and document["total_text"] == "Rp 5.000"
 
 
+def test_receipt_export_writes_few_files(spark, tmp_path):
+    """A file per day, not one per day and task."""
+    receipts = spark.range(400).selectExpr(
+        "id", "date_add(date'2026-05-01', cast(id % 3 as int)) date", "'Ani' cashier_name", "'QRIS' payment_method", "7L subtotal", "1L total_items"
+    ).repartition(8)
+    items = spark.range(400).selectExpr("id", "id receipt_id", "1L product_id", "1L quantity", "7L price", "7L total_price", "'Teh' product_name")
+    documents = sales.receipt_document(receipts, items).repartition(8)
+    sinks.receipt_export(documents, str(tmp_path / "receipts"))
+    files = list((tmp_path / "receipts").glob("day=*/*.json"))
+    assert len(files) == 3 and sum(len(f.read_text().splitlines()) for f in files) == 400
+
+
 def test_period_report_export(spark, tmp_path):
     retail = star.StarTables(spark, "/root/testdata/sf0.001")
     report = period_report.period_report(retail, "1998-01-01", "1998-12-31")
