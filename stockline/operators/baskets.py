@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stockline.functions import scalars as S
 from stockline.functions.dates import as_day
-from stockline.operators.scale import checkpointed, heavy_keys, lookup_join, running_totals, split_heavy
+from stockline.operators.scale import checkpointed, heavy_keys, lookup_join, running_totals, split_heavy, written
 
 # Why a line, request or cart is refused.
 BAD_ITEM = "bad_item"
@@ -20,6 +20,11 @@ NOT_ENOUGH_STOCK = "not_enough_stock"
 EMPTY_CART = "empty_cart"
 LINE_REASONS = [BAD_ITEM, NOT_ENOUGH_STOCK, UNKNOWN_PRODUCT]
 
+# What a checkout keeps of a checked line.
+CHECKED = [
+    "cart_id", "line", "product_id", "quantity", "price", "purchase_price", "product_code", "product_name", "unit", "reason",
+]
+
 # Phases of a sale (see sell_decisions) that one stage of windows works out before its rows are written.
 PHASES_AT_ONCE = 10
 
@@ -182,12 +187,13 @@ def accepted_receipts(
 def _checkout(
     checked: DataFrame, carts: DataFrame, day: str | date | Column, last_receipt_id: int, with_sales: bool
 ) -> Checkout:
-    # Six frames are read from the checked lines, so they are worked out once; their lines meet the headers once.
-    checked = checkpointed(checked)
-    verdicts = checkpointed(cart_verdicts(checked, carts))
-    receipts = checkpointed(accepted_receipts(verdicts, day, last_receipt_id))
+    # Six frames are read from the checked lines, so they are worked out once; their lines meet the headers once. What follows from
+    # other columns is not written, and of refused lines, which no accepted cart has, nothing meets the headers.
+    checked = _with_amounts(written(checked.select(*CHECKED)))
+    verdicts = written(cart_verdicts(checked, carts))
+    receipts = written(accepted_receipts(verdicts, day, last_receipt_id))
     headers = receipts.select("cart_id", F.col("id").alias("receipt_id"), "date", "cashier_name", "payment_method")
-    sold = checkpointed(lookup_join(checked, headers, ["cart_id"], "inner"))
+    sold = written(lookup_join(checked.filter("reason IS NULL"), headers, ["cart_id"], "inner"))
     items = sold.select(
         "receipt_id", "line", "product_id", "quantity", "price", "total_price",
         "product_code", "product_name", "unit", "purchase_price", "sale_price", "profit_per_unit",

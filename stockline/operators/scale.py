@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write df as a Parquet table to the shared folder and go on from there, as checkpointed does.
+
+    For large frames: compressed columns take a small part of a checkpoint's space, and a reader reads the columns that it needs. A
+    returned frame may be read from the table, so it stays until the folder is cleared.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def broadcastable(df: DataFrame, rows: int | None = None) -> bool:
     """Whether df is small enough to broadcast, in rows and in bytes; of a larger one no task reads more rows than that."""
     limit = BROADCAST_ROWS if rows is None else rows

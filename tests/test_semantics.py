@@ -225,6 +225,13 @@ def test_checkout_against_opening_stock(products, carts, cart_lines):
     assert sales.receipt_reconcile(headers, done.items).filter("NOT balanced").count() == 0
 
 
+def test_checkout_keeps_its_lines_as_compressed_tables(products, carts, cart_lines):
+    lines = cart_lines.withColumn("note", F.lit(None))  # columns that no result needs are not kept
+    for done in (baskets.checkout_snapshot(products, lines, carts, DAY), baskets.checkout_cumulative(products, lines, carts, DAY)):
+        for part in (done.verdicts, done.receipts, done.items, done.logs, done.movements):
+            assert part.inputFiles() and all(name.endswith(".parquet") for name in part.inputFiles())
+
+
 def test_cumulative_checkout_accepts_a_subset(products, carts, cart_lines):
     done = baskets.checkout_cumulative(products, cart_lines, carts, DAY)
     assert reasons(done)[2] == "not_enough_stock"
