@@ -188,12 +188,12 @@ def _checkout(
     checked: DataFrame, carts: DataFrame, day: str | date | Column, last_receipt_id: int, with_sales: bool
 ) -> Checkout:
     # Six frames are read from the checked lines, so they are worked out once; their lines meet the headers once. What follows from
-    # other columns is not written, and of refused lines, which no accepted cart has, nothing meets the headers.
+    # other columns is not written, and of refused lines only those meet the headers that an accepted cart may have: without a number.
     checked = _with_amounts(written(checked.select(*CHECKED)))
     verdicts = written(cart_verdicts(checked, carts))
     receipts = written(accepted_receipts(verdicts, day, last_receipt_id))
     headers = receipts.select("cart_id", F.col("id").alias("receipt_id"), "date", "cashier_name", "payment_method")
-    sold = written(lookup_join(checked.filter("reason IS NULL"), headers, ["cart_id"], "inner"))
+    sold = written(lookup_join(checked.filter("reason IS NULL OR line IS NULL"), headers, ["cart_id"], "inner"))
     items = sold.select(
         "receipt_id", "line", "product_id", "quantity", "price", "total_price",
         "product_code", "product_name", "unit", "purchase_price", "sale_price", "profit_per_unit",
