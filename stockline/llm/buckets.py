@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,18 @@ ALL_PAIRS = 4
 HELD_MEMBERS = 4_000_000
 #: Counters of how many nodes have an element; a power of two.
 COUNTERS = 1 << 18
+#: Bits of a node's marks; a power of two, at least 64.
+MARK_BITS = 1 << 10
+
+
+def parity_marks(elements: np.ndarray) -> np.ndarray:
+    """MARK_BITS bits, as longs: each says whether an odd number of the distinct hashes fall on it.
+
+    The marks of two sets differ in no more bits than the sets differ in elements, so they can rule out a link but never lose one.
+    """
+    slots = (elements & np.uint64(MARK_BITS - 1)).astype(np.int64)
+    odd = (np.bincount(slots, minlength=MARK_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
@@ -73,11 +87,14 @@ def component_per_node(
     hub_rounds: int = HUB_ROUNDS,
     open_left: float = OPEN_LEFT,
     tried_per_member: int = 1,
+    marks_of: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(node, component) under the links that `verify` confirms among nodes of one bucket (bucket, node).
 
     verify takes distinct pairs (a < b) and returns those that are linked; sizes (node, size) are those of the nodes' sets
     (without them no pair is left out for its sizes), sets_of adds `elements`, distinct longs, to given (node, component); a link has a Jaccard similarity of `least_share`.
+    marks_of gives (node, marks), see parity_marks, of given (node): where all open pairs are tried, those whose marks differ in
+    more bits than the sets of a link can differ in elements are ruled out as they meet.
     In each round a few nodes of a bucket are its hubs and are tried against all its nodes; a bucket of copies thus costs
     a few pairs per member. What a hub has to do with its bucket is then settled, and it leaves. Pairs inside a component
     need no trial. When the open pairs are at most tried_per_member times the members of the start, they are all tried.
@@ -108,7 +125,7 @@ def component_per_node(
                 break
             most = tried_per_member * n_members
             if open_pairs <= most and all_pairs <= ALL_PAIRS * most:
-                labels = joined_components(labels, verify(_pairs_across(active, near)))
+                labels = joined_components(labels, verify(_pairs_across(active, near, least_share, marks_of)))
                 break
             if round_ == hub_rounds or open_pairs > open_left * before:
                 left = checkpointed(few(_open_buckets(active).select("node", "component").distinct()))
@@ -195,8 +212,21 @@ def _open_pairs(placed: DataFrame) -> tuple[float, float]:
     return found[0] or 0, found[1] or 0
 
 
-def _pairs_across(placed: DataFrame, near: Callable) -> DataFrame:
+def _pairs_across(
+    placed: DataFrame, near: Callable, least_share: float, marks_of: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Distinct pairs (a < b) of a bucket that lie in different components; for short lists of pairs only."""
-    one, other = (placed.toDF("bucket", *names) for names in (("a", "_a", "_in_a"), ("b", "_b", "_in_b")))
-    met = one.join(other, "bucket").filter((F.col("a") < F.col("b")) & (F.col("_in_a") != F.col("_in_b")) & near("_a", "_b"))
+    alike = near("_a", "_b")
+    if marks_of is None:
+        placed = placed.select("*", F.lit(None).alias("marks"))
+    else:
+        placed = _open_buckets(placed)
+        placed = few(placed.join(marks_of(few(placed.select("node").distinct())), "node"), 4)
+        placed = placed.select("bucket", "node", "size", "component", "marks")
+        words = [F.bit_count(F.col("_marks_a")[i].bitwiseXOR(F.col("_marks_b")[i])) for i in range(MARK_BITS // 64)]
+        # Of sets of similarity t, at most (1 - t) / (1 + t) of the elements of both are not common.
+        alike &= (1 + least_share) * reduce(add, words) <= (1 - least_share) * (F.col("_a") + F.col("_b"))
+    names = ("a", "_a", "_in_a", "_marks_a"), ("b", "_b", "_in_b", "_marks_b")
+    one, other = (placed.toDF("bucket", *side) for side in names)
+    met = one.join(other, "bucket").filter((F.col("a") < F.col("b")) & (F.col("_in_a") != F.col("_in_b")) & alike)
     return few(met.select("a", "b"), 4).distinct()

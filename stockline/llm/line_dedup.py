@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockline.llm.buckets import component_per_node, shared_buckets
+from stockline.llm.buckets import component_per_node, parity_marks, shared_buckets
 from stockline.llm.common import (
     Scratch, arrow_map, band_keys, let_go, long_lists, mixed, only_ids, permutations, positional,
 )
@@ -167,6 +167,16 @@ def with_shingles(lines: DataFrame) -> DataFrame:
     return arrow_map(lines, work, "node long, component long, elements array<long>")
 
 
+def with_marks(lines: DataFrame) -> DataFrame:
+    """node, marks (see buckets.parity_marks) of node, form."""
+
+    def work(part: pa.RecordBatch) -> dict:
+        marks = [parity_marks(shingle_set(line)) for line in part.column(1).to_pylist()]
+        return {"node": part.column(0), "marks": long_lists(np.stack(marks))}
+
+    return arrow_map(lines, work, "node long, marks array<long>")
+
+
 def exactly_linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets reach the threshold; lines: node, form."""
     known: dict[str, np.ndarray] = {}
@@ -213,6 +223,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         lambda nodes: with_shingles(of_form.join(nodes, "node").select("node", "component", "form")),
         THRESHOLD / 100,
         tried_per_member=TRIED_PER_MEMBER,
+        marks_of=lambda nodes: with_marks(of_form.join(nodes, "node").select("node", "form")),
     )
     reached = scratch.write(reached)
     scratch.drop(members, crowded)

@@ -90,6 +90,46 @@ def test_rare_pairs_hold_all_links_and_few_others(spark, seed):
     assert buckets.rare_pairs(held.filter("false"), 0.75).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_marks_lose_no_link_and_rule_out_sets_with_a_part_in_common(spark, seed):
+    rng = random.Random(seed)
+    fresh = lambda n: {rng.randrange(2**64) for _ in range(n)}
+    common, sets = fresh(120), sets_with_a_common_part(seed)
+    sets = {n: {x % 2**64 for x in s} for n, s in sets.items()} | {200 + i: common | fresh(180) for i in range(60)}
+    base = fresh(300)
+    sets |= {300 + i: set(list(base)[7 * i :]) | fresh(7 * i) for i in range(8)}
+    marks = {n: buckets.parity_marks(np.array(sorted(s), dtype=np.uint64)) for n, s in sets.items()}
+    rows = [(0, n, len(s), n) for n, s in sets.items()]
+    active = spark.createDataFrame(rows, "bucket long, node long, size long, component long")
+    held = spark.createDataFrame([(n, m.tolist()) for n, m in marks.items()], "node long, marks array<long>")
+    near = lambda one, other: F.least(one, other) >= 0.75 * F.greatest(one, other)
+    linked = {(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.75}
+    found = {tuple(r) for r in buckets._pairs_across(active, near, 0.75, lambda nodes: held.join(nodes, "node")).collect()}
+    plain = {tuple(r) for r in buckets._pairs_across(active, near, 0.75).collect()}
+    assert linked <= found <= plain
+    assert not any(200 <= a and b < 300 for a, b in found)
+    assert len([1 for a, b in plain if 200 <= a and b < 300]) == 60 * 59 / 2
+
+
+def test_lines_with_a_passage_in_common_are_not_compared_one_by_one(documents, monkeypatch):
+    rng, tried = random.Random(6), []
+    fresh = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvw ") for _ in range(n))
+    passage = fresh(250)
+    lines = [fresh(100) + passage + fresh(100) for _ in range(60)]
+    lines += [edited(rng, line, 2) for line in lines[:5]]
+    verify = line_dedup.exactly_linked
+
+    def counted(pairs, forms):
+        tried.append(pairs.count())
+        return verify(pairs, forms)
+
+    monkeypatch.setattr(line_dedup, "exactly_linked", counted)
+    monkeypatch.setattr(line_dedup, "TRIED_PER_MEMBER", 1000)
+    found = line_dedup.repeated_lines(documents(*lines)).collect()
+    assert sorted((r.doc_id, list(r.removed)) for r in found) == [(60 + i, [0]) for i in range(5)]
+    assert tried[-1] < 60
+
+
 def sentences(rng, n) -> list[str]:
     return [f"w{rng.randrange(5000)}" for _ in range(n)]
 
