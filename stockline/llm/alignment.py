@@ -45,6 +45,7 @@ CHUNK_BYTES = 1 << 16
 FANIN = 16
 BATCH_CHARS = 600_000  # text whose distinct units a task holds at a time
 JOINED_CHARS = 1 << 16
+KNOWN_CHARS = 2_500_000  # characters of units that a worker remembers, so as not to look at them again
 BROADCAST_PAIRS = 2_000_000  # 32 MB
 
 _CUT = re.compile(r"\S(?= )")
@@ -203,6 +204,15 @@ class Units(NamedTuple):
         text = "".join(map(self.texts.__getitem__, at.tolist()))[:-1]
         return int(self.n_a[at].sum()), int(self.n_b[at].sum()), int(self.n_groups[at].sum()), text, links
 
+    def with_more(self, more: Units) -> Units:
+        """These and more, which are other units; `place` and `texts` are this object's own, made longer."""
+        n = len(self.texts)
+        self.place.update((unit, n + i) for unit, i in more.place.items())
+        self.texts.extend(more.texts)
+        counts = (np.concatenate(sides) for sides in zip(self[1:4], more[1:4]))
+        links_from = np.concatenate((self.links_from, self.links_from[-1] + more.links_from[1:]))
+        return Units(self.place, *counts, self.texts, np.concatenate((self.links, more.links)), links_from)
+
 
 _LOADED: dict[tuple[str, str], Tokens] = {}
 
@@ -233,6 +243,7 @@ class Tokens:
         forms = [f"{i}{sign}" for side, signs in ((size, ",|"), (len(names), ",;")) for sign in signs for i in range(side)]
         self.forms = np.array(forms, dtype=object)
         self.space = self.b.piece_to_id("▁")
+        self.known, self.known_chars = self.units(set()), 0
 
     def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """The ids of texts, each of which starts with a space."""
@@ -260,6 +271,16 @@ class Tokens:
         ends = [tuple((np.cumsum(size[ids]) + base).tolist()) for size, ids in ((self.size_a, a), (self.size_b, b))]
         return fragment(Open(tuple(a), ends[0], tuple(b), ends[1]))
 
+    def known_units(self, found: set[str]) -> Units:
+        """Units that hold all those found: what earlier batches have left, up to KNOWN_CHARS, and what is new."""
+        if self.known_chars > KNOWN_CHARS:
+            self.known, self.known_chars = self.units(set()), 0
+        new = found.difference(self.known.place)
+        if new:
+            self.known = self.known.with_more(self.units(new))
+            self.known_chars += sum(map(len, new))
+        return self.known
+
     def units(self, found: set[str]) -> Units:
         """The whole groups of distinct units, given without their first spaces.
 
@@ -367,7 +388,7 @@ def short_summaries(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         tokens = Tokens.of(path_a, path_b)
         for part in _by_size(batches, BATCH_CHARS):
             cut = [units_of(text) if text else [] for text in part.column(2).to_pylist()]
-            known = tokens.units(set().union(*cut))
+            known = tokens.known_units(set().union(*cut))
             groups = [known.of(units) if units else None for units in cut]
             found = [_NO_TOKENS if x is None else _summary(*x) for x in groups]
             yield _summaries(part.column(0), part.column(1), found)

@@ -192,6 +192,21 @@ def test_units_hold_their_own_groups_only():
     assert together.of(["one", "▁"]) is None and together.of([])[:4] == (0, 0, 0, "")
 
 
+def test_units_are_looked_at_once_as_long_as_they_are_known(monkeypatch):
+    tokens, asked = al.Tokens(A, B), []
+    units = tokens.units
+    monkeypatch.setattr(tokens, "units", lambda found: asked.append(set(found)) or units(found))
+    batches = [["the", "cat", "a\u2581b", "", "的猫"], ["cat", "dog", "the", "x\u2581"], ["dog", "", "a\u2581b"], ["naïve", "dog"]]
+    of = lambda known, row: (x := known.of(row)) and (*x[:4], x[4].tolist())
+    for batch in batches:
+        known = tokens.known_units(set(batch))
+        for row in [[unit] for unit in batch] + [[u for u in batch if "\u2581" not in u]]:
+            assert of(known, row) == of(units(set(row)), row)
+    assert asked == [{"the", "cat", "a\u2581b", "", "的猫"}, {"dog", "x\u2581"}, {"naïve"}]
+    monkeypatch.setattr(al, "KNOWN_CHARS", 5)
+    assert set(tokens.known_units({"cat", "bird"}).place) == {"cat", "bird"}  # what was known is let go
+
+
 def test_units_are_those_of_the_pattern():
     for text in [t for t in TEXTS + noise(300) if t]:
         assert [" " + unit for unit in al.units_of(text)] == pieces(" " + text), text
