@@ -72,17 +72,22 @@ def svm(rows: np.ndarray, signs: np.ndarray, cost: float = COST, epochs: int = E
 
     Rows of the smaller class weigh more, so that both classes weigh the same.
     """
-    x = np.hstack([rows, np.ones((len(rows), 1), dtype=rows.dtype)]).astype(np.float64)
     share = np.where(signs > 0, (signs > 0).mean(), (signs < 0).mean())
     slack = share / cost  # 1 / (2 C) of each row
-    norms = (x * x).sum(axis=1) + slack
-    weights, alpha, rng = np.zeros(x.shape[1]), np.zeros(len(x)), np.random.default_rng(0)
+    # One row at a time in double precision, with its bias: a copy of all rows would take twice the memory of the rows.
+    x = np.ones(rows.shape[1] + 1)
+    norms = np.empty(len(rows))
+    for i, row in enumerate(rows):
+        x[:-1] = row
+        norms[i] = (x * x).sum() + slack[i]
+    weights, alpha, rng = np.zeros(len(x)), np.zeros(len(rows)), np.random.default_rng(0)
     for _ in range(epochs):
-        for i in rng.permutation(len(x)):
-            slope = signs[i] * (x[i] @ weights) - 1 + slack[i] * alpha[i]
+        for i in rng.permutation(len(rows)):
+            x[:-1] = rows[i]
+            slope = signs[i] * (x @ weights) - 1 + slack[i] * alpha[i]
             new = max(0.0, alpha[i] - slope / norms[i])
             if new != alpha[i]:
-                weights += (new - alpha[i]) * signs[i] * x[i]
+                weights += (new - alpha[i]) * signs[i] * x
                 alpha[i] = new
     return weights
 
@@ -117,7 +122,7 @@ class Hierarchy:
         self, rows: np.ndarray, sizes: np.ndarray, langs: list[str], families: dict[str, tuple[str, ...]]
     ) -> None:
         family_of = {lang: name for name, members in families.items() for lang in members}
-        langs_, rows = np.array(langs), rows.astype(np.float32)
+        langs_, rows = np.array(langs), rows.astype(np.float32, copy=False)
         self.langs = sorted(set(langs))
         kin = np.array([family_of.get(lang, lang) for lang in langs])
         self.families = sorted(set(kin))
@@ -194,8 +199,11 @@ def train(
 
     found = arrow_map(sample, work, "lang string, key long, shares binary, size long").collect()  # at most train_rows rows
     found.sort(key=lambda row: (row.key, row.lang))
-    matrix = np.frombuffer(b"".join(row.shares for row in found), dtype=np.float32).reshape(len(found), WIDTH)
-    return Hierarchy(matrix, np.array([row.size for row in found]), [row.lang for row in found], families)
+    langs, sizes = [row.lang for row in found], np.array([row.size for row in found])
+    matrix = np.empty((len(found), WIDTH), dtype=np.float32)
+    for i in range(len(found) - 1, -1, -1):  # each row goes as it is placed, so that the driver holds them once
+        matrix[i] = np.frombuffer(found.pop().shares, dtype=np.float32)
+    return Hierarchy(matrix, sizes, langs, families)
 
 
 def predicted(docs: DataFrame, model: Hierarchy | None) -> DataFrame:

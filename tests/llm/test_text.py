@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +178,17 @@ def test_languages_without_labels(documents):
     assert {r.lang_pred for r in language_id.identified(documents(*["one language"] * 9)).collect()} == {"en"}
 
 
+def test_training_holds_no_second_copy_of_its_rows():
+    rng = np.random.default_rng(3)
+    rows, signs = rng.random((600, language_id.WIDTH), dtype=np.float32), np.where(np.arange(600) % 3 == 0, 1, -1)
+    tracemalloc.start()
+    weights = language_id.svm(rows, signs, epochs=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < rows.nbytes / 4
+    assert ((rows @ weights[:-1] + weights[-1] > 0) == (signs > 0)).mean() > 0.5
+
+
 def brute_distance(item: str, text: str) -> int:
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
