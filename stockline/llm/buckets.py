@@ -9,10 +9,10 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockline.llm.common import Scratch, arrow_map, let_go, ship_package
+from stockline.llm.common import Scratch, arrow_map, let_go, long_lists, ship_package, sliced
 from stockline.llm.components import few, joined_components
 from stockline.operators.scale import checkpointed
 
@@ -26,6 +26,11 @@ OPEN_LEFT = 0.5
 ALL_PAIRS = 4
 #: Rows (bucket, node) that a task holds to find out which are alone: 16 bytes each.
 HELD_MEMBERS = 4_000_000
+#: Slices of the bucket keys, by their highest bits; a power of two up to 1 << 15. A packed entry has the 32 bits that follow.
+SLICES = 1 << 12
+#: Nodes that a task packs at a time.
+PACKED_NODES = 1 << 14
+ENTRY = np.dtype([("key", "<u4"), ("node", "<i8")])
 #: Counters of how many nodes have an element; a power of two.
 COUNTERS = 1 << 18
 #: Bits of a node's marks; a power of two, at least 64.
@@ -42,6 +47,92 @@ def parity_marks(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def packed_members(
+    found: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray] | None],
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: slice, entries (packed) of the nodes and their bucket keys (n, bands) that `found` gives for a few rows.
+
+    An entry is 12 bytes: with some two million nodes of 32 bands, rows of a bucket and a node each are 18 bytes in a shuffle,
+    and the cost of a row. Two buckets of one slice and key count as one, which adds trials but no link.
+    """
+
+    def pack(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys = np.concatenate([keys for _, keys in held])
+        nodes = np.repeat(np.concatenate([nodes for nodes, _ in held]), keys.shape[1])
+        keys = keys.reshape(-1).view(np.uint64)
+        shift = 64 - SLICES.bit_length() + 1
+        of_slice = (keys >> np.uint64(shift)).astype(np.uint16)
+        order = np.argsort(of_slice, kind="stable")
+        entries = np.empty(len(keys), dtype=ENTRY)
+        entries["key"] = (keys[order] >> np.uint64(shift - 32)).astype(np.uint32)  # the lowest 32 of what is left
+        entries["node"] = nodes[order]
+        slices, starts = np.unique(of_slice[order], return_index=True)
+        ends = np.append(starts, len(keys)).astype(np.int32) * np.int32(ENTRY.itemsize)
+        packed = pa.Array.from_buffers(pa.binary(), len(slices), [None, pa.py_buffer(ends), pa.py_buffer(entries)])
+        return pa.RecordBatch.from_arrays([pa.array(slices.astype(np.int32)), packed], names=["slice", "entries"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in sliced(batches):
+            if (some := found(part)) is not None:
+                held.append(some)
+                size += len(some[0])
+            if size >= PACKED_NODES:
+                yield pack(held)
+                held, size = [], 0
+        if held:
+            yield pack(held)
+
+    return run
+
+
+def shared_packed(packed: DataFrame) -> DataFrame:
+    """members (bucket, node) of the buckets with two nodes or more, from packed members (slice, entries); written to the shared folder.
+
+    One shuffle by slice, after which a task reads slice by slice and throws away what is alone in its bucket. Of a slice of more than
+    HELD_MEMBERS entries it holds so many at a time and lets all of them go on, each once. A second
+    shuffle, of the few rows that are left, and a window keep the shared buckets.
+    """
+
+    def together(slice_: int, held: list[np.ndarray], whole: bool) -> pa.RecordBatch:
+        entries = np.concatenate(held)
+        if whole:
+            order = np.argsort(entries["key"])
+            key = entries["key"][order]
+            same = key[1:] == key[:-1]
+            entries = entries[order[np.r_[same, False] | np.r_[False, same]]]
+        order = np.lexsort((entries["node"], entries["key"]))
+        key, node = entries["key"][order], entries["node"][order]
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])][: len(key)]
+        key, node = key[fresh], node[fresh]
+        if whole:
+            same = key[1:] == key[:-1]
+            chosen = np.r_[same, False] | np.r_[False, same] if len(key) else fresh
+            key, node = key[chosen], node[chosen]
+        bucket = (np.int64(slice_) << np.int64(32)) | key.astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node)], names=["bucket", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, at, whole = [], 0, None, True
+        for batch in batches:
+            for slice_, entries in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if slice_ != at or size > HELD_MEMBERS:
+                    whole = whole and slice_ != at
+                    if held:
+                        yield together(at, held, whole)
+                    if slice_ != at:
+                        whole = True
+                    held, size, at = [], 0, slice_
+                held.append(np.frombuffer(entries.as_buffer(), dtype=ENTRY))
+                size += len(held[-1])
+        if held:
+            yield together(at, held, whole)
+
+    ship_package(packed.sparkSession)
+    dealt = packed.repartition("slice").sortWithinPartitions("slice")
+    return _shared(dealt.mapInArrow(run, "bucket long, node long"))
+
+
 def shared_buckets(members: DataFrame) -> DataFrame:
     """members (bucket, node) of the buckets with two nodes or more; written to the shared folder.
 
@@ -72,10 +163,14 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 
     ship_package(members.sparkSession)
     near = members.select("bucket", "node").repartition("bucket").mapInArrow(together, "bucket long, node long")
+    return _shared(near)
+
+
+def _shared(near: DataFrame) -> DataFrame:
     in_bucket = Window.partitionBy("bucket")
     ends = near.select("*", F.min("node").over(in_bucket).alias("low"), F.max("node").over(in_bucket).alias("high"))
     shared = few(ends.filter("low < high").select("bucket", "node").distinct(), 4)
-    return Scratch(members.sparkSession, "buckets").write(shared)
+    return Scratch(near.sparkSession, "buckets").write(shared)
 
 
 def component_per_node(
@@ -129,7 +224,7 @@ def component_per_node(
                 break
             if round_ == hub_rounds or open_pairs > open_left * before:
                 left = checkpointed(few(_open_buckets(active).select("node", "component").distinct()))
-                tried = rare_pairs(sets_of(left), least_share)
+                tried = rare_pairs(sets_of(left), least_share, marks_of is not None)
                 labels = joined_components(labels, verify(tried))
                 break
             before = open_pairs
@@ -152,13 +247,33 @@ def component_per_node(
     return labels
 
 
-def rare_pairs(sets: DataFrame, least_share: float) -> DataFrame:
+def _side(rows: DataFrame, on: str, side: str) -> DataFrame:
+    """rows as one side of a join on that column: node as `side`, size as `_side`, any other as `_name_side`; marks word by word.
+
+    A condition on words of an array makes code that is too long for the JVM to compile.
+    """
+    words = [F.col("marks")[i].alias(f"_mark{i}_{side}") for i in range(MARK_BITS // 64)] if "marks" in rows.columns else []
+    named = {on: on, "node": side, "size": f"_{side}"}
+    return rows.select(*[F.col(c).alias(named.get(c, f"_{c}_{side}")) for c in rows.columns if c != "marks"], *words)
+
+
+def _marks_alike(least_share: float) -> Column:
+    """That the marks of two sides, of sets of sizes _a and _b, do not rule out a link.
+
+    Of sets of similarity t, at most (1 - t) / (1 + t) of the elements of both are not common.
+    """
+    words = [F.bit_count(F.col(f"_mark{i}_a").bitwiseXOR(F.col(f"_mark{i}_b"))) for i in range(MARK_BITS // 64)]
+    return (1 + least_share) * reduce(add, words) <= (1 - least_share) * (F.col("_a") + F.col("_b"))
+
+
+def rare_pairs(sets: DataFrame, least_share: float, marked: bool = False) -> DataFrame:
     """Distinct pairs (a < b) across components of sets (node, component, elements), among them all of that similarity.
 
     Elements are put in one order, the rarest first, as COUNTERS counters show it: an element's counter is that of its low
     bits, so the counters have one size whatever the input, and a poor estimate costs trials but no pair. Two sets of Jaccard
     similarity t share an element within the first size - ceil(t * size) + 1 of each, and what follows their first common
-    element is long enough for the overlap they need.
+    element is long enough for the overlap they need. With `marked`, pairs whose parity marks differ too much are ruled out as
+    they meet.
     """
 
     def counted(part: pa.RecordBatch) -> dict:
@@ -172,7 +287,7 @@ def rare_pairs(sets: DataFrame, least_share: float) -> DataFrame:
     shared = sets.sparkSession.sparkContext.broadcast(counters)
 
     def first(part: pa.RecordBatch) -> dict:
-        rows, chosen, sizes, places = [], [], [], []
+        rows, chosen, sizes, places, marks = [], [], [], [], []
         for i, elements in enumerate(part.column(2)):
             values = elements.values.to_numpy()
             n = shared.value[values & (COUNTERS - 1)]
@@ -182,19 +297,25 @@ def rare_pairs(sets: DataFrame, least_share: float) -> DataFrame:
             chosen.append(values[order[at]])
             sizes.append(np.full(len(at), len(values)))
             places.append(at + 1)
+            if marked:
+                marks.append(parity_marks(values.view(np.uint64)))
         of = pa.array(np.concatenate(rows))
         return {
             "element": np.concatenate(chosen), "node": part.column(0).take(of), "component": part.column(1).take(of),
             "size": np.concatenate(sizes), "place": np.concatenate(places),
+            "marks": long_lists(np.stack(marks)).take(of) if marked else None,
         }
 
-    schema = "element long, node long, component long, size long, place long"
-    rare = checkpointed(few(arrow_map(sets.select("node", "component", "elements"), first, schema), 4))
-    one, other = rare.toDF("element", "a", "_in_a", "_a", "_at_a"), rare.toDF("element", "b", "_in_b", "_b", "_at_b")
-    common = 1 + F.least(F.col("_a") - F.col("_at_a"), F.col("_b") - F.col("_at_b"))
+    schema = "element long, node long, component long, size long, place long" + marked * ", marks array<long>"
+    rare = few(arrow_map(sets.select("node", "component", "elements"), first, schema), 4)
+    rare = Scratch(sets.sparkSession, "rare").write(rare)  # a node's marks recur, so they are short in Parquet
+    common = 1 + F.least(F.col("_a") - F.col("_place_a"), F.col("_b") - F.col("_place_b"))
     enough = (1 + least_share) * common >= least_share * (F.col("_a") + F.col("_b"))
-    met = (one["element"] == other["element"]) & (F.col("a") < F.col("b")) & (F.col("_in_a") != F.col("_in_b")) & enough
-    return few(few(one.join(other, met).select("a", "b"), 4).distinct(), 4)
+    across = (F.col("a") < F.col("b")) & (F.col("_component_a") != F.col("_component_b")) & enough
+    if marked:
+        across &= _marks_alike(least_share)
+    met = _side(rare, "element", "a").join(_side(rare, "element", "b"), "element").filter(across)
+    return few(few(met.select("a", "b"), 4).distinct(), 4)
 
 
 def _open_buckets(placed: DataFrame) -> DataFrame:
@@ -217,16 +338,10 @@ def _pairs_across(
 ) -> DataFrame:
     """Distinct pairs (a < b) of a bucket that lie in different components; for short lists of pairs only."""
     alike = near("_a", "_b")
-    if marks_of is None:
-        placed = placed.select("*", F.lit(None).alias("marks"))
-    else:
+    if marks_of is not None:
         placed = _open_buckets(placed)
-        placed = few(placed.join(marks_of(few(placed.select("node").distinct())), "node"), 4)
-        placed = placed.select("bucket", "node", "size", "component", "marks")
-        words = [F.bit_count(F.col("_marks_a")[i].bitwiseXOR(F.col("_marks_b")[i])) for i in range(MARK_BITS // 64)]
-        # Of sets of similarity t, at most (1 - t) / (1 + t) of the elements of both are not common.
-        alike &= (1 + least_share) * reduce(add, words) <= (1 - least_share) * (F.col("_a") + F.col("_b"))
-    names = ("a", "_a", "_in_a", "_marks_a"), ("b", "_b", "_in_b", "_marks_b")
-    one, other = (placed.toDF("bucket", *side) for side in names)
-    met = one.join(other, "bucket").filter((F.col("a") < F.col("b")) & (F.col("_in_a") != F.col("_in_b")) & alike)
+        placed = few(placed.join(marks_of(checkpointed(few(placed.select("node").distinct()))), "node"), 4)
+        alike &= _marks_alike(least_share)
+    across = (F.col("a") < F.col("b")) & (F.col("_component_a") != F.col("_component_b")) & alike
+    met = _side(placed, "bucket", "a").join(_side(placed, "bucket", "b"), "bucket").filter(across)
     return few(met.select("a", "b"), 4).distinct()

@@ -22,9 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockline.llm.buckets import component_per_node, parity_marks, shared_buckets
+from stockline.llm.buckets import component_per_node, packed_members, parity_marks, shared_packed
 from stockline.llm.common import (
-    Scratch, arrow_map, band_keys, let_go, long_lists, mixed, only_ids, permutations, positional,
+    Scratch, arrow_map, band_keys, let_go, long_lists, mixed, only_ids, permutations, positional, ship_package,
 )
 from stockline.llm.components import few
 from stockline.operators.scale import checkpointed
@@ -93,11 +93,11 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def banded_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """node, bands of each form, at least once."""
+    """slice, entries (see buckets.packed_members) of the bands of each form, at least once."""
     factors, summands = permutations(BANDS * ROWS, _SEED)
     seen: set[int] = set()
 
-    def work(part: pa.RecordBatch) -> dict | None:
+    def found(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray] | None:
         fresh: dict[int, str] = {}
         for text in part.column(0):
             for _, line in forms(text.as_py(), min_chars):
@@ -109,9 +109,10 @@ def banded_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         if not fresh:
             return None
         keys = band_keys(signatures(list(fresh.values()), factors, summands), ROWS)
-        return {"node": list(fresh), "bands": long_lists(keys)}
+        return np.fromiter(fresh, dtype=np.int64, count=len(fresh)), keys
 
-    return arrow_map(_texts(docs).select("text"), work, "node long, bands array<long>")
+    ship_package(docs.sparkSession)
+    return _texts(docs).select("text").mapInArrow(packed_members(found), "slice int, entries binary")
 
 
 def placed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -130,36 +131,47 @@ def placed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def crowded_forms(docs: DataFrame, nodes: DataFrame, min_chars: int) -> DataFrame:
-    """node, form, size (distinct shingles) of the given nodes (a column `node`)."""
+    """node, form, size (distinct shingles), marks (see buckets.parity_marks) of the given nodes (a column `node`)."""
 
     def work(part: pa.RecordBatch) -> dict:
         found = {line_key(line): line for text in part.column(0) for _, line in forms(text.as_py(), min_chars)}
         return {"node": list(found), "form": list(found.values())}
 
     def sized(part: pa.RecordBatch) -> dict:
-        sizes = [len(shingle_set(line)) for line in part.column(1).to_pylist()]
-        return {"node": part.column(0), "form": part.column(1), "size": sizes}
+        sets = shingle_sets(part.column(1).to_pylist())
+        marks = long_lists(np.stack([parity_marks(own) for own in sets]))
+        return {"node": part.column(0), "form": part.column(1), "size": [len(own) for own in sets], "marks": marks}
 
     lines = arrow_map(_texts(docs).select("text"), work, "node long, form string")
     lines = only_ids(lines, nodes, "node").dropDuplicates(["node"])
-    return arrow_map(lines, sized, "node long, form string, size long")
+    return arrow_map(lines, sized, "node long, form string, size long, marks array<long>")
 
 
-def shingle_set(line: str) -> np.ndarray:
-    """The distinct shingles of a form, as sorted 64-bit hashes."""
-    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The distinct shingles of each form, as sorted 64-bit hashes."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     n = len(points) - SHINGLE + 1
-    hashes = np.zeros(n, dtype=np.uint64)
-    for i in range(SHINGLE):
-        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + points[i : n + i]
-    return np.unique(mixed(hashes))
+    hashes = np.zeros(max(n, 0), dtype=np.uint64)
+    for i in range(SHINGLE if n > 0 else 0):
+        hashes *= np.uint64(0x9E3779B97F4A7C15)
+        hashes += points[i : n + i]
+    hashes, found, start = mixed(hashes), [], 0
+    for line in lines:
+        own = np.sort(hashes[start : max(start + len(line) - SHINGLE + 1, start)])
+        found.append(own[np.r_[True, own[1:] != own[:-1]]] if len(own) else own)
+        start += len(line)
+    return found
+
+
+def shingle_set(line: str) -> np.ndarray:
+    return shingle_sets([line])[0]
 
 
 def with_shingles(lines: DataFrame) -> DataFrame:
     """node, component, elements (the shingle set) of node, component, form."""
 
     def work(part: pa.RecordBatch) -> dict:
-        sets = [shingle_set(line).view(np.int64) for line in part.column(2).to_pylist()]
+        sets = [own.view(np.int64) for own in shingle_sets(part.column(2).to_pylist())]
         ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
         return {"node": part.column(0), "component": part.column(1), "elements": lists}
@@ -167,42 +179,34 @@ def with_shingles(lines: DataFrame) -> DataFrame:
     return arrow_map(lines, work, "node long, component long, elements array<long>")
 
 
-def with_marks(lines: DataFrame) -> DataFrame:
-    """node, marks (see buckets.parity_marks) of node, form."""
-
-    def work(part: pa.RecordBatch) -> dict:
-        marks = [parity_marks(shingle_set(line)) for line in part.column(1).to_pylist()]
-        return {"node": part.column(0), "marks": long_lists(np.stack(marks))}
-
-    return arrow_map(lines, work, "node long, marks array<long>")
-
-
 def exactly_linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets reach the threshold; lines: node, form."""
     known: dict[str, np.ndarray] = {}
     held = [0]
 
-    def shingles(line: str) -> np.ndarray:
-        if line not in known:
-            if held[0] > HELD_SHINGLES:
-                known.clear()
-                held[0] = 0
-            known[line] = shingle_set(line)
-            held[0] += len(known[line])
-        return known[line]
+    def learn(lines: list[str]) -> None:
+        if held[0] > HELD_SHINGLES:
+            known.clear()
+            held[0] = 0
+        fresh = [line for line in dict.fromkeys(lines) if line not in known]
+        known.update(zip(fresh, shingle_sets(fresh)))
+        held[0] += sum(map(len, fresh))
 
     def similar(a: str, b: str) -> bool:
-        left, right = shingles(a), shingles(b)
+        left, right = known[a], known[b]
         both = np.concatenate((left, right))
         both.sort()
-        common = int((both[1:] == both[:-1]).sum())
+        common = np.count_nonzero(both[1:] == both[:-1])
         return 100 * common >= THRESHOLD * (len(both) - common)
 
     def compare(part: pa.RecordBatch) -> dict:
         forms_a, forms_b = part.column("form_a").to_pylist(), part.column("form_b").to_pylist()
+        learn(forms_a + forms_b)
         chosen = part.filter(pa.array(list(map(similar, forms_a, forms_b)), type=pa.bool_()))
         return {"a": chosen.column("a"), "b": chosen.column("b")}
 
+    pairs = checkpointed(few(pairs, 4))
+    lines = only_ids(lines, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
     both = pairs.join(lines.toDF("a", "form_a"), "a").join(lines.toDF("b", "form_b"), "b")
     return arrow_map(both.select("a", "b", "form_a", "form_b"), compare, "a long, b long")
 
@@ -211,7 +215,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, removed (sorted numbers of the lines that go), for documents that lose lines."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    members = shared_buckets(banded_lines(docs, min_chars).select(F.explode("bands").alias("bucket"), "node"))
+    members = shared_packed(banded_lines(docs, min_chars))
     let_go(spark)
     crowded = scratch.write(crowded_forms(docs, members.select("node").distinct(), min_chars))
     of_form = crowded.select("node", "form")
@@ -223,7 +227,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         lambda nodes: with_shingles(of_form.join(nodes, "node").select("node", "component", "form")),
         THRESHOLD / 100,
         tried_per_member=TRIED_PER_MEMBER,
-        marks_of=lambda nodes: with_marks(of_form.join(nodes, "node").select("node", "form")),
+        marks_of=lambda nodes: only_ids(crowded.select("node", "marks"), nodes, "node"),
     )
     reached = scratch.write(reached)
     scratch.drop(members, crowded)

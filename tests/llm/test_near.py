@@ -111,6 +111,65 @@ def test_marks_lose_no_link_and_rule_out_sets_with_a_part_in_common(spark, seed)
     assert len([1 for a, b in plain if 200 <= a and b < 300]) == 60 * 59 / 2
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_marked_rare_pairs_hold_all_links_and_hardly_others(spark, seed):
+    rng = random.Random(seed)
+    fresh = lambda n: {rng.randrange(-(2**63), 2**63) for _ in range(n)}
+    pool, base = sorted(fresh(400)), fresh(300)
+    sets = {i: set(rng.sample(pool, 240)) for i in range(60)}  # similarities of 0.43
+    sets |= {100 + i: set(sorted(base)[7 * i :]) | fresh(7 * i) for i in range(8)}
+    linked = {(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.75}
+    held = spark.createDataFrame([(n, n, sorted(s)) for n, s in sets.items()], "node long, component long, elements array<long>")
+    found = {tuple(r) for r in buckets.rare_pairs(held, 0.75, marked=True).collect()}
+    plain = {tuple(r) for r in buckets.rare_pairs(held, 0.75).collect()}
+    assert linked and linked <= found <= plain
+    assert not any(b < 100 for _, b in found)
+    assert sum(b < 100 for _, b in plain) > 1000
+    assert buckets.rare_pairs(held.filter("false"), 0.75, marked=True).count() == 0
+
+
+@pytest.mark.parametrize("held, nodes", [(4_000_000, 1 << 14), (50, 300)])
+def test_packed_members_keep_the_shared_buckets(spark, documents, monkeypatch, held, nodes):
+    monkeypatch.setattr(buckets, "HELD_MEMBERS", held)
+    monkeypatch.setattr(buckets, "PACKED_NODES", nodes)
+    monkeypatch.setattr(buckets, "SLICES", 16)
+    rng = np.random.default_rng(held)
+    keys = rng.integers(-(2**63), 2**63, 400)[rng.integers(0, 400, (900, 3))]
+    rows = spark.createDataFrame([(n % 800, k.tolist()) for n, k in enumerate(keys)], "node long, bands array<long>")
+    found = lambda part: (part.column(0).to_numpy(), np.array(part.column(1).to_pylist()))
+    packed = rows.repartition(3).mapInArrow(buckets.packed_members(found), "slice int, entries binary")
+    assert packed.agg(F.sum(F.length("entries"))).first()[0] == 12 * keys.size
+    together: dict[int, set[int]] = {}
+    for n, bands in enumerate(keys):
+        for k in bands:
+            together.setdefault(int(k), set()).add(n % 800)
+    shared = {}
+    for r in buckets.shared_packed(packed).collect():
+        shared.setdefault(r.bucket, []).append(r.node)
+    assert sorted(map(sorted, shared.values())) == sorted(sorted(x) for x in together.values() if len(x) > 1)
+    banded = line_dedup.banded_lines(documents("one line that is long enough\nanother line of this text"))
+    assert banded.agg(F.sum(F.length("entries"))).first()[0] == 12 * 2 * line_dedup.BANDS
+
+
+def test_many_lines_with_a_passage_in_common_are_not_compared(documents, monkeypatch):
+    rng, tried = random.Random(7), []
+    fresh = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvw ") for _ in range(n))
+    passage = fresh(250)
+    lines = [fresh(100) + passage + fresh(100) for _ in range(120)]
+    lines += [edited(rng, line, 2) for line in lines[:5]]
+    verify = line_dedup.exactly_linked
+
+    def counted(pairs, forms):
+        tried.append(pairs.count())
+        return verify(pairs, forms)
+
+    monkeypatch.setattr(line_dedup, "exactly_linked", counted)
+    monkeypatch.setattr(line_dedup, "TRIED_PER_MEMBER", 0)  # so that rare elements name the pairs
+    found = line_dedup.repeated_lines(documents(*lines)).collect()
+    assert sorted((r.doc_id, list(r.removed)) for r in found) == [(120 + i, [0]) for i in range(5)]
+    assert tried[-1] < 120
+
+
 def test_lines_with_a_passage_in_common_are_not_compared_one_by_one(documents, monkeypatch):
     rng, tried = random.Random(6), []
     fresh = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvw ") for _ in range(n))
