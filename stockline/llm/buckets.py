@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockline.llm.common import Scratch, arrow_map, let_go, long_lists, ship_package, sliced
+from stockline.llm.common import Scratch, arrow_map, let_go, long_lists, mixed, ship_package, sliced
 from stockline.llm.components import few, joined_components
 from stockline.operators.scale import checkpointed
 
@@ -33,6 +33,8 @@ PACKED_NODES = 1 << 14
 ENTRY = np.dtype([("key", "<u4"), ("node", "<i8")])
 #: Counters of how many nodes have an element; a power of two.
 COUNTERS = 1 << 18
+#: Words of 64 bits that show which nodes are in shared buckets, at most: 16 MB; a power of two.
+BIT_WORDS = 1 << 21
 #: Bits of a node's marks; a power of two, at least 64.
 MARK_BITS = 1 << 10
 
@@ -42,9 +44,14 @@ def parity_marks(elements: np.ndarray) -> np.ndarray:
 
     The marks of two sets differ in no more bits than the sets differ in elements, so they can rule out a link but never lose one.
     """
-    slots = (elements & np.uint64(MARK_BITS - 1)).astype(np.int64)
-    odd = (np.bincount(slots, minlength=MARK_BITS) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64)
+    return parity_rows(np.zeros(len(elements), dtype=np.int64), elements, 1)[0]
+
+
+def parity_rows(of: np.ndarray, elements: np.ndarray, n: int) -> np.ndarray:
+    """The parity marks of n sets, a row each; `of` says which set an element is of."""
+    slots = of * MARK_BITS + (elements & np.uint64(MARK_BITS - 1)).astype(np.int64)
+    odd = (np.bincount(slots, minlength=n * MARK_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, MARK_BITS), axis=1).view(np.int64)
 
 
 def packed_members(
@@ -92,24 +99,35 @@ def shared_packed(packed: DataFrame) -> DataFrame:
     One shuffle by slice, after which a task reads slice by slice and throws away what is alone in its bucket. Of a slice of more than
     HELD_MEMBERS entries it holds so many at a time and lets all of them go on, each once. A second
     shuffle, of the few rows that are left, and a window keep the shared buckets.
+
+    A bucket that was held whole is named by a hash of its nodes, so bands that bring the same nodes together are one bucket: near
+    copies share most of their bands. Two sets of one hash count as one bucket, which adds trials but no link.
     """
 
-    def together(slice_: int, held: list[np.ndarray], whole: bool) -> pa.RecordBatch:
-        entries = np.concatenate(held)
+    def together(slice_: int, held: list[bytes], whole: bool) -> pa.RecordBatch:
+        entries = np.frombuffer(b"".join(held), dtype=ENTRY)
+        key = np.ascontiguousarray(entries["key"])
         if whole:
-            order = np.argsort(entries["key"])
-            key = entries["key"][order]
+            # Sorted as one number with their places, which takes less time than sorting places by keys.
+            placed = (key.astype(np.uint64) << np.uint64(32)) | np.arange(len(key), dtype=np.uint64)
+            placed.sort()
+            key = (placed >> np.uint64(32)).astype(np.uint32)
             same = key[1:] == key[:-1]
-            entries = entries[order[np.r_[same, False] | np.r_[False, same]]]
-        order = np.lexsort((entries["node"], entries["key"]))
-        key, node = entries["key"][order], entries["node"][order]
+            chosen = np.r_[same, False] | np.r_[False, same]
+            key, node = key[chosen], entries["node"][placed[chosen] & np.uint64(0xFFFFFFFF)]
+        else:
+            node = entries["node"]
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
         fresh = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])][: len(key)]
         key, node = key[fresh], node[fresh]
-        if whole:
-            same = key[1:] == key[:-1]
-            chosen = np.r_[same, False] | np.r_[False, same] if len(key) else fresh
-            key, node = key[chosen], node[chosen]
         bucket = (np.int64(slice_) << np.int64(32)) | key.astype(np.int64)
+        if whole and len(key):
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.append(starts, len(key)))
+            named = mixed(np.add.reduceat(mixed(node.view(np.uint64)), starts)).view(np.int64)
+            chosen = np.repeat(sizes > 1, sizes)
+            bucket, node = np.repeat(named, sizes)[chosen], node[chosen]
         return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node)], names=["bucket", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,14 +141,35 @@ def shared_packed(packed: DataFrame) -> DataFrame:
                     if slice_ != at:
                         whole = True
                     held, size, at = [], 0, slice_
-                held.append(np.frombuffer(entries.as_buffer(), dtype=ENTRY))
-                size += len(held[-1])
+                held.append(entries.as_buffer())
+                size += len(held[-1]) // ENTRY.itemsize
         if held:
             yield together(at, held, whole)
 
     ship_package(packed.sparkSession)
     dealt = packed.repartition("slice").sortWithinPartitions("slice")
-    return _shared(dealt.mapInArrow(run, "bucket long, node long"))
+    near = dealt.mapInArrow(run, "bucket long, node long").repartition("bucket")
+    return _shared(near.distinct())
+
+
+def node_bits(members: DataFrame) -> np.ndarray:
+    """Words of bits, of which those of the members' nodes are set (see has_bits): 8 bits or more for each row, up to 64 * BIT_WORDS.
+
+    The nodes are hashes. However many there are, the words are of bounded size; with more nodes, more others pass.
+    """
+    n_words = min(BIT_WORDS, max(1 << 10, 1 << (members.count() // 8).bit_length()))
+    word = F.shiftrightunsigned("node", 6).bitwiseAND(F.lit(n_words - 1)).alias("word")
+    bit = F.expr("shiftleft(1L, cast(node & 63 as int))")
+    found = members.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most BIT_WORDS rows
+    words = np.zeros(n_words, dtype=np.int64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return words
+
+
+def has_bits(words: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Whether the nodes' bits are set: true for all members' nodes, and for some others."""
+    bits = words[(nodes.view(np.uint64) >> np.uint64(6)) & np.uint64(len(words) - 1)]
+    return (bits >> (nodes & 63)) & 1 == 1
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:

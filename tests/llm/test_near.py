@@ -151,6 +151,40 @@ def test_packed_members_keep_the_shared_buckets(spark, documents, monkeypatch, h
     assert banded.agg(F.sum(F.length("entries"))).first()[0] == 12 * 2 * line_dedup.BANDS
 
 
+def test_bands_that_bring_the_same_lines_together_are_one_bucket(documents):
+    line = "a line of which there is a near copy, and which is long enough to share most of its bands"
+    rows = buckets.shared_packed(line_dedup.banded_lines(documents(line, line + "!", "another line, alike to none of these")))
+    nodes = sorted([line_dedup.line_key(line), line_dedup.line_key(line + "!")])
+    assert sorted(r.node for r in rows.collect()) == nodes  # before: a bucket for each of the bands
+
+
+def test_bits_of_nodes_lose_none_and_pass_few_others(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    nodes, others = rng.integers(-(2**63), 2**63, (2, 20_000))
+    members = spark.createDataFrame([(n % 7, int(node)) for n, node in enumerate(nodes)], "bucket long, node long")
+    words = buckets.node_bits(members)
+    assert buckets.has_bits(words, nodes).all() and buckets.has_bits(words, others).mean() < 0.2
+    monkeypatch.setattr(buckets, "BIT_WORDS", 1 << 4)
+    assert buckets.has_bits(buckets.node_bits(members), nodes).all()
+    assert not buckets.has_bits(buckets.node_bits(members.filter("false")), nodes).any()
+
+
+@pytest.mark.parametrize("held", [1 << 16, 150])
+def test_lines_are_compared_in_portions_as_by_sets(monkeypatch, held):
+    monkeypatch.setattr(line_dedup, "HELD_CHARS", held)
+    rng = random.Random(held)
+    lines = ["".join(rng.choice("abcdeéж漢😀 ") for _ in range(rng.choice([14, 15, 40, 200]))) for _ in range(300)]
+    lines += ["aaaaaaaaaaaaaaaaaaaa", "abababababababababab"]
+    others = [edited(rng, line, rng.randrange(0, 4)) for line in lines]
+    cut = lambda line: {line[i : i + 5] for i in range(len(line) - 4)}
+    expected = [100 * len(cut(a) & cut(b)) >= 75 * len(cut(a) | cut(b)) for a, b in zip(lines, others)]
+    assert line_dedup.linked(lines, others).tolist() == expected and 0 < sum(expected) < len(lines)
+    for start, end in line_dedup.portions(lines):
+        sizes, marks = line_dedup.sizes_and_marks(lines[start:end])
+        assert sizes.tolist() == [len(cut(line)) for line in lines[start:end]]
+        assert all(n >= int(np.bitwise_count(row.view(np.uint64)).sum()) for n, row in zip(sizes, marks))
+
+
 def test_many_lines_with_a_passage_in_common_are_not_compared(documents, monkeypatch):
     rng, tried = random.Random(7), []
     fresh = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvw ") for _ in range(n))
