@@ -227,11 +227,13 @@ def component_per_node(
 
     verify takes distinct pairs (a < b) and returns those that are linked; sizes (node, size) are those of the nodes' sets
     (without them no pair is left out for its sizes), sets_of adds `elements`, distinct longs, to given (node, component); a link has a Jaccard similarity of `least_share`.
-    marks_of gives (node, marks), see parity_marks, of given (node): where all open pairs are tried, those whose marks differ in
-    more bits than the sets of a link can differ in elements are ruled out as they meet.
+    marks_of gives (node, marks), see parity_marks, of given (node), or of all for None: pairs whose marks differ in more bits than the
+    sets of a link can differ in elements are not tried. Where all open pairs are, they are ruled out as they meet.
     In each round a few nodes of a bucket are its hubs and are tried against all its nodes; a bucket of copies thus costs
     a few pairs per member. What a hub has to do with its bucket is then settled, and it leaves. Pairs inside a component
     need no trial. When the open pairs are at most tried_per_member times the members of the start, they are all tried.
+    With marks_of, a pair that meets costs little: after the first round all open pairs of the buckets with at most tried_per_member pairs
+    for each row are tried, whatever their sum, and only larger buckets go on.
     When hubs settle little more, what is left in open buckets are mostly nodes with a part in common, say a
     passage, that is too short for a link. Of these, `rare_pairs` gives all that can be linked, and they are tried. So
     every pair of a bucket is tried, inside one component, or cannot be linked.
@@ -248,15 +250,22 @@ def component_per_node(
     n_members = active.count()
     for round_ in range(hub_rounds + 1):
         if labels is not None:
-            placed = active.select("bucket", "node", "size").join(labels, "node", "left").select(
-                "bucket", "node", "size", F.coalesce("component", "node").alias("component")
-            )
-            active = short(_open_buckets(placed)).join(hubs, "bucket").filter(~F.array_contains("hubs", F.col("node")))
+            active = short(_open_buckets(_placed(active, labels))).join(hubs, "bucket").filter(~F.array_contains("hubs", F.col("node")))
             active = scratch.write(short(active.drop("hubs")))
             let_go(spark)
             open_pairs, all_pairs = _open_pairs(active)
             if not open_pairs:
                 break
+            if marks_of is not None and round_ == 1:
+                small, large = _by_size(active, 1 + 2 * tried_per_member)
+                labels = joined_components(labels, verify(_pairs_across(small, near, least_share, marks_of)))
+                if large is None:
+                    break
+                labels, tried_per_member = checkpointed(few(labels)), 0
+                active = scratch.write(short(_placed(large, labels)))
+                open_pairs, all_pairs = _open_pairs(active)
+                if not open_pairs:
+                    break
             most = tried_per_member * n_members
             if open_pairs <= most and all_pairs <= ALL_PAIRS * most:
                 labels = joined_components(labels, verify(_pairs_across(active, near, least_share, marks_of)))
@@ -279,8 +288,11 @@ def component_per_node(
         if labels is not None:
             of_hub = labels.toDF("hub", "_in_hub")
             ends = ends.join(of_hub, "hub", "left").filter(F.col("component") != F.coalesce("_in_hub", "hub"))
-        tried = short(ends.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct()
-        tried = short(tried)
+        both = [] if marks_of is None else [(F.col("size") + F.col("_size")).alias("sizes")]
+        tried = ends.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), *both)
+        tried = short(short(tried).distinct())
+        if marks_of is not None:
+            tried = _not_ruled_out(tried, marks_of(None), least_share)
         labels = checkpointed(few(joined_components(labels, verify(tried))))
         let_go(spark)
     return labels
@@ -291,18 +303,29 @@ def _side(rows: DataFrame, on: str, side: str) -> DataFrame:
 
     A condition on words of an array makes code that is too long for the JVM to compile.
     """
-    words = [F.col("marks")[i].alias(f"_mark{i}_{side}") for i in range(MARK_BITS // 64)] if "marks" in rows.columns else []
+    words = _words(side) if "marks" in rows.columns else []
     named = {on: on, "node": side, "size": f"_{side}"}
     return rows.select(*[F.col(c).alias(named.get(c, f"_{c}_{side}")) for c in rows.columns if c != "marks"], *words)
 
 
-def _marks_alike(least_share: float) -> Column:
-    """That the marks of two sides, of sets of sizes _a and _b, do not rule out a link.
+def _words(side: str) -> list[Column]:
+    return [F.col("marks")[i].alias(f"_mark{i}_{side}") for i in range(MARK_BITS // 64)]
+
+
+def _marks_alike(least_share: float, sizes: Column | None = None) -> Column:
+    """That the marks of two sides, of sets of sizes _a and _b (or of those sizes in all), do not rule out a link.
 
     Of sets of similarity t, at most (1 - t) / (1 + t) of the elements of both are not common.
     """
     words = [F.bit_count(F.col(f"_mark{i}_a").bitwiseXOR(F.col(f"_mark{i}_b"))) for i in range(MARK_BITS // 64)]
-    return (1 + least_share) * reduce(add, words) <= (1 - least_share) * (F.col("_a") + F.col("_b"))
+    return (1 + least_share) * reduce(add, words) <= (1 - least_share) * (F.col("_a") + F.col("_b") if sizes is None else sizes)
+
+
+def _not_ruled_out(pairs: DataFrame, marks: DataFrame, least_share: float) -> DataFrame:
+    """The pairs (a, b) of pairs (a, b, sizes in all) that marks (node, marks) do not rule out."""
+    with_a = few(pairs.join(marks.select(F.col("node").alias("a"), *_words("a")), "a"), 4)
+    alike = with_a.join(marks.select(F.col("node").alias("b"), *_words("b")), "b")
+    return few(alike.filter(_marks_alike(least_share, F.col("sizes"))).select("a", "b"), 4)
 
 
 def rare_pairs(sets: DataFrame, least_share: float, marked: bool = False) -> DataFrame:
@@ -357,6 +380,21 @@ def rare_pairs(sets: DataFrame, least_share: float, marked: bool = False) -> Dat
     return few(few(met.select("a", "b"), 4).distinct(), 4)
 
 
+def _placed(active: DataFrame, labels: DataFrame) -> DataFrame:
+    """active (bucket, node, size) with the component of each node."""
+    placed = active.select("bucket", "node", "size").join(labels, "node", "left")
+    return placed.select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
+
+
+def _by_size(placed: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of the buckets with at most so many rows, and those of the others, if there are any."""
+    large = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    large = checkpointed(few(large.select("bucket")))
+    if large.isEmpty():
+        return placed, None
+    return placed.join(large, "bucket", "left_anti"), placed.join(large, "bucket", "left_semi")
+
+
 def _open_buckets(placed: DataFrame) -> DataFrame:
     """The rows of the buckets that hold more than one component."""
     ends = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -375,12 +413,16 @@ def _open_pairs(placed: DataFrame) -> tuple[float, float]:
 def _pairs_across(
     placed: DataFrame, near: Callable, least_share: float, marks_of: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
-    """Distinct pairs (a < b) of a bucket that lie in different components; for short lists of pairs only."""
+    """Distinct pairs (a < b) of a bucket that lie in different components; for short lists of pairs only.
+
+    With marks_of a pair is named by the first bucket that it meets in alone: near copies share most of their buckets.
+    """
     alike = near("_a", "_b")
     if marks_of is not None:
-        placed = _open_buckets(placed)
+        in_order = Window.partitionBy("node").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        placed = _open_buckets(placed).withColumn("earlier", F.collect_list("bucket").over(in_order))  # as many as bands at most
         placed = few(placed.join(marks_of(checkpointed(few(placed.select("node").distinct()))), "node"), 4)
-        alike &= _marks_alike(least_share)
+        alike &= _marks_alike(least_share) & ~F.arrays_overlap("_earlier_a", "_earlier_b")
     across = (F.col("a") < F.col("b")) & (F.col("_component_a") != F.col("_component_b")) & alike
     met = _side(placed, "bucket", "a").join(_side(placed, "bucket", "b"), "bucket").filter(across)
     return few(met.select("a", "b"), 4).distinct()

@@ -34,7 +34,7 @@ SHINGLE = 5  # characters; longer ones lose the link of lines of 50 to 78 charac
 SIGNATURE_SHINGLE = 8
 THRESHOLD = 75  # per cent
 BANDS, ROWS = 32, 3
-TRIED_PER_MEMBER = 12  # open pairs for each line of a bucket (equal buckets count once), up to which all are tried; beyond, see buckets.rare_pairs
+TRIED_PER_MEMBER = 1 << 13  # pairs for each line of a bucket, up to which all are tried: a comparison of marks each; beyond, see buckets.rare_pairs
 BROADCAST_LINES = 1_000_000  # numbers of removed lines that are broadcast, after a count: 4 bytes each
 SEEN = 100_000  # forms a task remembers so as not to send them again
 HELD_CHARS = 1 << 16  # characters of forms that a task compares at a time
@@ -287,7 +287,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     let_go(spark)  # once more: until Spark has noted the end of a query, its shuffle files stay
     lines = scratch.write(placed_lines(docs, words, min_chars))
     crowded = scratch.write(sized_forms(lines))
-    of_form = crowded.select("node", "form")
+    of_form, marks = crowded.select("node", "form"), crowded.select("node", "marks")
     let_go(spark)
     reached = component_per_node(
         members,
@@ -296,7 +296,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         lambda nodes: with_shingles(of_form.join(nodes, "node").select("node", "component", "form")),
         THRESHOLD / 100,
         tried_per_member=TRIED_PER_MEMBER,
-        marks_of=lambda nodes: only_ids(crowded.select("node", "marks"), nodes, "node"),
+        marks_of=lambda nodes: marks if nodes is None else only_ids(marks, nodes, "node"),
     )
     reached = scratch.write(reached)
     scratch.drop(members, crowded)

@@ -386,3 +386,57 @@ def test_bands_lose_hardly_any_link():
         line_dedup.band_keys(line_dedup.signatures(list(lines), *turns), line_dedup.ROWS) for lines in zip(*pairs)
     )
     assert (~(left == right).any(axis=1)).sum() <= 2
+
+
+def test_pairs_of_small_buckets_are_all_tried_however_many(spark, documents, monkeypatch):
+    """Open pairs grow with the square of the lines: none of the buckets they are in may go on to rare elements for their sum."""
+    rng, named = random.Random(9), []
+    fresh = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvw ") for _ in range(n))
+    passages = [fresh(250) for _ in range(3)]
+    lines = [fresh(100) + passages[i % 3] + fresh(100) for i in range(210)]
+    lines += [edited(rng, line, 2) for line in lines[:5]]
+    rare = buckets.rare_pairs
+    monkeypatch.setattr(buckets, "rare_pairs", lambda *a: named.append(a) or rare(*a))
+    found = line_dedup.repeated_lines(documents(*lines)).collect()
+    assert sorted((r.doc_id, list(r.removed)) for r in found) == [(210 + i, [0]) for i in range(5)] and not named
+    monkeypatch.setattr(line_dedup, "TRIED_PER_MEMBER", 20)  # buckets of up to 41 rows are tried, the others go on
+    again = line_dedup.repeated_lines(documents(*lines)).collect()
+    assert sorted((r.doc_id, list(r.removed)) for r in again) == [(210 + i, [0]) for i in range(5)] and named
+
+
+@pytest.mark.parametrize("seed, tried", [(1, 0), (2, 20), (3, 45), (4, 1000)])
+def test_every_pair_of_a_bucket_is_settled_with_marks(spark, seed, tried):
+    rng, sets = random.Random(seed), sets_with_a_common_part(seed)
+    members = [(b, n) for b in range(8) for n in sets if rng.random() < (0.8 if b < 4 else 0.3)]
+    marks = {n: buckets.parity_marks(np.array(sorted(x % 2**64 for x in s), dtype=np.uint64)).tolist() for n, s in sets.items()}
+    linked = {(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.75}
+    known = spark.createDataFrame(sorted(linked), "a long, b long")
+    frame = spark.createDataFrame(members, "bucket long, node long")
+    held = spark.createDataFrame(
+        [(n, sorted(s), marks[n]) for n, s in sets.items()], "node long, elements array<long>, marks array<long>"
+    )
+    found = buckets.component_per_node(
+        buckets.shared_buckets(frame), lambda pairs: pairs.join(known, ["a", "b"]),
+        held.select("node", F.size("elements").alias("size")),
+        lambda nodes: nodes.join(held.select("node", "elements"), "node").select("node", "component", "elements"), 0.75,
+        tried_per_member=tried,
+        marks_of=lambda nodes: held.select("node", "marks") if nodes is None else held.select("node", "marks").join(nodes, "node"),
+    )
+    pairs = {(a, b) for a, b in linked if any((k, a) in set(members) and (k, b) in set(members) for k in range(8))}
+    assert {r.node: r.component for r in found.collect()} == union_find({n for p in pairs for n in p}, pairs)
+
+
+def test_a_pair_is_named_by_one_of_its_buckets(spark, monkeypatch):
+    """The first that both are in, also where each is in others: the join makes a row for each pair."""
+    sets = {n: set(range(100)) | {1000 + n} for n in range(6)}
+    marks = {n: buckets.parity_marks(np.array(sorted(s), dtype=np.uint64)).tolist() for n, s in sets.items()}
+    members = [(b, n) for b in range(9) for n in sets if (b + n) % 3 or b == 7]
+    active = spark.createDataFrame([(b, n, 101, n) for b, n in members], "bucket long, node long, size long, component long")
+    held = spark.createDataFrame(list(marks.items()), "node long, marks array<long>")
+    near = lambda one, other: F.least(one, other) >= 0.75 * F.greatest(one, other)
+    made = []
+    monkeypatch.setattr(buckets, "few", lambda df, ratio=16: made.append(df) or df)
+    found = buckets._pairs_across(active, near, 0.75, lambda nodes: held.join(nodes, "node"))
+    expected = [(a, b) for a in sets for b in sets if a < b]
+    assert sorted(map(tuple, found.collect())) == expected
+    assert made[-1].columns == ["a", "b"] and made[-1].count() == len(expected)
